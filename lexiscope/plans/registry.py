@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from lexiscope.plans import language_queries, table_queries
+from lexiscope.plans import language_queries, model_queries, table_queries
 
-REGISTRY = {**table_queries.QUERIES, **language_queries.QUERIES}
+REGISTRY = {**table_queries.QUERIES, **language_queries.QUERIES, **model_queries.QUERIES}
