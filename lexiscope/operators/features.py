@@ -14,7 +14,7 @@ from pyspark.ml.feature import (
     StringIndexerModel,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.functions.text import space_tokens
@@ -82,31 +82,23 @@ def fit_corpus(
 ) -> CorpusModel:
     """Learn vocabulary, document frequencies and label order in one pass over the text.
 
-    Every article contributes its tokens, its different tokens and one row for itself; all three
-    are added up before the shuffle. Only the vocabulary and the labels, both bounded, reach the
+    Every article contributes its tokens, its different tokens and a null one for itself; all
+    three are counted before the shuffle. Only the vocabulary and the labels, both bounded, reach the
     driver. Equal frequencies are in term order, equal label counts in label order.
     """
 
-    def entry(term: Column, label: Column, tf: int, count: int) -> Column:
-        return F.struct(
-            term.alias("term"),
-            label.alias("label"),
-            F.lit(tf).cast("bigint").alias("tf"),
-            F.lit(count).cast("bigint").alias("df"),
-        )
-
-    no_term = F.lit(None).cast("string")
+    tokens = F.coalesce(space_tokens(F.col(text)), F.array().cast("array<string>"))
     entries = F.concat(
-        F.transform("tokens", lambda t: entry(t, no_term, 1, 0)),
-        F.transform(F.array_distinct("tokens"), lambda t: entry(t, no_term, 0, 1)),
-        F.array(entry(no_term, F.col(category), 0, 1)),
+        "tokens", F.array_distinct("tokens"), F.array(F.lit(None).cast("string"))
     )
-    tokens = F.coalesce(space_tokens(F.col(text)), F.array().cast("array<string>"))
     counted = (
-        df.select(F.col(category).cast("string").alias(category), tokens.alias("tokens"))
-        .select(F.inline(entries))
-        .groupBy("term", "label")
-        .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+        df.select(F.col(category).cast("string").alias("label"), tokens.alias("tokens"))
+        .select("label", F.size("tokens").alias("n"), F.posexplode(entries).alias("place", "term"))
+        .groupBy("term", F.when(F.col("term").isNull(), F.col("label")).alias("label"))
+        .agg(
+            F.count_if(F.col("place") < F.col("n")).alias("tf"),
+            F.count_if(F.col("place") >= F.col("n")).alias("df"),
+        )
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:

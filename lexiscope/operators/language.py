@@ -202,6 +202,7 @@ def other_languages(df: DataFrame, main: str = "en", lang: str = "lang") -> Data
 
 def minority_sample(
     df: DataFrame,
+    languages: DataFrame,
     n: int = 10,
     main: str = "en",
     lang: str = "lang",
@@ -210,7 +211,8 @@ def minority_sample(
 ) -> DataFrame:
     """Up to ``n`` random rows of every language but the main one, by language and rank.
 
-    Rows are ranked by key alone and only the picked ones are joined back to their text.
+    ``languages`` holds the key and language of each row of ``df``. Ranking works on these alone;
+    the picked ones, ``n`` per language, are then broadcast to the table, so no text is shuffled.
     """
-    picked = pick_per_group(other_languages(df.select(key, lang), main, lang), lang, key, n, seed)
-    return df.join(picked, [key, lang]).orderBy(lang, "row_num")
+    picked = pick_per_group(other_languages(languages, main, lang), lang, key, n, seed)
+    return df.join(F.broadcast(picked.select(key, lang, "row_num")), key).orderBy(lang, "row_num")

@@ -106,13 +106,12 @@ def split_on_language_change(
     """Add ``split_<text>``, a struct of header and body, for each of the text columns.
 
     A text that is not cut has an empty header and its own text as body; a null text has both
-    empty. ``key`` must be unique. The table is placed by key once; the candidate test, the search
-    and the join of the cuts then all work on that placement.
+    empty. ``key`` must be unique. All joins are on the key: over a table stored in buckets of
+    the key they move no text.
     """
-    placed = df.repartition(key)
-    result = placed
+    result = df
     for text in texts:
-        cuts = language_cuts(placed, profile, text, key, main, window, step)
+        cuts = language_cuts(df, profile, text, key, main, window, step)
         value = F.col(text)
         split = F.when(
             F.col("cut").isNotNull(),

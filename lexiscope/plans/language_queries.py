@@ -25,8 +25,9 @@ def _profile(spark: SparkSession, sf_dir: str) -> language.LanguageProfile:
     return language.learn_profile(known.filter(F.col("part") == "train"))
 
 
-def _detected(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return language.detect_language(articles(spark, sf_dir), _profile(spark, sf_dir), text)
+def _languages(spark: SparkSession, sf_dir: str, text: str, out: str = "detected") -> DataFrame:
+    rows = articles(spark, sf_dir)
+    return language.score_languages(rows, _profile(spark, sf_dir), text, ["doc_id"], out)
 
 
 def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,19 +35,19 @@ def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_id_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _detected(spark, sf_dir, "summary").select("doc_id", "detected")
+    return _languages(spark, sf_dir, "summary")
 
 
 def language_id_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _detected(spark, sf_dir, "body").select("doc_id", "detected")
+    return _languages(spark, sf_dir, "body")
 
 
 def language_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.language_distribution(_detected(spark, sf_dir, "body"))
+    return language.language_distribution(_languages(spark, sf_dir, "body"))
 
 
 def language_distribution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.language_distribution(_detected(spark, sf_dir, "summary"))
+    return language.language_distribution(_languages(spark, sf_dir, "summary"))
 
 
 def language_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,17 +60,18 @@ def language_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.language_count(_detected(spark, sf_dir, "body"))
+    return language.language_count(_languages(spark, sf_dir, "body"))
 
 
 def non_english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = language.flatten_languages(_detected(spark, sf_dir, "body"))
+    rows = language.detect_language(articles(spark, sf_dir), _profile(spark, sf_dir), out="lang")
     return language.other_languages(rows).select("doc_id", "title", "lang")
 
 
 def minority_language_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = language.flatten_languages(_detected(spark, sf_dir, "summary"))
-    return language.minority_sample(rows).select("lang", "summary", "row_num")
+    languages = _languages(spark, sf_dir, "summary", "lang")
+    sample = language.minority_sample(articles(spark, sf_dir), languages)
+    return sample.select("lang", "summary", "row_num")
 
 
 def bilingual_articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def lr_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unseen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversation turns and the benchmark items, which no model was trained on."""
-    turns = read_table(spark, sf_dir, "conversations", "conv_id").select(
+    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn").select(
         F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("text_id"),
         F.col("text").alias("combined_text"),
     )
