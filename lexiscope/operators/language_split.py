@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,33 +15,25 @@ from lexiscope.operators.language import (
     look_up_weights,
     score_languages,
 )
+from lexiscope.sources.shared import write_and_reread
 
 WINDOW_CHARS = 25
 STEP_CHARS = 5
+OPENING_STEPS = 40
 PIECE_STEPS = 1_000
 
 
-def header_candidates(
-    df: DataFrame, profile: LanguageProfile, text: str, key: str, main: str, window: int
-) -> DataFrame:
-    """Keys of the texts whose first window is not in the main language: only they can be cut."""
-    first = df.filter(F.length(text) >= window).select(
-        key, F.substring(text, 1, window).alias("opening")
-    )
-    return score_languages(first, profile, "opening", [key]).filter(F.col("detected") != main).select(key)
-
-
-def language_cuts(
+def first_main_window(
     df: DataFrame,
     profile: LanguageProfile,
-    text: str = "body",
-    key: str = "doc_id",
-    main: str = "en",
-    window: int = WINDOW_CHARS,
-    step: int = STEP_CHARS,
+    text: str,
+    keys: Sequence[str],
+    main: str,
+    window: int,
+    step: int,
     piece_steps: int = PIECE_STEPS,
 ) -> DataFrame:
-    """``(key, cut)`` for every text to cut: the characters before its first window in ``main``.
+    """The keys and ``cut``, the start of the first later window in the main language, or null.
 
     Windows of ``window`` characters start at every ``step``-th character of the whole text. A
     window's score is a sum over its trigrams, so trigrams are summed once per block of ``step``
@@ -53,45 +45,89 @@ def language_cuts(
         raise ValueError("the window must be at least two characters longer than the step")
     piece_chars = piece_steps * step
 
-    candidates = header_candidates(df, profile, text, key, main, window)
-    todo = df.select(key, text).join(candidates, key, "left_semi")
-    cut_up = todo.select(
-        key, F.posexplode(pieces(F.col(text), piece_chars, window - 1)).alias("piece", "part")
+    cut_up = df.select(
+        *keys, F.posexplode(pieces(F.col(text), piece_chars, window - 1)).alias("piece", "part")
     )
     rows = cut_up.select(
-        key, "piece", F.posexplode(trigrams(F.col("part"))).alias("position", "trigram")
+        *keys, "piece", F.posexplode(trigrams(F.col("part"))).alias("position", "trigram")
     ).withColumn("trigram", F.lower("trigram"))
 
     measures = ["known", *profile.weight_columns]
-    weighted = look_up_weights(rows, profile)
     in_head = F.col("position") % step < head
-    blocks = weighted.groupBy(
-        key, "piece", F.floor(F.col("position") / step).alias("block")
-    ).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(in_head).alias("head_n"),
-        *[F.sum(m).alias(m) for m in measures],
-        *[F.sum(F.when(in_head, F.col(m)).otherwise(0)).alias(f"head_{m}") for m in measures],
+    blocks = (
+        look_up_weights(rows, profile)
+        .groupBy(*keys, "piece", F.floor(F.col("position") / step).alias("block"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(in_head).alias("head_n"),
+            *[F.sum(m).alias(m) for m in measures],
+            *[F.sum(F.when(in_head, F.col(m)).otherwise(0)).alias(f"head_{m}") for m in measures],
+        )
     )
 
-    in_piece = Window.partitionBy(key, "piece").orderBy("block")
+    in_piece = Window.partitionBy(*keys, "piece").orderBy("block")
     whole = in_piece.rowsBetween(0, blocks_per_window - 1)
 
-    def over_window(measure: str):
+    def over_window(measure: str) -> Column:
         total = F.sum(measure).over(whole)
         return total + F.lead(f"head_{measure}", blocks_per_window, 0).over(in_piece)
 
     windows = blocks.select(
-        key, "piece", "block", *[over_window(m).alias(m) for m in ["n", *measures]]
-    ).filter(F.col("n") == window - 2)
+        *keys, "piece", "block", *[over_window(m).alias(m) for m in ["n", *measures]]
+    )
     scores = [F.col(w) for w in profile.weight_columns]
+    in_main = best_language(profile, scores, F.col("known")) == main
     start = F.col("piece") * piece_chars + F.col("block") * step
-    return (
-        windows.filter(best_language(profile, scores, F.col("known")) == main)
-        .filter(start > 0)
-        .groupBy(key)
-        .agg(F.min(start).cast("int").alias("cut"))
+    found = (F.col("n") == window - 2) & (start > 0) & in_main
+    return windows.groupBy(*keys).agg(F.min(F.when(found, start)).cast("int").alias("cut"))
+
+
+def language_cuts(
+    df: DataFrame,
+    profile: LanguageProfile,
+    text: str = "body",
+    key: str = "doc_id",
+    main: str = "en",
+    window: int = WINDOW_CHARS,
+    step: int = STEP_CHARS,
+    opening_steps: int = OPENING_STEPS,
+    piece_steps: int = PIECE_STEPS,
+) -> DataFrame:
+    """``(key, cut)`` for every text to cut: the characters before its first window in ``main``.
+
+    Only texts whose first window is in another language can be cut, and most headers are short.
+    So the first window decides from the scan which texts go on, their openings are searched
+    without going back to the table, and only texts still without a cut are searched as a whole.
+
+    Both steps run at once and are stored as tables of keys and positions. Spark thus knows their
+    size when it joins them to the texts, and broadcasts them only if they are small.
+    """
+    opening_chars = opening_steps * step + window - 1
+    openings = df.filter(F.length(text) >= window).select(
+        key,
+        F.substring(text, 1, opening_chars).alias("opening"),
+        F.substring(text, 1, window).alias("first"),
+    )
+    # The opening is part of the grouping, so that it needs no join to come back to its key.
+    candidates = (
+        score_languages(openings, profile, "first", [key, "opening"])
+        .filter(F.col("detected") != main)
+        .select(key, "opening")
+    )
+    near = write_and_reread(
+        first_main_window(
+            candidates, profile, "opening", [key, "opening"], main, window, step, opening_steps
+        ).select(key, "cut"),
+        "opening-cuts",
+    )
+    remaining = (
+        df.filter(F.length(text) > opening_chars)
+        .select(key, text)
+        .join(near.filter(F.col("cut").isNull()), key, "left_semi")
     )
+    far = first_main_window(remaining, profile, text, [key], main, window, step, piece_steps)
+    found = near.unionByName(far).filter(F.col("cut").isNotNull())
+    return write_and_reread(found, "language-cuts")
 
 
 def split_on_language_change(
@@ -106,8 +142,9 @@ def split_on_language_change(
     """Add ``split_<text>``, a struct of header and body, for each of the text columns.
 
     A text that is not cut has an empty header and its own text as body; a null text has both
-    empty. ``key`` must be unique. All joins are on the key: over a table stored in buckets of
-    the key they move no text.
+    empty. ``key`` must be unique. The cuts are found first (see ``language_cuts``); what remains
+    is one join of a table of keys and positions. Over a table stored in buckets of the key that
+    join never moves the texts.
     """
     result = df
     for text in texts:

@@ -1,0 +1,83 @@
+from __future__ import annotations
+
+import pytest
+
+from lexiscope.sources.articles import articles, read_articles_csv, read_table, save_table
+from lexiscope.sources.shared import fresh_path, shared_dir, write_and_reread
+
+
+def write(path, text):
+    path.write_text(text, encoding="utf-8")
+    return str(path)
+
+
+def test_csv_drops_the_index_and_keeps_quotes_and_line_breaks(spark, tmp_path):
+    text = ',title,summary,documents,categoria\n0,"a ""b"" c","one\ntwo",body\\n,x\n1,t,"s, s",b,y\n'
+    rows = read_articles_csv(spark, write(tmp_path / "a.csv", text)).collect()
+    assert [tuple(r) for r in rows] == [
+        ('a "b" c', "one\ntwo", "body\\n", "x"),
+        ("t", "s, s", "b", "y"),
+    ]
+
+
+def test_csv_missing_values_become_null(spark, tmp_path):
+    text = ',title,summary,documents,categoria\n0,NaN,,"",None\n1,null,nan ,Nan,N/A\n'
+    rows = read_articles_csv(spark, write(tmp_path / "a.csv", text)).collect()
+    assert [tuple(r) for r in rows] == [(None, None, None, None), (None, "nan ", "Nan", None)]
+
+
+def test_csv_without_index_and_with_own_markers(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "t,c\nNA,\nx,y\n")
+    rows = read_articles_csv(
+        spark, path, columns=("t", "c"), index_column=None, missing_markers=("x",)
+    ).collect()
+    assert rows[0]["t"] == "NA" and rows[1]["t"] is None
+
+
+def test_save_table_replaces_the_old_one(spark):
+    save_table(spark.range(5), "replaced")
+    assert save_table(spark.range(3).toDF("other"), "replaced").columns == ["other"]
+    assert spark.table("replaced").count() == 3
+
+
+def test_bucketed_table_joins_without_shuffle(spark):
+    rows = spark.range(100).selectExpr("id AS doc_id", "cast(id AS string) AS body")
+    stored = save_table(rows, "bucketed", "doc_id", 4)
+    assert stored.count() == 100
+    joined = stored.hint("merge").join(stored.select("doc_id"), "doc_id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_small_table_is_spread_and_a_spread_one_is_left_alone(spark, small, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    assert read_table(spark, small, "documents", "doc_id").rdd.getNumPartitions() == cores
+    spark.range(1000).repartition(3 * cores).write.parquet(str(tmp_path / "many.parquet"))
+    many = read_table(spark, str(tmp_path), "many", "id")
+    if many.rdd.getNumPartitions() > cores:
+        assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_articles_read_only_the_columns_in_use(spark, small):
+    plan = articles(spark, small).select("category")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<lang:string>" in plan or "struct<doc_id:bigint,lang:string>" in plan
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert fresh_path(spark, "x") != fresh_path(spark, "x")
+
+
+def test_write_and_reread_keeps_rows_and_cuts_lineage(spark, few):
+    stored = write_and_reread(few, "few")
+    assert stored.collect() and sorted(stored.collect()) == sorted(few.collect())
+    assert "LogicalRDD" not in stored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_articles_view(spark, small):
+    rows = articles(spark, small)
+    assert rows.columns == ["doc_id", "title", "summary", "body", "category", "grp"]
+    assert rows.filter("summary LIKE '%\n%'").count() == 0
+    assert rows.filter("NOT startswith(body, summary)").count() == 0
+    with pytest.raises(Exception):
+        read_table(spark, small, "no_such_table", "id")
