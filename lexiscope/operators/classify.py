@@ -88,11 +88,11 @@ def naive_bayes_weights(
     term counts the articles themselves. The counts are stored: they are as many as there are
     pairs of a category and a vocabulary term.
     """
-    vocabulary = corpus.vocabulary_rows(train).select("term", "idf")
+    vocabulary = corpus.weights_to_join(train)
     tokens = F.concat(space_tokens(F.col(text)), F.array(F.lit(None).cast("string")))
     pairs = (
         train.select(category, F.explode(tokens).alias("term"))
-        .join(F.broadcast(vocabulary), "term", "left")
+        .join(vocabulary, "term", "left")
         .filter(F.col("idf").isNotNull() | F.col("term").isNull())
         .groupBy(category, "term")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.functions.text import space_tokens
+from lexiscope.operators.frequent import most_frequent
 
 MAX_TERMS = 2_000
 MIN_DF = 0.01
 MAX_DF = 0.80
 MAX_LABELS = 10_000
+MAX_BROADCAST_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -41,13 +43,18 @@ class CorpusModel:
         return [math.log((self.documents + 1) / (df + 1)) for df in self.document_counts]
 
     def vocabulary_rows(self, like: DataFrame) -> DataFrame:
-        """The vocabulary as a table; it has at most ``max_terms`` rows, so it can be broadcast."""
+        """The vocabulary as a table of at most ``max_terms`` rows."""
         rows = zip(
             range(len(self.terms)), self.terms, self.term_counts, self.document_counts, self.idf
         )
         schema = "idx bigint, term string, tf bigint, df bigint, idf double"
         return like.sparkSession.createDataFrame(list(rows), schema)
 
+    def weights_to_join(self, like: DataFrame) -> DataFrame:
+        """Term and IDF for a join with tokens; broadcast unless the vocabulary is very large."""
+        weights = self.vocabulary_rows(like).select("term", "idf")
+        return F.broadcast(weights) if len(self.terms) <= MAX_BROADCAST_TERMS else weights
+
     def label_rows(self, like: DataFrame) -> DataFrame:
         rows = [
             (label, float(i), n) for i, (label, n) in enumerate(zip(self.labels, self.label_counts))
@@ -108,13 +115,8 @@ def fit_corpus(
             raise ValueError(f"more than {MAX_LABELS} categories to learn")
         documents = sum(row["df"] for row in found)
         low, high = _document_bound(min_df, documents), _document_bound(max_df, documents)
-        vocabulary = (
-            counted.filter(F.col("term").isNotNull())
-            .filter((F.col("df") >= low) & (F.col("df") <= high))
-            .orderBy(F.desc("tf"), "term")
-            .limit(max_terms)
-            .collect()
-        )
+        common = counted.filter(F.col("term").isNotNull()).filter(F.col("df").between(low, high))
+        vocabulary = most_frequent(common, "tf", max_terms, "term").collect()
     finally:
         counted.unpersist()
     labels = sorted(
@@ -158,10 +160,9 @@ def term_weights(
     df: DataFrame, model: CorpusModel, text: str = "combined_text", key: str = "doc_id"
 ) -> DataFrame:
     """The TF-IDF vectors in long form: key, term, tf, tfidf for the terms of the vocabulary."""
-    vocabulary = F.broadcast(model.vocabulary_rows(df).select("term", "idf"))
     tokens = df.select(key, F.explode(space_tokens(F.col(text))).alias("term"))
     return (
-        tokens.join(vocabulary, "term")
+        tokens.join(model.weights_to_join(df), "term")
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
         .select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiscope.functions.text import pieces, trigrams
+from lexiscope.operators.frequent import most_frequent
 from lexiscope.operators.sampling import pick_per_group
 from lexiscope.sources.shared import write_and_reread
 
@@ -22,7 +23,7 @@ UNKNOWN = "unknown"
 WEIGHT_SCALE = 1000
 PIECE_CHARS = 8_000
 MAX_TRIGRAMS = 100_000
-MAX_PROFILE_CELLS = 20_000_000
+MAX_PROFILE_CELLS = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -71,14 +72,15 @@ def learn_profile(
 
     counted = [f"n{i}" for i in range(len(languages))]
     counts = (
-        explode_trigrams(labelled, text, [label])
+        explode_trigrams(labelled.filter(F.col(label).isNotNull()), text, [label])
         .filter(F.col("trigram").isNotNull())
         .groupBy("trigram")
         .agg(
+            F.count(F.lit(1)).alias("total"),
             *[
                 F.count_if(F.col(label) == language).alias(n)
                 for n, language in zip(counted, languages)
-            ]
+            ],
         )
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
@@ -87,16 +89,12 @@ def learn_profile(
             F.count(F.lit(1)).alias("different"), *[F.sum(n).alias(n) for n in counted]
         ).first()
         sizes = [(seen[n] or 0) + seen["different"] for n in counted]
-        weights = (
-            counts.orderBy(F.desc(sum(F.col(n) for n in counted)), "trigram")
-            .limit(max_trigrams)
-            .select(
-                "trigram",
-                *[
-                    _weight(F.col(n), size).alias(f"w{i}")
-                    for i, (n, size) in enumerate(zip(counted, sizes))
-                ],
-            )
+        weights = most_frequent(counts, "total", max_trigrams, "trigram").select(
+            "trigram",
+            *[
+                _weight(F.col(n), size).alias(f"w{i}")
+                for i, (n, size) in enumerate(zip(counted, sizes))
+            ],
         )
         stored = write_and_reread(weights, "language-profile")
     finally:
@@ -211,8 +209,10 @@ def minority_sample(
 ) -> DataFrame:
     """Up to ``n`` random rows of every language but the main one, by language and rank.
 
-    ``languages`` holds the key and language of each row of ``df``. Ranking works on these alone;
-    the picked ones, ``n`` per language, are then broadcast to the table, so no text is shuffled.
+    ``languages`` holds the key and language of each row of ``df``. Ranking works on these alone.
+    The picked keys are stored, so Spark knows how few they are when it joins them to the table,
+    and no text is shuffled.
     """
-    picked = pick_per_group(other_languages(languages, main, lang), lang, key, n, seed)
-    return df.join(F.broadcast(picked.select(key, lang, "row_num")), key).orderBy(lang, "row_num")
+    ranked = pick_per_group(other_languages(languages, main, lang), lang, key, n, seed)
+    picked = write_and_reread(ranked.select(key, lang, "row_num"), "picked-keys")
+    return df.join(picked, key).orderBy(lang, "row_num")

@@ -65,6 +65,13 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_row_id(df: DataFrame, out: str = "doc_id") -> DataFrame:
+    """Give every row a unique integer. Store the table before using the ids more than once:
+    reading the source again may number the rows differently.
+    """
+    return df.withColumn(out, F.monotonically_increasing_id())
+
+
 def save_table(
     df: DataFrame, name: str, bucket_key: str | None = None, buckets: int = 200
 ) -> DataFrame:

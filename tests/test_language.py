@@ -191,7 +191,7 @@ def test_minority_sample_moves_no_text(spark):
     found = [(r["lang"], r["row_num"]) for r in sample.collect()]
     assert found == [("de", i) for i in range(1, 5)] + [("fr", i) for i in range(1, 11)]
     plan = sample._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "WindowGroupLimit" in plan
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
 # --- split ---------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from lexiscope.sources.articles import articles, read_articles_csv, read_table, save_table
+from lexiscope.sources.articles import articles, read_articles_csv, read_table, save_table, with_row_id
 from lexiscope.sources.shared import fresh_path, shared_dir, write_and_reread
 
 
@@ -81,3 +81,10 @@ def test_articles_view(spark, small):
     assert rows.filter("NOT startswith(body, summary)").count() == 0
     with pytest.raises(Exception):
         read_table(spark, small, "no_such_table", "id")
+
+
+def test_row_ids_are_unique_and_fixed_once_stored(spark):
+    rows = spark.range(100).repartition(7).select("id")
+    stored = save_table(with_row_id(rows), "numbered")
+    assert stored.select("doc_id").distinct().count() == 100
+    assert sorted(stored.collect()) == sorted(stored.collect())

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexiscope.functions.text import strip_space, word_count
-from lexiscope.operators import inspect, profile, sampling, stats, terms
+from lexiscope.operators import frequent, inspect, profile, sampling, stats, terms
 
 SLOW = settings(
     max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
@@ -187,6 +187,19 @@ def test_one_dominant_category_gives_the_same_terms_in_any_partitioning(spark):
     assert one == many and len([r for r in one if r["category"] == "hot"]) == 5
 
 
+@pytest.mark.parametrize("limit", [1, 7, 60, 500, 5000])
+def test_most_frequent_equals_sort_and_limit(spark, limit):
+    counts = spark.range(1000).selectExpr(
+        "concat('t', id) AS term", "1 + cast(1e6 / (1 + id * id % 977) AS bigint) AS n"
+    )
+    found = frequent.most_frequent(counts, "n", limit, "term").collect()
+    assert found == sorted(counts.collect(), key=lambda r: (-r["n"], r["term"]))[:limit]
+    equal = counts.selectExpr("term", "3 AS n")
+    found = frequent.most_frequent(equal, "n", limit, "term").collect()
+    assert [r["term"] for r in found] == sorted(r["term"] for r in equal.collect())[:limit]
+    assert frequent.most_frequent(counts.filter("false"), "n", limit).collect() == []
+
+
 # --- samples and splits --------------------------------------------------------------------------
 
 
