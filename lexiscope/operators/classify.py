@@ -71,8 +71,11 @@ def with_top_probability(predictions: DataFrame, out: str = "confidence") -> Dat
 def predict(
     df: DataFrame, model: PipelineModel, corpus: CorpusModel, category: str = "category"
 ) -> DataFrame:
-    """Categorise articles whose category is known; adds its ``label`` for the evaluation."""
-    return label_stage(corpus, category).transform(categorize(df, model))
+    """Categorise articles whose category is known; adds its ``label`` for the evaluation.
+
+    A category the model has not learnt gets a label of its own, which no prediction can match.
+    """
+    return label_stage(corpus, category, "keep").transform(categorize(df, model))
 
 
 def naive_bayes_weights(

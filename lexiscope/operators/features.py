@@ -24,7 +24,7 @@ MAX_TERMS = 2_000
 MIN_DF = 0.01
 MAX_DF = 0.80
 MAX_LABELS = 10_000
-MAX_BROADCAST_TERMS = 1_000_000
+MAX_VOCABULARY = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -51,9 +51,8 @@ class CorpusModel:
         return like.sparkSession.createDataFrame(list(rows), schema)
 
     def weights_to_join(self, like: DataFrame) -> DataFrame:
-        """Term and IDF for a join with tokens; broadcast unless the vocabulary is very large."""
-        weights = self.vocabulary_rows(like).select("term", "idf")
-        return F.broadcast(weights) if len(self.terms) <= MAX_BROADCAST_TERMS else weights
+        """Term and IDF, broadcast to the tokens: never more rows than ``MAX_VOCABULARY``."""
+        return F.broadcast(self.vocabulary_rows(like).select("term", "idf"))
 
     def label_rows(self, like: DataFrame) -> DataFrame:
         rows = [
@@ -93,6 +92,8 @@ def fit_corpus(
     three are counted before the shuffle. Only the vocabulary and the labels, both bounded, reach the
     driver. Equal frequencies are in term order, equal label counts in label order.
     """
+    if max_terms > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary can have at most {MAX_VOCABULARY} terms")
 
     tokens = F.coalesce(space_tokens(F.col(text)), F.array().cast("array<string>"))
     entries = F.concat(
@@ -151,9 +152,13 @@ def feature_stages(model: CorpusModel, text: str = "combined_text") -> PipelineM
     return PipelineModel(stages=[split, counts, weigh])
 
 
-def label_stage(model: CorpusModel, category: str = "category") -> StringIndexerModel:
+def label_stage(
+    model: CorpusModel, category: str = "category", handle_invalid: str = "error"
+) -> StringIndexerModel:
     """Category to label number, the most frequent category being 0."""
-    return StringIndexerModel.from_labels(list(model.labels), inputCol=category, outputCol="label")
+    return StringIndexerModel.from_labels(
+        list(model.labels), inputCol=category, outputCol="label", handleInvalid=handle_invalid
+    )
 
 
 def term_weights(

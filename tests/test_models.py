@@ -112,6 +112,11 @@ def test_fit_scope(rows, corpus):
         classify.fit_on_scope(rows, fit_scope="test")
 
 
+def test_vocabulary_size_is_bounded(rows):
+    with pytest.raises(ValueError):
+        features.fit_corpus(rows, max_terms=features.MAX_VOCABULARY + 1)
+
+
 # --- classifiers ---------------------------------------------------------------------------------
 
 
@@ -165,6 +170,17 @@ def test_logistic_regression_equals_a_plain_chain(rows, train, corpus):
     assert abs(difference).max() < 1e-6
 
 
+def test_a_category_only_in_the_test_part_counts_as_missed(rows, train):
+    known = train.filter("category <> 'es'")
+    corpus = classify.fit_on_scope(known)
+    model = classify.train_classifier(known, corpus)
+    tested = classify.predict(rows.filter("part = 'test'"), model, corpus)
+    assert "es" not in corpus.labels
+    missed = tested.filter("category = 'es'")
+    assert missed.count() > 0 and missed.filter("label = prediction").count() == 0
+    assert evaluate.confusion(tested).agg(F.sum("n")).first()[0] == tested.count()
+
+
 def test_unknown_algorithm(train, corpus):
     with pytest.raises(ValueError):
         classify.train_classifier(train, corpus, "forest")
