@@ -15,7 +15,7 @@ def word_count(text: Column, mode: str = "whitespace") -> Column:
     ``whitespace`` splits on runs of white space, ``space`` on every single space.
     """
     if mode == "whitespace":
-        # size() is -1 or null for a null array depending on the session, so null is tested first.
+        # Depending on the session size() of null is -1, so nulls are handled below.
         words = F.size(F.split(text, r"\s+"))
     elif mode == "space":
         # Same value as size(split(text, ' ')) without building the array.

@@ -43,14 +43,22 @@ def scores(
     """
     hit = F.when(F.col(label) == F.col(prediction), F.col("n")).otherwise(0)
     zero = F.lit(0).cast("bigint")
-    roles = F.array(
-        F.struct(F.col(label).alias("class"), F.col("n").alias("support"), zero.alias("given"), hit.alias("hits")),
-        F.struct(F.col(prediction).alias("class"), zero.alias("support"), F.col("n").alias("given"), zero.alias("hits")),
-    )
+
+
+    def role(name: str, support: Column, given: Column, hits: Column) -> Column:
+        return F.struct(
+            F.col(name).alias("class"),
+            support.alias("support"),
+            given.alias("given"),
+            hits.alias("hits"),
+        )
+
+    # Every cell counts once for its true class and once for the class it was given.
+    roles = F.array(role(label, F.col("n"), zero, hit), role(prediction, zero, F.col("n"), zero))
     per_class = (
         counts.select(*by, F.inline(roles))
         .groupBy(*by, "class")
-        .agg(F.sum("support").alias("support"), F.sum("given").alias("given"), F.sum("hits").alias("hits"))
+        .agg(*[F.sum(c).alias(c) for c in ("support", "given", "hits")])
     )
     # 2pr / (p + r) is 2 hits / (given + support); a class nothing was given to has precision 0.
     precision = F.when(F.col("given") > 0, F.col("hits") / F.col("given")).otherwise(0.0)
@@ -76,4 +84,6 @@ def accuracy_by_part(
 ) -> DataFrame:
     correct = F.count_if(F.col(label) == F.col(prediction))
     total = F.count(F.lit(1))
-    return predictions.groupBy(part).agg(total.alias("articles"), (correct / total).alias("accuracy"))
+    return predictions.groupBy(part).agg(
+        total.alias("articles"), (correct / total).alias("accuracy")
+    )

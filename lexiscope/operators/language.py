@@ -63,11 +63,12 @@ def learn_profile(
     ``T`` all counts in that language, and ``V`` the number of different trigrams. The table keeps
     the ``max_trigrams`` most frequent ones; the others get the weight for ``n = 0``.
     """
+    most = MAX_PROFILE_CELLS // max_trigrams
     found = labelled.select(label).filter(F.col(label).isNotNull()).distinct().orderBy(label)
-    languages = tuple(row[0] for row in found.limit(MAX_PROFILE_CELLS // max_trigrams + 1).collect())
+    languages = tuple(row[0] for row in found.limit(most + 1).collect())
     if not languages:
         raise ValueError("no labelled rows to learn from")
-    if len(languages) * max_trigrams > MAX_PROFILE_CELLS:
+    if len(languages) > most:
         raise ValueError("too many languages for a profile that can be broadcast")
 
     counted = [f"n{i}" for i in range(len(languages))]

@@ -221,8 +221,8 @@ def filled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = articles(spark, sf_dir).join(
         spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left"
     )
-    partly = rows.select("doc_id", F.when(F.col("quality").isNotNull(), F.col("body")).alias("body"))
-    filled = stats.with_word_count(stats.fill_missing_text(partly))
+    body = F.when(F.col("quality").isNotNull(), F.col("body"))
+    filled = stats.with_word_count(stats.fill_missing_text(rows.select("doc_id", body.alias("body"))))
     return filled.select("doc_id", F.length("body").cast("bigint").alias("chars"), "word_count")
 
 
@@ -366,12 +366,13 @@ def top_terms_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_terms_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled benchmark items' own terms serve as the stop-word table."""
+    """The ten most frequent terms of the benchmark items serve as stop words."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         F.lit("b").alias("grp"), F.col("text").alias("body")
     )
     common = terms.top_terms(benchmark, 10, "grp").select("term")
-    return terms.top_terms(stats.keep_long_articles(articles(spark, sf_dir)), 20, "grp", stop_words=common)
+    kept = stats.keep_long_articles(articles(spark, sf_dir))
+    return terms.top_terms(kept, 20, "grp", stop_words=common)
 
 
 _TERMS = r"lower(unnest(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')))"
