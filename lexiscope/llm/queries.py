@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiscope.llm import piece_codec, shards, token_files
+from lexiscope.llm import line_join, piece_codec, shards, token_files
 from lexiscope.llm.ship import ship_package
 from lexiscope.plans.query import Query
 
@@ -31,8 +32,53 @@ def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_join.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.col("__lines").cast("bigint").alias("n_lines"),
+        F.col("__removed").cast("bigint").alias("n_removed"),
+        F.md5("text").alias("kept_md5"),
+    )
+
+
+LINES_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, line_no, line, list_distinct(list_filter(string_split(
+           translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(11) || chr(12) || chr(13),
+                     'abcdefghijklmnopqrstuvwxyz    '), ' '), lambda w: w <> '')) AS words
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+        FROM documents)
+),
+classes AS (
+  SELECT words, len(words) AS n, min((doc_id, line_no)) AS first
+  FROM (SELECT doc_id, line_no, list_sort(words) AS words FROM lines WHERE len(words) > 0)
+  GROUP BY words
+),
+matched AS (
+  SELECT DISTINCT a.first
+  FROM classes a JOIN classes b
+    ON b.first < a.first AND b.n * 100 >= a.n * {line_join.SIMILARITY}
+   AND a.n * 100 >= b.n * {line_join.SIMILARITY}
+   AND len(list_intersect(a.words, b.words)) * {100 + line_join.SIMILARITY}
+       >= (a.n + b.n) * {line_join.SIMILARITY}
+),
+kept AS (SELECT first FROM classes WHERE first NOT IN (SELECT first FROM matched)),
+marked AS (
+  SELECT doc_id, line_no, line,
+         len(words) > 0 AND (doc_id, line_no) NOT IN (SELECT first FROM kept) AS gone
+  FROM lines
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), ''))
+         AS kept_md5
+FROM marked GROUP BY doc_id"""
+
+
 QUERIES = {
     "op1_piece_codec": Query(piece_tokens),
     "op4_shards": Query(byte_shards),
+    "op10_line_join": Query(repeated_lines, LINES_SQL),
     "op9_token_files": Query(token_id_files),
 }
