@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm import line_join, piece_codec, shards, shingle_join, token_files
+from lexiscope.llm import line_join, piece_codec, seeds, shards, shingle_join, token_files
 from lexiscope.llm.ship import ship_package
 from lexiscope.plans.query import Query
 
@@ -110,10 +110,51 @@ SELECT s.doc_id, len(s.s) AS n_shingles, min(r.other) AS component_id
 FROM sets s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.s)"""
 
 
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return seeds.find_leaks(docs, items).drop("version")
+
+
+LEAKS_SQL = f"""
+WITH doc_words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'),
+                             lambda w: w <> '') AS w FROM documents
+),
+item_words AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'),
+                              lambda w: w <> '') AS w FROM benchmark
+),
+d AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM doc_words),
+b AS (SELECT item_id, len(w) AS m, unnest(w) AS word, generate_subscripts(w, 1) AS j
+      FROM item_words WHERE len(w) >= {seeds.SHORTEST}),
+same AS (SELECT doc_id, item_id, n, m, i, i - j AS shift, least({seeds.WINDOW}, m) AS size
+         FROM d JOIN b USING (word)),
+dense AS (
+  SELECT * FROM same
+  QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, shift) >= size -
+          CASE WHEN m < {seeds.WINDOW} THEN 0 ELSE {seeds.SUBSTITUTIONS} END
+),
+starts AS (
+  SELECT doc_id, item_id, shift, size, m, unnest(range(i - size + 1, i + 1)) AS s, n FROM dense
+),
+windows AS (
+  SELECT doc_id, item_id, s, size FROM starts
+  WHERE s >= 1 AND s > shift AND s + size - 1 <= n AND s + size - 1 - shift <= m
+  GROUP BY doc_id, item_id, shift, s, size, m
+  HAVING count(*) >= size - CASE WHEN m < {seeds.WINDOW} THEN 0 ELSE {seeds.SUBSTITUTIONS} END
+),
+places AS (
+  SELECT DISTINCT doc_id, item_id, unnest(range(s - 1, s + size - 1)) AS place FROM windows
+)
+SELECT doc_id, item_id, min(place) AS first_word, max(place) AS last_word, count(*) AS n_words
+FROM places GROUP BY doc_id, item_id"""
+
+
 QUERIES = {
     "op1_piece_codec": Query(piece_tokens),
     "op4_shards": Query(byte_shards),
     "op10_line_join": Query(repeated_lines, LINES_SQL),
+    "op7_seeds": Query(benchmark_leaks, LEAKS_SQL),
     "op8_shingle_join": Query(near_documents, SHINGLES_SQL),
     "op9_token_files": Query(token_id_files),
 }
