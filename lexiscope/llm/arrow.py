@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 
 def keyed_text(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -45,16 +45,21 @@ def small_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -
         first = last
 
 
-def split_words(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+def split_words(
+    data: np.ndarray, bounds: np.ndarray, cuts: np.ndarray | None = None
+) -> tuple[pa.Array, np.ndarray]:
     """The words of texts, between ASCII white space, and the number of the first of each text.
 
     ``data`` and ``bounds`` are as ``utf8_of`` gives them; the numbers end with that of all words.
+    ``cuts`` marks bytes at which a word begins besides.
     """
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     begins = bounds[:-1][bounds[:-1] < bounds[1:]]
     starts[begins] = inside[begins]
+    if cuts is not None:
+        starts |= cuts & inside
     at = np.flatnonzero(starts)
     packed = data[inside]
     offsets = np.append((np.cumsum(inside) - 1)[at], len(packed)).astype(np.int64)

@@ -18,6 +18,7 @@ import gc
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexiscope.llm.arrow import keyed_text, small_slices, split_words, utf8_of
+from lexiscope.llm.hashing import lower_ascii
 from lexiscope.sources.shared import fresh_path
 
 # Fixed values of the zstandard seekable format.
@@ -40,7 +42,8 @@ SEEKABLE = 0x8F92EAB1
 WITH_CHECKSUMS = 0x80
 
 FRAME_TOKENS = 1 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+LONG_WORD = 64  # longer ones are not kept
 NO_KEY = -(2**63)
 
 
@@ -121,10 +124,12 @@ class TokenFileReader:
 
 
 class WordEncoder:
-    """Ids of texts by the tokenizers library, asked once for each distinct word of a batch.
+    """Ids of texts by the tokenizers library, asked once for each distinct piece of a batch.
 
-    The vocabulary drops white space and no token goes across it, so the ids of a text are those
-    of its words one after the other.
+    The vocabulary drops white space, lowers letters first, and ends a token where letters are
+    followed by something else. So texts are lowered (A to Z) and cut at white space and between
+    an ASCII letter and ASCII punctuation, and the ids of a text are those of its pieces. Texts
+    that may hold the names of special tokens are cut at white space only, as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -139,16 +144,27 @@ class WordEncoder:
             known = self.known = {w: ids for w, ids in known.items() if w in used}
         for first in range(0, len(new), 10_000):
             some = new[first : first + 10_000]
-            coded = self.library.encode_batch(some, add_special_tokens=False)
-            known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(some, coded))
+            coded = self.library.encode_batch_fast(some, add_special_tokens=False)
+            known.update((w, array("I", c.ids).tobytes()) for w, c in zip(some, coded))
         found = [known[word] for word in words]
         for word in new:
-            if len(word) > 64:
+            if len(word) > LONG_WORD:
                 del known[word]
         return found
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        words, begins = split_words(*utf8_of(texts))
+        data, bounds = utf8_of(texts)
+        opens = data == ord("<")
+        if (opens[:-1] & (data[1:] == ord("|"))).any():
+            words, begins = split_words(data, bounds)
+        else:
+            data = lower_ascii(data)
+            letter = (data >= 97) & (data <= 122)
+            digit = (data >= 48) & (data <= 57)
+            mark = (data > 32) & (data < 127) & ~letter & ~digit
+            cuts = np.zeros(len(data), bool)
+            cuts[1:] = mark[1:] & letter[:-1]
+            words, begins = split_words(data, bounds, cuts)
         coded = words.dictionary_encode()
         known = pa.array(self.look_up(coded.dictionary.to_pylist()), pa.large_binary())
         data, bounds = utf8_of(known.take(coded.indices))
