@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm import line_join, piece_codec, seeds, shards, shingle_join, token_files
+from lexiscope.llm import line_join, piece_codec, quality, seeds, shards, shingle_join, token_files
 from lexiscope.llm.ship import ship_package
 from lexiscope.plans.query import Query
 
@@ -24,6 +24,12 @@ def piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.token_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 def byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -152,6 +158,7 @@ FROM places GROUP BY doc_id, item_id"""
 
 QUERIES = {
     "op1_piece_codec": Query(piece_tokens),
+    "op2_passage_quality": Query(passage_quality),
     "op4_shards": Query(byte_shards),
     "op10_line_join": Query(repeated_lines, LINES_SQL),
     "op7_seeds": Query(benchmark_leaks, LEAKS_SQL),
