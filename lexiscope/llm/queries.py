@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm import line_join, piece_codec, quality, seeds, shards, shingle_join, token_files
+from lexiscope.llm import bilinear, line_join, piece_codec, quality, seeds, shards, shingle_join, token_files
 from lexiscope.llm.ship import ship_package
 from lexiscope.plans.query import Query
 
@@ -34,6 +34,10 @@ def byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bilinear.score_texts(table(spark, sf_dir, "documents"))
+
+
 def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -161,6 +165,7 @@ QUERIES = {
     "op2_passage_quality": Query(passage_quality),
     "op4_shards": Query(byte_shards),
     "op10_line_join": Query(repeated_lines, LINES_SQL),
+    "op5_bilinear": Query(model_scores),
     "op7_seeds": Query(benchmark_leaks, LEAKS_SQL),
     "op8_shingle_join": Query(near_documents, SHINGLES_SQL),
     "op9_token_files": Query(token_id_files),
