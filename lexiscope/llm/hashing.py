@@ -81,3 +81,26 @@ def run_hashes(values: np.ndarray, size: int) -> np.ndarray:
     for at in range(size):
         total = mix(total + values[at : at + count] + np.uint64((at + 1) * int(MULTIPLIER) % (1 << 64)))
     return total
+
+
+class RollingHash:
+    """Two independent hashes of any stretch of some bytes, from sums up to every place."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        ahead, self.back = _powers(len(data) + 1)
+        self.sums = []
+        for table in (_BYTES, mix(_BYTES)):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(table[data] * ahead[: len(data)], out=sums[1:])
+            self.sums.append(sums)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+        sums = self.sums[which]
+        length = (ends - starts).astype(np.uint64)
+        return mix((sums[ends] - sums[starts]) * self.back[starts] + length * _MIX2)
+
+    def every(self, size: int) -> np.ndarray:
+        """The first hash of all stretches of ``size`` bytes."""
+        sums = self.sums[0]
+        count = max(len(sums) - size, 0)
+        return mix((sums[size : size + count] - sums[:count]) * self.back[:count])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm import bilinear, line_join, piece_codec, quality, seeds, shards, shingle_join, token_files
+from lexiscope.llm import bilinear, line_join, phrases, piece_codec, quality, seeds, shards, shingle_join, token_files
 from lexiscope.llm.ship import ship_package
 from lexiscope.plans.query import Query
 
@@ -30,6 +30,10 @@ def passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -163,6 +167,7 @@ FROM places GROUP BY doc_id, item_id"""
 QUERIES = {
     "op1_piece_codec": Query(piece_tokens),
     "op2_passage_quality": Query(passage_quality),
+    "op3_phrases": Query(repeated_bytes),
     "op4_shards": Query(byte_shards),
     "op10_line_join": Query(repeated_lines, LINES_SQL),
     "op5_bilinear": Query(model_scores),
