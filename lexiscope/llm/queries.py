@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm import bilinear, line_join, phrases, piece_codec, quality, seeds, shards, shingle_join, token_files
+from lexiscope.llm import bilinear, line_join, phrases, piece_codec, prefix_forest, quality, seeds, shards, shingle_join, token_files
 from lexiscope.llm.ship import ship_package
 from lexiscope.plans.query import Query
 
@@ -42,6 +42,10 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bilinear.score_texts(table(spark, sf_dir, "documents"))
 
 
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -171,6 +175,7 @@ QUERIES = {
     "op4_shards": Query(byte_shards),
     "op10_line_join": Query(repeated_lines, LINES_SQL),
     "op5_bilinear": Query(model_scores),
+    "op6_prefix_forest": Query(near_vectors),
     "op7_seeds": Query(benchmark_leaks, LEAKS_SQL),
     "op8_shingle_join": Query(near_documents, SHINGLES_SQL),
     "op9_token_files": Query(token_id_files),
