@@ -1,9 +1,9 @@
 """Removal of lines that nearly repeat an earlier one, as an exact set-similarity join.
 
-A line is the set of its words (between white space, letters A to Z in lower case). Two lines match
-when the Jaccard similarity of their sets is at least ``similarity``; a line goes if one that
-matches it stands earlier, in a document of a smaller id or higher up in the same one, whether or
-not that one goes too. Lines without words stay.
+A line is the set of its words (between spaces, tabs and carriage returns, in lower case). Two
+lines match when the Jaccard similarity of their sets is at least ``similarity``; a line goes if
+one that matches it stands earlier, in a document of a smaller id or higher up in the same one,
+whether or not that one goes too. Lines without words stay.
 
 Lines with the same set are one class, which its first line stands for, so copies cost a partial
 aggregate and never a join. The words of a class are ordered by rarity, which a table of counts
@@ -19,8 +19,6 @@ id comes first; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +31,15 @@ LOWEST = 33  # first printable character; levels of frequency are printable char
 NO_ID = -(2**63)
 BROADCAST_ROWS = 200_000  # of 16 bytes each
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_BLANK = "\t\x0b\x0c\r"
-
-
 def _plain(text: Column) -> Column:
-    return F.translate(text, _UPPER + _BLANK, _UPPER.lower() + " " * len(_BLANK))
+    spaced = F.replace(F.replace(text, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    return F.lower(spaced)
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(
         F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("doc"),
-        F.xxhash64(text).alias("version"),
+        F.hash(text).alias("version"),
         F.col(text).alias("text"),
     )
 
@@ -58,11 +53,10 @@ def frequency_levels(docs: DataFrame, text: str = "text", counters: int = COUNTE
     spark = docs.sparkSession
     across = 1 << (counters.bit_length() // 2)
     words = docs.select(
-        F.explode(F.split(F.translate(_plain(F.col(text)), "\n", " "), " ")).alias("word")
+        F.explode(F.split(F.replace(_plain(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("word")
     )
     counted = (
-        words.filter("word <> ''")
-        .groupBy(F.pmod(F.xxhash64("word"), F.lit(counters)).alias("counter"))
+        words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(counters - 1)).alias("counter"))
         .count()
         .unionAll(spark.range(counters).select("id", F.lit(0).cast("bigint")))
         .groupBy("counter")
@@ -83,44 +77,37 @@ def frequency_levels(docs: DataFrame, text: str = "text", counters: int = COUNTE
 
 def line_sets(rows: DataFrame, levels: bytes) -> DataFrame:
     """Every line with words: where it is, and its set as codes with the rarest word first."""
-    table, count = F.lit(levels), len(levels)
+    table, last = F.lit(levels), F.lit(len(levels) - 1)
 
-    def code(word: Column) -> Column:
-        hashed = F.xxhash64(word)
-        place = (F.pmod(hashed, F.lit(count)) + 1).cast("int")
-        level = F.ascii(F.substring(table, place, 1).cast("string")).cast("bigint")
+    def code(hashed: Column) -> Column:
+        # places of a binary start at 1, and 0 means 1: two words share that counter
+        place = hashed.bitwiseAND(last).cast("int")
+        level = F.ascii(F.substring(table, place, F.lit(1)).cast("string")).cast("bigint")
         return F.shiftleft(level, CODE_BITS).bitwiseOR(
             F.shiftrightunsigned(hashed, 64 - CODE_BITS)
         )
 
     lines = rows.select(
         "doc", "version", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "words")
-    )
-    words = F.filter(F.split("words", " "), lambda word: word != "")
-    coded = lines.select(
-        "doc",
-        "version",
-        "line",
-        F.sort_array(F.array_distinct(F.transform(words, code))).alias("codes"),
-    )
-    return coded.filter(F.size("codes") > 0)
+    ).filter(F.trim("words") != "")
+    hashes = F.array_distinct(F.transform(F.split("words", " "), lambda word: F.xxhash64(word)))
+    no_word = F.xxhash64(F.lit(""))
+    coded = F.transform(F.array_remove(hashes, no_word), code)
+    return lines.select("doc", "version", "line", F.sort_array(coded).alias("codes"))
 
 
 PLACE = ("doc", "version", "line")
-BITS = ("bits0", "bits1")
 
 
-def _parity(codes: Column, half: int) -> Column:
-    """64 of 128 bits of a set: whether an odd number of its words hash to each.
+def _parity(codes: Column) -> Column:
+    """64 bits of a set: whether an odd number of its words hash to each.
 
     Sets with different bits in ``k`` places differ in at least ``k`` words.
     """
 
     def turned(bits: Column, code: Column) -> Column:
         place = code.bitwiseAND(F.lit(63)).cast("int")
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
-        mine = F.shiftright(code, 6).bitwiseAND(F.lit(1)) == half
-        return F.when(mine, bits.bitwiseXOR(bit)).otherwise(bits)
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), place))
 
     return F.aggregate(codes, F.lit(0).cast("bigint"), turned)
 
@@ -140,9 +127,7 @@ def _may_match(similarity: int) -> Column:
     n, m = F.col("a.n"), F.col("b.n")
     both = n + m
     shared = 1 + F.least(n - F.col("a.pos") - 1, m - F.col("b.pos") - 1)
-    unlike = reduce(
-        Column.__add__, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in BITS]
-    )
+    unlike = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
     return (
         (F.greatest(n, m) * similarity <= F.least(n, m) * 100)
         & (shared * (100 + similarity) >= both * similarity)
@@ -157,14 +142,10 @@ def _matches(similarity: int) -> Column:
 
 
 def _postings(lines: DataFrame, *more: str) -> DataFrame:
-    return lines.select(
-        *PLACE, "n", *BITS, *more, F.posexplode("prefix").alias("pos", "code")
-    )
+    return lines.select(*PLACE, "n", "bits", *more, F.posexplode("prefix").alias("pos", "code"))
 
 
-def _meet(
-    side: str, postings: DataFrame, condition: Column
-) -> DataFrame:
+def _meet(side: str, postings: DataFrame, condition: Column) -> DataFrame:
     """Places of the later (``a``) or earlier (``b``) lines of pairs that fulfil a condition."""
     other = "b" if side == "a" else "a"
     met = postings.alias(side).join(
@@ -175,10 +156,10 @@ def _meet(
     return met.select(*PLACE).distinct()
 
 
-def removed_lines(
+def kept_lines(
     docs: DataFrame, similarity: int = SIMILARITY, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Places (``doc``, ``version``, ``line``) of the lines that match an earlier one."""
+    """Places (``doc``, ``version``, ``line``) of the lines with words that match no earlier one."""
     rows = _rows(docs, key, text)
     levels = frequency_levels(rows)
     size = F.size("codes")
@@ -187,22 +168,17 @@ def removed_lines(
         size.alias("n"),
         F.xxhash64("codes").alias("set0"),
         F.hash("codes").alias("set1"),
-        _parity(F.col("codes"), 0).alias("bits0"),
-        _parity(F.col("codes"), 1).alias("bits1"),
+        _parity(F.col("codes")).alias("bits"),
         F.slice("codes", F.lit(1), _prefix_size(size, similarity).cast("int")).alias("prefix"),
     )
-    lines = write_and_reread(described, "lines")
-    first = F.min(F.struct(*PLACE, *BITS, "prefix")).alias("first")
-    classes = write_and_reread(
-        lines.groupBy("set0", "set1", "n").agg(first).select("first.*", "n"), "line-classes"
-    )
+    first = F.min(F.struct(*PLACE, "bits", "prefix")).alias("first")
+    grouped = described.groupBy("set0", "set1", "n").agg(first)
+    classes = write_and_reread(grouped.select("first.*", "n"), "line-classes")
     # a set can match another one only if it could lose a word and still match what it was
     joined = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * similarity)
-    met = _meeting(joined, similarity)
-    likely = write_and_reread(met, "likely-lines")
+    likely = write_and_reread(_meeting(joined, similarity), "likely-lines")
     matched = _verified(rows, likely, levels, similarity)
-    kept = classes.select(*PLACE).join(matched, [*PLACE], "left_anti")
-    return lines.select(*PLACE).join(kept, [*PLACE], "left_anti")
+    return classes.select(*PLACE).join(matched, [*PLACE], "left_anti")
 
 
 def _meeting(classes: DataFrame, similarity: int) -> DataFrame:
@@ -223,8 +199,7 @@ def _verified(rows: DataFrame, likely: DataFrame, levels: bytes, similarity: int
     full = lines.select(
         *PLACE,
         size.alias("n"),
-        _parity(F.col("codes"), 0).alias("bits0"),
-        _parity(F.col("codes"), 1).alias("bits1"),
+        _parity(F.col("codes")).alias("bits"),
         F.slice("codes", F.lit(1), _prefix_size(size, similarity).cast("int")).alias("prefix"),
         "codes",
     )
@@ -239,29 +214,35 @@ def remove_repeated_lines(
 
     ``__lines`` is how many lines a text had and ``__removed`` how many went; a null text has none.
     """
-    removed = (
-        removed_lines(docs, similarity, key, text)
+    kept = (
+        kept_lines(docs, similarity, key, text)
         .groupBy(F.col("doc").alias("__doc"), F.col("version").alias("__version"))
-        .agg(F.array_distinct(F.collect_list("line")).alias("__gone"))
+        .agg(F.collect_list("line").alias("__kept"))
     )
     marked = docs.withColumns(
         {
             "__doc": F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)),
-            "__version": F.xxhash64(text),
+            "__version": F.hash(text),
         }
     )
-    joined = marked.join(removed, ["__doc", "__version"], "left")
-    lines = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines_of") - 1), F.col("__gone"))
-    whole = joined.withColumn("__lines_of", lines)
-    left = F.array_join(F.transform(stay, lambda i: F.get("__lines_of", i)), "\n")
-    return whole.select(
+    whole = marked.join(kept, ["__doc", "__version"], "left").withColumn(
+        "__all", F.split(text, "\n")
+    )
+    every = F.sequence(F.lit(0), F.size("__all") - 1)
+    blank = F.filter(every, lambda i: F.trim(_plain(F.get("__all", i))) == "")
+    some = F.coalesce("__kept", F.array().cast("array<int>"))
+    placed = whole.withColumn("__stay", F.array_sort(F.array_union(some, blank)))
+    left = F.array_join(F.transform("__stay", lambda i: F.get("__all", i)), "\n")
+    whole_text = F.size("__stay") == F.size("__all")
+    return placed.select(
         *[
-            F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left).alias(text)
+            F.when(F.col(text).isNull() | whole_text, F.col(text)).otherwise(left).alias(text)
             if c == text
             else F.col(c)
             for c in docs.columns
         ],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines_of")).alias("__lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).alias("__removed"),
+        F.when(F.col(text).isNull(), 0).otherwise(F.size("__all")).alias("__lines"),
+        F.when(F.col(text).isNull(), 0)
+        .otherwise(F.size("__all") - F.size("__stay"))
+        .alias("__removed"),
     )

@@ -62,9 +62,8 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES_SQL = f"""
 WITH lines AS (
-  SELECT doc_id, line_no, line, list_distinct(list_filter(string_split(
-           translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(11) || chr(12) || chr(13),
-                     'abcdefghijklmnopqrstuvwxyz    '), ' '), lambda w: w <> '')) AS words
+  SELECT doc_id, line_no, line, list_distinct(list_filter(string_split(lower(
+           replace(replace(line, chr(9), ' '), chr(13), ' ')), ' '), lambda w: w <> '')) AS words
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) AS line_no
         FROM documents)
@@ -95,7 +94,7 @@ FROM marked GROUP BY doc_id"""
 
 
 def near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents")).drop("version")
 
 
 SHINGLES_SQL = """
