@@ -302,7 +302,7 @@ def codec_of(model_path: str) -> PieceCodec:
 
 
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-FULL = "doc_id bigint, ids string, n_tokens bigint, decoded string"
+FULL = "doc_id bigint, ids array<int>, n_tokens bigint, decoded string"
 
 
 def _coded(batch: pa.RecordBatch, codec: PieceCodec) -> Iterator[tuple[bytes, int, bytes]]:
@@ -320,10 +320,14 @@ def _coded(batch: pa.RecordBatch, codec: PieceCodec) -> Iterator[tuple[bytes, in
             yield joined[:-1], joined.count(b","), decoded[1:]
 
 
+def _numbers(joined: bytes) -> np.ndarray:
+    return np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32)
+
+
 def encode_and_decode(
     docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Ids of every text as decimal numbers joined by commas, their number, and the text again."""
+    """Ids of every text, their number, and what they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model_path)
@@ -333,7 +337,7 @@ def encode_and_decode(
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
-                    pa.array([i.decode() for i in ids], pa.string()),
+                    pa.array([_numbers(i) for i in ids], pa.list_(pa.int32())),
                     pa.array(counts, pa.int64()),
                     pa.array([d.decode("utf-8", "replace") for d in decoded], pa.string()),
                 ],

@@ -22,8 +22,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -260,19 +260,14 @@ def keep_quality(
     docs: DataFrame, model: AttentionModel, threshold: float = THRESHOLD, text: str = "text"
 ) -> DataFrame:
     """The rows whose text scores at least ``threshold``, with all their columns."""
-    names = docs.columns
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-        parts = [
-            model.score(*utf8_of(some.column("text")))
-            for some in small_slices(batch, "text", 1 << 20)
-        ]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
-
-    scored = docs.withColumn("__score", score(F.coalesce(F.col(text), F.lit(""))))
-    return scored.filter(F.col("__score") >= threshold).select(*names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in small_slices(batch, text, 1 << 20):
+                texts = pc.fill_null(some.column(text), "")
+                kept = model.score(*utf8_of(texts)) >= threshold
+                yield some.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def quality_table(

@@ -78,16 +78,17 @@ def _set_id(values: np.ndarray) -> bytes:
 
 
 PACKED = (
-    "doc_id bigint, n bigint, set_id binary, "
+    "doc_id bigint, version bigint, n bigint, set_id binary, "
     "bucket int, owners binary, counts binary, shingles binary"
 )
 
 
 def _pack(docs: DataFrame, buckets: int, similarity: int) -> DataFrame:
     """One row for each document, and rows that hold prefix shingles by range of hash values."""
-    names = ["doc_id", "n", "set_id", "bucket", "owners", "counts", "shingles"]
+    names = ["doc_id", "version", "n", "set_id", "bucket", "owners", "counts", "shingles"]
     types = [
-        pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(),
+        pa.int64(), pa.int64(), pa.int64(), pa.binary(),
+        pa.int32(), pa.binary(), pa.binary(), pa.binary(),
     ]
 
     def packed(owners: list, prefixes: list) -> pa.RecordBatch:
@@ -104,8 +105,8 @@ def _pack(docs: DataFrame, buckets: int, similarity: int) -> DataFrame:
             counts = np.diff(np.append(change, len(own))).astype(np.uint32)
             some = values[inside].astype(np.uint32)
             rows.append((b, own[change].tobytes(), counts.tobytes(), some.tobytes()))
-        empty = [pa.nulls(len(rows), kind) for kind in types[:3]]
-        full = [pa.array(c, kind) for c, kind in zip(zip(*rows), types[3:])]
+        empty = [pa.nulls(len(rows), kind) for kind in types[:4]]
+        full = [pa.array(c, kind) for c, kind in zip(zip(*rows), types[4:])]
         return pa.RecordBatch.from_arrays(empty + full, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +124,11 @@ def _pack(docs: DataFrame, buckets: int, similarity: int) -> DataFrame:
                         owners.append(NO_ID if key is None else key)
                         prefixes.append(values[: n - _needed(n, similarity) + _first_l(n)])
                         held += len(prefixes[-1])
-                described = [some.column("key"), pa.array(sizes, types[1]), pa.array(ids, types[2])]
-                nothing = [pa.nulls(some.num_rows, kind) for kind in types[3:]]
+                described = [
+                    some.column("key"), some.column("version"), pa.array(sizes, types[2]),
+                    pa.array(ids, types[3]),
+                ]
+                nothing = [pa.nulls(some.num_rows, kind) for kind in types[4:]]
                 yield pa.RecordBatch.from_arrays(described + nothing, names=names)
                 if held >= PACK_SHINGLES:
                     yield packed(owners, prefixes)
@@ -296,12 +300,15 @@ def _candidates(postings: DataFrame, labels: DataFrame, similarity: int) -> Data
 def near_duplicates(
     docs: DataFrame, similarity: int = SIMILARITY, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id it reaches."""
-    rows = keyed_text(docs, key, text)
+    """Per row: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id it reaches.
+
+    ``version``, a hash of the text, tells rows of one id apart.
+    """
+    rows = keyed_text(docs, key, text).withColumn("version", F.xxhash64("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(16, -(-total // RANGE_BYTES))
     packed = write_and_reread(_pack(rows, buckets, similarity), "packed-shingles")
-    described = packed.filter("bucket is null").select("doc_id", "n", "set_id")
+    described = packed.filter("bucket is null").select("doc_id", "version", "n", "set_id")
 
     # enough of a prefix must occur elsewhere, for the smallest set that may link with this one
     n = F.col("n")
@@ -351,4 +358,25 @@ def near_duplicates(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
+        "version",
+    )
+
+
+def one_of_each(
+    docs: DataFrame, similarity: int = SIMILARITY, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows with the smallest id of their component, each once, with all their columns.
+
+    Rows without words stay; so do rows without id that link with no row that has one.
+    """
+    found = near_duplicates(docs, similarity, key, text)
+    stay = found.filter(F.coalesce("doc_id", F.lit(NO_ID)) == F.coalesce("component_id", F.lit(NO_ID)))
+    marks = stay.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("version").alias("__version"))
+    marked = docs.withColumns(
+        {
+            "__id": F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)),
+            "__version": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
+        }
     )
+    kept = marked.join(marks.distinct(), ["__id", "__version"], "left_semi")
+    return kept.dropDuplicates(["__id", "__version"]).select(*docs.columns)

@@ -64,7 +64,7 @@ def test_equals_all_pairs(spark, seed, similarity):
     frame = spark.createDataFrame(
         [(k, t, "n", 1) for k, t in rows], "doc_id bigint, text string, node string, n int"
     )
-    found = sorted(map(tuple, shingle_join.near_duplicates(frame, similarity).collect()))
+    found = sorted(tuple(r)[:3] for r in shingle_join.near_duplicates(frame, similarity).collect())
     assert found == brute(rows, similarity)
 
 
@@ -73,7 +73,7 @@ def test_many_ranges_and_no_broadcast_give_the_same(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     monkeypatch.setattr(shingle_join, "RANGE_BYTES", 100)
     monkeypatch.setattr(shingle_join, "BROADCAST_ROWS", -1)
-    found = sorted(map(tuple, shingle_join.near_duplicates(frame).collect()))
+    found = sorted(tuple(r)[:3] for r in shingle_join.near_duplicates(frame).collect())
     assert found == brute(rows)
 
 

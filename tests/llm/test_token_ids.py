@@ -56,7 +56,7 @@ def test_full_output_holds_ids_and_text(awkward):
     for row in piece_codec.encode_and_decode(awkward, PIECES).collect():
         text = AWKWARD[row.doc_id % len(AWKWARD)] if row.doc_id is not None else "a"
         ids, decoded = expected_pieces(text)
-        assert row.ids == ",".join(map(str, ids)) and row.decoded == decoded
+        assert (row.ids, row.n_tokens, row.decoded) == (ids, len(ids), decoded)
 
 
 @settings(max_examples=150, deadline=None)
