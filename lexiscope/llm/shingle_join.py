@@ -15,8 +15,9 @@ A set that links with another shares at least ``l`` shingles with it among the f
    the order is by rarity, and every set lengthens its prefix, choosing the ``l`` for which the
    lengths of the posting lists it would meet, and the verifications expected from them, cost
    least. Two sets are a candidate when they share the smaller of their two ``l``.
-3. Large groups of near copies are joined first to one pivot each, which is linear; candidates are
-   only made between sets that these links have not already connected.
+3. Large groups of near copies are joined first to pivots, the sets with the fewest shingles of
+   their own, which is linear and repeated ``PIVOT_ROUNDS`` times; candidates are only made between
+   sets that these links have not already connected.
 4. Candidates are verified with the whole sets, and the links' components give the answer.
 
 Shingles are 64-bit hashes. Defined results: documents without words have an empty set and link
@@ -27,6 +28,7 @@ null and links through its text; an empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ SIMILARITY = 75  # percent
 RANGE_BYTES = 64 << 20  # of text, for each range of hash values counted together
 PACK_SHINGLES = 2_000_000
 BROADCAST_ROWS = 500_000  # of 8 bytes each
+PIVOT_ROUNDS = 2
+PARITY_WORDS = 16
 NO_ID = -(2**63)
 
 
@@ -165,6 +169,16 @@ def _shared_counts(packed: DataFrame) -> DataFrame:
     return by_range.groupBy("doc_id").agg(F.sum("shared").alias("shared"))
 
 
+def _parity(values: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles hash to each of some bits, in 64-bit words.
+
+    Sets whose words differ in ``k`` bits differ in at least ``k`` shingles.
+    """
+    size = 64 * PARITY_WORDS
+    odd = np.bincount((mix(values) >> np.uint64(40)).astype(np.int64) % size, minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _whole_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,15 +189,20 @@ def _whole_sets(docs: DataFrame) -> DataFrame:
                         some.column("key"),
                         pa.array([_set_id(s) for s in sets], pa.binary()),
                         pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        pa.array([_parity(s) for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "set_id", "shingles"],
+                    names=["doc_id", "set_id", "shingles", "parity"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, set_id binary, shingles array<bigint>")
+    schema = "doc_id bigint, set_id binary, shingles array<bigint>, parity array<bigint>"
+    return docs.mapInArrow(run, schema)
 
 
 def _adaptive_prefixes(sets: DataFrame, similarity: int) -> DataFrame:
-    """Posting rows (``token``, ``node``, ``n``, ``l``) of the prefix each set chooses."""
+    """Posting rows (``token``, ``node``, ``n``, ``l``, ``own``) of the prefix each set chooses.
+
+    ``own`` is how many in a thousand of its shingles no other set has.
+    """
     tokens = sets.select("node", "n", F.explode("shingles").alias("token"))
     frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     ranked = (
@@ -213,20 +232,21 @@ def _adaptive_prefixes(sets: DataFrame, similarity: int) -> DataFrame:
                     cost = spent[use] * (1 + n / (8 * step))
                     best = min(best, (cost, step, use))
                     step *= 2
-                out.append((node, n, best[1], token.values.to_numpy()[: best[2]]))
-            lengths = [len(o[3]) for o in out]
+                chosen = token.values.to_numpy()[: best[2]]
+                out.append((node, n, best[1], rare * 1000 // n, chosen))
+            lengths = [len(o[4]) for o in out]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([o[3] for o in out]) if out else [], pa.int64()),
+                    pa.array(np.concatenate([o[4] for o in out]) if out else [], pa.int64()),
                     *[
                         pa.array(np.repeat(np.array([o[i] for o in out], np.int64), lengths))
-                        for i in range(3)
+                        for i in range(4)
                     ],
                 ],
-                names=["token", "node", "n", "l"],
+                names=["token", "node", "n", "l", "own"],
             )
 
-    return ranked.mapInArrow(run, "token bigint, node bigint, n bigint, l bigint")
+    return ranked.mapInArrow(run, "token bigint, node bigint, n bigint, l bigint, own bigint")
 
 
 def _sizes_allow(a: str, b: str, similarity: int) -> Column:
@@ -245,47 +265,77 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     ).select("a", "b")
 
 
-def _to_pivots(postings: DataFrame, similarity: int) -> DataFrame:
-    """A pair of every set and the pivot it shares most with; a list's pivot is its least node.
+def _labelled(postings: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Postings of the lists that more than one component is in, and each list's largest one."""
+    if labels is None:
+        marked = postings.withColumn("label", F.col("node"))
+    else:
+        marked = postings.join(labels, "node", "left").withColumn(
+            "label", F.coalesce("label", "node")
+        )
+    parts = marked.groupBy("token", "label").count()
+    largest = parts.groupBy("token").agg(
+        F.max_by("label", F.struct("count", "label")).alias("largest"),
+        F.max("count").alias("most"),
+        F.count(F.lit(1)).alias("parts"),
+    )
+    return marked, largest.filter("parts > 1")
+
+
+def _to_pivots(
+    postings: DataFrame, labels: DataFrame | None, tested: DataFrame | None, similarity: int
+) -> DataFrame:
+    """A pair of every set and the pivot, of another component, that it shares most with.
 
-    Least in the order of a hash, so that the pairs lead to ever smaller values.
+    The pivot of a list is the set of its largest component, or of the whole list where none has
+    two sets in it, with the smallest share of shingles of its own: in a group of near copies that
+    is the one nearest to what they are copies of.
     """
-    order = F.struct(F.xxhash64("node").alias("h"), F.col("node"), F.col("n"))
-    pivots = postings.groupBy("token").agg(F.min(order).alias("p"))
-    return (
-        postings.join(pivots, "token")
-        .filter(F.col("node") != F.col("p.node"))
+    marked, lists = _labelled(postings, labels)
+    some = write_and_reread(marked.join(lists.drop("parts"), "token"), "pivot-lists")
+    order = F.struct("own", F.xxhash64("node"), "node", "n", "label")
+    eligible = (F.col("label") == F.col("largest")) | (F.col("most") == 1)
+    pivots = some.filter(eligible).groupBy("token").agg(F.min(order).alias("p"))
+    pairs = (
+        some.select("token", "node", "n", "label")
+        .join(pivots, "token")
+        .filter(F.col("label") != F.col("p.label"))
         .filter(_sizes_allow("n", "p.n", similarity))
         .groupBy(F.col("node").alias("a"), F.col("p.node").alias("b"))
         .count()
-        .groupBy("a")
-        .agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     )
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    return pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
 
 
-def _candidates(postings: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
+def _candidates(
+    postings: DataFrame, sets: DataFrame, labels: DataFrame, similarity: int
+) -> DataFrame:
     """Pairs that share enough of their prefixes and are not connected yet.
 
+    The parity bits of the two sets discard most of the others inside the join.
+
     In every list, sets outside its largest component meet all others; those inside do not meet
     each other, so a list of near copies costs no more than its length.
     """
-    known = labels.select("node", "label")
-    marked = postings.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    marked = write_and_reread(marked, "postings")
-    parts = marked.groupBy("token", "label").count()
-    largest = parts.groupBy("token").agg(
-        F.max_by("label", F.struct("count", "label")).alias("largest"),
-        F.count(F.lit(1)).alias("parts"),
+    marked, lists = _labelled(postings, labels)
+    names = [f"bits{i}" for i in range(PARITY_WORDS)]
+    bits = sets.select("node", *[F.get("parity", i).alias(c) for i, c in enumerate(names)])
+    open_lists = marked.join(lists.drop("parts", "most"), "token").join(bits, "node")
+    some = write_and_reread(open_lists, "postings")
+    unlike = reduce(
+        Column.__add__, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in names]
     )
-    open_lists = largest.filter("parts > 1").drop("parts")
-    some = marked.join(open_lists, "token")
+    alike = unlike * (100 + similarity) <= (F.col("x.n") + F.col("y.n")) * (100 - similarity)
     left = some.filter("label <> largest").alias("x")
     met = left.join(
         some.alias("y"),
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.label") != F.col("y.label"))
         & ((F.col("y.label") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node")))
-        & _sizes_allow("x.n", "y.n", similarity),
+        & _sizes_allow("x.n", "y.n", similarity)
+        & alike,
     )
     return (
         met.groupBy(
@@ -331,7 +381,11 @@ def near_duplicates(
     classes = (
         _whole_sets(texts)
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("first_id"), F.first("shingles").alias("shingles"))
+        .agg(
+            F.min("doc_id").alias("first_id"),
+            F.first("shingles").alias("shingles"),
+            F.first("parity").alias("parity"),
+        )
         .filter(F.size("shingles") > 0)
     )
     numbered = classes.select(
@@ -342,11 +396,15 @@ def near_duplicates(
     sets = write_and_reread(numbered, "shingle-sets")
 
     postings = write_and_reread(_adaptive_prefixes(sets, similarity), "postings")
-    direct = write_and_reread(
-        _verified(_to_pivots(postings, similarity), sets, similarity), "links"
-    )
-    labels = connected_components(direct)
-    further = _verified(_candidates(postings, labels, similarity), sets, similarity)
+    tested = labels = direct = None
+    for _ in range(PIVOT_ROUNDS):
+        pairs = write_and_reread(_to_pivots(postings, labels, tested, similarity), "pivot-pairs")
+        linked = _verified(pairs, sets, similarity)
+        tested = pairs if tested is None else tested.unionAll(pairs)
+        direct = linked if direct is None else direct.unionAll(linked)
+        direct = write_and_reread(direct, "links")
+        labels = connected_components(direct)
+    further = _verified(_candidates(postings, sets, labels, similarity), sets, similarity)
     links = write_and_reread(direct.unionAll(further), "links")
     labels = connected_components(links)
 
