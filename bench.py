@@ -26,6 +26,7 @@ HEADLINE = (
     "top_terms_by_category",
     "split_sizes",
     "language_distribution",
+    "language_rows",
     "minority_language_sample",
     "language_change_split",
     "combined_bodies",
@@ -42,6 +43,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    folder = tempfile.mkdtemp(prefix="lexiscope-bench-")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("lexiscope-bench")
@@ -49,7 +51,10 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="lexiscope-bench-"))
+        # the tables are small for so many cores
+        .config("spark.sql.files.maxPartitionBytes", "2m")
+        .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
+        .config("spark.checkpoint.dir", f"{folder}/shared")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -62,8 +62,12 @@ def strip_space(text: Column) -> Column:
 
 
 def hash_order(key: Column, seed: int) -> Column:
-    """A seeded pseudo-random sort key that is the same in every run and partitioning."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    """A seeded pseudo-random sort key that is the same in every run and partitioning.
+
+    A null key has one of its own, which no other value has.
+    """
+    marked = F.coalesce(F.concat(F.lit(":"), key.cast("string")), F.lit("?"))
+    return F.md5(F.concat(F.lit(f"{seed}"), marked))
 
 
 def hash_bucket(key: Column, seed: int, buckets: int) -> Column:

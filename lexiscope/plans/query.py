@@ -24,7 +24,7 @@ articles AS (
 
 
 def bucket_sql(key: str) -> str:
-    return f"(('0x' || substr(md5('42:' || {key}), 1, 8))::BIGINT % 100)"
+    return f"(('0x' || substr(md5(coalesce('42:' || {key}, '42?')), 1, 8))::BIGINT % 100)"
 
 
 def part_sql(key: str) -> str:

@@ -17,6 +17,8 @@ from lexiscope.sources.articles import (
 from lexiscope.sources.shared import fresh_path
 
 STORE = "lexiscope_store"
+PIECE_BYTES = 20_000
+BUCKETS = 8
 
 
 def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +36,16 @@ FROM articles
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all articles as CSV with an index column in front, then read them back without it."""
+    """Write all articles as CSV, with an index column in front and the others in another order and
+    partly under other names, then read the ones wanted back by their names.
+    """
     path = fresh_path(spark, "articles-csv")
-    exported = articles(spark, sf_dir).select("doc_id", "title", "summary", "body", "category")
+    exported = articles(spark, sf_dir).select(
+        "doc_id", F.col("category").alias("categoria"), "body", "title", "summary"
+    )
     exported.write.csv(path, header=True, quote='"', escape='"')
-    return read_articles_csv(spark, path).select(
+    names = {"title": "title", "summary": "summary", "body": "body", "categoria": "category"}
+    return read_articles_csv(spark, path, names).select(
         "title", F.md5("summary").alias("summary_md5"), F.md5("body").alias("body_md5"), "category"
     )
 
@@ -99,7 +106,7 @@ SELECT doc_id, title, summary, category FROM articles ORDER BY length(body) DESC
 
 
 def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inspect.schema_report(read_table(spark, sf_dir, "documents", "doc_id"))
+    return inspect.schema_report(read_table(spark, sf_dir, "documents"))
 
 
 SCHEMA_SQL = """
@@ -202,7 +209,7 @@ def profile_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile_columns(read_table(spark, sf_dir, "customer", "c_custkey"))
+    return profile.profile_columns(read_table(spark, sf_dir, "customer"))
 
 
 # --- statistics per category ---------------------------------------------------------------------
@@ -345,19 +352,26 @@ FROM articles WHERE len(string_split(body, ' ')) >= 25
 
 def category_text_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = stats.keep_long_articles(articles(spark, sf_dir))
-    return terms.category_text(kept, ids_per_piece=100).select(
-        "category", "id_range", "articles",
+    return terms.category_text(kept, ids_per_piece=100, max_piece_bytes=PIECE_BYTES).select(
+        "category", "id_range", "piece", "articles",
         F.length("all_text").cast("bigint").alias("chars"), F.md5("all_text").alias("text_md5"),
     )
 
 
-CATEGORY_TEXT_SQL = """
-WITH t AS (
-  SELECT lang AS category, doc_id // 100 AS id_range, count(*) AS articles,
-         string_agg(text, ' ' ORDER BY doc_id) AS all_text
-  FROM documents WHERE len(string_split(text, ' ')) >= 25 GROUP BY ALL
+CATEGORY_TEXT_SQL = f"""
+WITH kept AS (
+  SELECT lang AS category, doc_id // 100 AS id_range, doc_id, text,
+         coalesce(sum(strlen(text)) OVER (PARTITION BY lang, doc_id // 100 ORDER BY doc_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM documents WHERE len(string_split(text, ' ')) >= 25
+),
+t AS (
+  SELECT category, id_range, CAST(before // {PIECE_BYTES} AS BIGINT) AS piece,
+         count(*) AS articles, string_agg(text, ' ' ORDER BY doc_id) AS all_text
+  FROM kept GROUP BY ALL
 )
-SELECT category, id_range, articles, length(all_text) AS chars, md5(all_text) AS text_md5 FROM t
+SELECT category, id_range, piece, articles, length(all_text) AS chars, md5(all_text) AS text_md5
+FROM t
 """
 
 
@@ -404,6 +418,43 @@ def split_sizes_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.part_sizes(sampling.split_rows(articles(spark, sf_dir), "body"))
 
 
+def split_sizes_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split on the text where a label is known and on no key at all elsewhere."""
+    rows = articles(spark, sf_dir).join(read_table(spark, sf_dir, "labels"), "doc_id", "left")
+    body = F.when(F.col("quality").isNotNull(), F.col("body"))
+    return sampling.part_sizes(sampling.split_rows(rows.select(body.alias("body")), "body"))
+
+
+SPLIT_SIZES_WITH_NULLS_SQL = f"""
+WITH t AS (
+  SELECT CASE WHEN quality IS NOT NULL THEN text END AS body
+  FROM documents LEFT JOIN labels USING (doc_id)
+)
+SELECT {part_sql("body")} AS part, count(*) AS articles FROM t GROUP BY 1
+"""
+
+
+def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables in buckets of their key, joined without moving either."""
+    location = fresh_path(spark, "buckets")
+    name = f"{STORE}_{location.rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{location}'")
+    rows = articles(spark, sf_dir)
+    texts = save_table(rows.select("doc_id", "body"), f"{name}.texts", "doc_id", BUCKETS)
+    others = save_table(
+        rows.select("doc_id", "summary", "category"), f"{name}.others", "doc_id", BUCKETS
+    )
+    return texts.hint("merge").join(others, "doc_id").select(
+        "doc_id", "category", F.md5(F.concat_ws(" ", "summary", "body")).alias("text_md5")
+    )
+
+
+BUCKETED_JOIN_SQL = f"""
+WITH {ARTICLES_SQL}
+SELECT doc_id, category, md5(concat_ws(' ', summary, body)) AS text_md5 FROM articles
+"""
+
+
 def _sizes_sql(key: str) -> str:
     return f"SELECT {part_sql(key)} AS part, count(*) AS articles FROM documents GROUP BY 1"
 
@@ -470,6 +521,8 @@ QUERIES = {
     "top_terms_by_category": Query(top_terms_by_category, _top_terms_sql("category", 200)),
     "top_terms_by_source": Query(top_terms_by_source, _top_terms_sql("grp", 20, _STOP_SQL)),
     "split_sizes": Query(split_sizes, _sizes_sql("doc_id")),
+    "split_sizes_with_nulls": Query(split_sizes_with_nulls, SPLIT_SIZES_WITH_NULLS_SQL),
+    "bucketed_join": Query(bucketed_join, BUCKETED_JOIN_SQL),
     "split_sizes_by_text": Query(split_sizes_by_text, _sizes_sql("text")),
     "split_members": Query(
         split_members, f"SELECT doc_id, {part_sql('doc_id')} AS part FROM documents"

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexiscope.functions.text import first_line
 
@@ -22,39 +21,33 @@ MISSING_MARKERS = (
 def read_articles_csv(
     spark: SparkSession,
     path: str,
-    columns: Sequence[str] = ARTICLE_COLUMNS,
-    index_column: str | None = "row_index",
+    columns: Sequence[str] | Mapping[str, str] = ARTICLE_COLUMNS,
     missing_markers: Sequence[str] = MISSING_MARKERS,
 ) -> DataFrame:
-    """Read article CSV files as strings, without the leading index column.
+    """Read the named columns of article CSV files as strings, whatever their order in the files.
 
+    ``columns`` lists the names, or maps the names in the header to those wanted. Other columns,
+    such as an unnamed index in front, are left out; a name that the header lacks is an error.
     Quoted fields may hold line breaks, so a single file is read by a single task: give the
     corpus as many files, or convert it to Parquet once.
     """
-    names = ([index_column] if index_column else []) + list(columns)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    raw = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
-    if index_column:
-        raw = raw.drop(index_column)
+    wanted = dict(columns) if isinstance(columns, Mapping) else {c: c for c in columns}
+    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    lacking = [name for name in wanted if name not in raw.columns]
+    if lacking:
+        raise ValueError(f"the header has no {lacking}, only {raw.columns}")
     markers = list(missing_markers)
-    return raw.select(*[F.when(~F.col(c).isin(markers), F.col(c)).alias(c) for c in columns])
+    named = [(raw[f"`{name}`"], alias) for name, alias in wanted.items()]
+    return raw.select(*[F.when(~c.isin(markers), c).alias(alias) for c, alias in named])
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
-    """Read one Parquet table, spread by its unique ``key`` if it has fewer splits than cores.
-
-    A large table has far more splits than cores and is left as it is, without a shuffle.
-    """
-    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() < cores:
-        table = table.repartition(cores, *key)
-    return table
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table seen as articles: doc_id, title, summary, body, category, grp."""
-    documents = read_table(spark, sf_dir, "documents", "doc_id")
+    documents = read_table(spark, sf_dir, "documents")
     return documents.select(
         "doc_id",
         F.concat_ws("-", "source", "doc_id").alias("title"),
@@ -73,14 +66,17 @@ def with_row_id(df: DataFrame, out: str = "doc_id") -> DataFrame:
 
 
 def save_table(
-    df: DataFrame, name: str, bucket_key: str | None = None, buckets: int = 200
+    df: DataFrame, name: str, bucket_key: str | None = None, buckets: int | None = None
 ) -> DataFrame:
     """Store a managed table, replacing an older one of the same name, and return it.
 
     With a ``bucket_key`` the rows are stored in buckets of that key, one file each. Joins and
     groupings on the key then move no articles, which pays off for a corpus that goes through
-    several language operators. A bucket is read by one task, so give a large table many.
+    several language operators. A bucket is read by one task, so ``buckets`` must be given and
+    should grow with the table.
     """
+    if (bucket_key is None) != (buckets is None):
+        raise ValueError("give a bucket key and the number of buckets together")
     if bucket_key is None:
         df.write.mode("overwrite").saveAsTable(name)
     else:

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lexiscope.operators.classify import categorize
-from lexiscope.sources.shared import fresh_path
 
 
 def arriving_articles(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
@@ -19,17 +18,18 @@ def arriving_articles(spark: SparkSession, folder: str, schema: StructType | str
 
 
 def store_categories(
-    articles: DataFrame, model: PipelineModel, folder: str, checkpoint: str | None = None
+    articles: DataFrame, model: PipelineModel, folder: str, checkpoint: str
 ) -> StreamingQuery:
     """Append every arriving article with its predicted category to ``folder``; stops when done.
 
-    Run it again with the same ``checkpoint`` to continue where it stopped.
+    ``checkpoint`` is a folder of this stream; run it again with the same one to continue where it
+    stopped, so that no article is stored twice.
     """
     return (
         categorize(articles, model)
         .drop("probability")
         .writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint or fresh_path(articles.sparkSession, "stream"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start(folder)
     )

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from lexiscope.sources.articles import articles, read_articles_csv, read_table, save_table, with_row_id
-from lexiscope.sources.shared import fresh_path, shared_dir, write_and_reread
+from lexiscope.sources.shared import fresh_path, intermediate_files, shared_dir, write_and_reread
 
 
 def write(path, text):
@@ -11,9 +11,12 @@ def write(path, text):
     return str(path)
 
 
+NAMES = {"title": "title", "summary": "summary", "documents": "body", "categoria": "category"}
+
+
 def test_csv_drops_the_index_and_keeps_quotes_and_line_breaks(spark, tmp_path):
     text = ',title,summary,documents,categoria\n0,"a ""b"" c","one\ntwo",body\\n,x\n1,t,"s, s",b,y\n'
-    rows = read_articles_csv(spark, write(tmp_path / "a.csv", text)).collect()
+    rows = read_articles_csv(spark, write(tmp_path / "a.csv", text), NAMES).collect()
     assert [tuple(r) for r in rows] == [
         ('a "b" c', "one\ntwo", "body\\n", "x"),
         ("t", "s, s", "b", "y"),
@@ -22,14 +25,14 @@ def test_csv_drops_the_index_and_keeps_quotes_and_line_breaks(spark, tmp_path):
 
 def test_csv_missing_values_become_null(spark, tmp_path):
     text = ',title,summary,documents,categoria\n0,NaN,,"",None\n1,null,nan ,Nan,N/A\n'
-    rows = read_articles_csv(spark, write(tmp_path / "a.csv", text)).collect()
+    rows = read_articles_csv(spark, write(tmp_path / "a.csv", text), NAMES).collect()
     assert [tuple(r) for r in rows] == [(None, None, None, None), (None, "nan ", "Nan", None)]
 
 
 def test_csv_without_index_and_with_own_markers(spark, tmp_path):
     path = write(tmp_path / "a.csv", "t,c\nNA,\nx,y\n")
     rows = read_articles_csv(
-        spark, path, columns=("t", "c"), index_column=None, missing_markers=("x",)
+        spark, path, columns=("t", "c"), missing_markers=("x",)
     ).collect()
     assert rows[0]["t"] == "NA" and rows[1]["t"] is None
 
@@ -49,13 +52,31 @@ def test_bucketed_table_joins_without_shuffle(spark):
     assert "Exchange" not in plan
 
 
-def test_small_table_is_spread_and_a_spread_one_is_left_alone(spark, small, tmp_path):
-    cores = spark.sparkContext.defaultParallelism
-    assert read_table(spark, small, "documents", "doc_id").rdd.getNumPartitions() == cores
-    spark.range(1000).repartition(3 * cores).write.parquet(str(tmp_path / "many.parquet"))
-    many = read_table(spark, str(tmp_path), "many", "id")
-    if many.rdd.getNumPartitions() > cores:
-        assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
+def test_csv_columns_are_found_by_their_names(spark, tmp_path):
+    path = write(tmp_path / "a.csv", ",category,title,summary,body\n0,CAT,TIT,SUM,BODY\n")
+    row = read_articles_csv(spark, path).first()
+    assert row.asDict() == {"title": "TIT", "summary": "SUM", "body": "BODY", "category": "CAT"}
+    with pytest.raises(ValueError):
+        read_articles_csv(spark, path, ("title", "documents"))
+
+
+def test_tables_are_read_as_they_are_stored(spark, small):
+    plan = read_table(spark, small, "documents")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_buckets_and_their_key_go_together(spark):
+    with pytest.raises(ValueError):
+        save_table(spark.range(3), "no_buckets", bucket_key="id")
+
+
+def test_intermediate_files_are_deleted_and_no_others(spark, few):
+    kept = write_and_reread(few, "kept")
+    with intermediate_files(spark) as made:
+        count = write_and_reread(few, "gone").count()
+    assert count == few.count() == kept.count() and len(made) == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(made[0])
 
 
 def test_articles_read_only_the_columns_in_use(spark, small):
@@ -80,7 +101,7 @@ def test_articles_view(spark, small):
     assert rows.filter("summary LIKE '%\n%'").count() == 0
     assert rows.filter("NOT startswith(body, summary)").count() == 0
     with pytest.raises(Exception):
-        read_table(spark, small, "no_such_table", "id")
+        read_table(spark, small, "no_such_table")
 
 
 def test_row_ids_are_unique_and_fixed_once_stored(spark):

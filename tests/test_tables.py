@@ -246,3 +246,12 @@ def test_pick_per_group_takes_all_of_a_small_group_and_n_of_a_large_one(spark):
     again = sampling.pick_per_group(rows.repartition(5), "lang", "doc_id", 10)
     assert sorted(again.collect()) == sorted(picked.collect())
     assert "WindowGroupLimit" in picked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_without_key_are_sampled_and_split_like_others(spark):
+    rows = spark.createDataFrame([(None,), (None,), ("a",)], "body string")
+    assert sampling.sample_rows(rows, 1.0, key="body").count() == 3
+    assert sampling.sample_rows(rows, 0.0, key="body").count() == 0
+    seeds = [sampling.split_rows(rows, "body", seed=s).collect() for s in range(12)]
+    parts = [{r["part"] for r in found if r["body"] is None} for found in seeds]
+    assert all(len(p) == 1 for p in parts) and len(set().union(*parts)) > 1
