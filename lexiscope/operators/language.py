@@ -9,8 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,21 +21,25 @@ from lexiscope.sources.shared import write_and_reread
 UNKNOWN = "unknown"
 WEIGHT_SCALE = 1000
 PIECE_CHARS = 8_000
-MAX_TRIGRAMS = 100_000
-MAX_PROFILE_CELLS = 10_000_000
+HEAD_CELLS = 1_000_000
+TAIL_SALTS = 16
 
 
 @dataclass(frozen=True)
 class LanguageProfile:
     """``weights`` has a column ``trigram`` and columns ``w0, w1, ..``, one per language.
 
-    ``floors`` are the weights of a trigram that is not in the table. The table never has more
-    than ``max_trigrams`` rows, which bounds what is broadcast however large the corpus is.
+    ``floors`` are the weights of a trigram that is not in the table. The table is as large as the
+    learnt corpus has different trigrams. Its most frequent ones, at most ``HEAD_CELLS`` weights,
+    are the ``head``, which scoring broadcasts; the others are the ``tail``, which it joins. The
+    tail is None where the head is all.
     """
 
     languages: tuple[str, ...]
     floors: tuple[int, ...]
     weights: DataFrame
+    head: DataFrame
+    tail: DataFrame | None
 
     @property
     def weight_columns(self) -> tuple[str, ...]:
@@ -50,29 +53,51 @@ class LanguageProfile:
         ]
         return self.weights.select(F.inline(F.array(*entries)))
 
+    def save(self, path: str) -> None:
+        """Store the weights and, beside them, the languages with their floors."""
+        stored = self.weights.withColumn("in_head", F.lit(True))
+        if self.tail is not None:
+            marks = self.head.select("trigram", F.lit(True).alias("in_head"))
+            stored = self.weights.join(marks, "trigram", "left").fillna(False, ["in_head"])
+        stored.write.mode("overwrite").parquet(f"{path}/weights")
+        rows = list(zip(range(len(self.languages)), self.languages, self.floors))
+        known = self.weights.sparkSession.createDataFrame(rows, "idx int, lang string, floor bigint")
+        known.coalesce(1).write.mode("overwrite").parquet(f"{path}/languages")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LanguageProfile:
+        """A profile as it was saved, without learning anything again."""
+        rows = spark.read.parquet(f"{path}/languages").orderBy("idx").collect()
+        stored = spark.read.parquet(f"{path}/weights")
+        tail = stored.filter("NOT in_head").drop("in_head")
+        return cls(
+            tuple(row["lang"] for row in rows),
+            tuple(row["floor"] for row in rows),
+            stored.drop("in_head"),
+            stored.filter("in_head").drop("in_head"),
+            None if tail.isEmpty() else tail,
+        )
+
 
 def learn_profile(
     labelled: DataFrame,
     text: str = "body",
     label: str = "category",
-    max_trigrams: int = MAX_TRIGRAMS,
+    head_cells: int = HEAD_CELLS,
 ) -> LanguageProfile:
     """Learn a profile from rows whose language is known, in one pass over their text.
 
     The weight of a trigram is ``round(1000 * ln((n + 1) / (T + V)))`` with ``n`` its count and
-    ``T`` all counts in that language, and ``V`` the number of different trigrams. The table keeps
-    the ``max_trigrams`` most frequent ones; the others get the weight for ``n = 0``.
+    ``T`` all counts in that language, and ``V`` the number of different trigrams. All trigrams
+    are kept; ``head_cells`` says how many weights may be broadcast, and changes no result.
     """
-    most = MAX_PROFILE_CELLS // max_trigrams
     found = labelled.select(label).filter(F.col(label).isNotNull()).distinct().orderBy(label)
-    languages = tuple(row[0] for row in found.limit(most + 1).collect())
+    languages = tuple(row[0] for row in found.collect())
     if not languages:
         raise ValueError("no labelled rows to learn from")
-    if len(languages) > most:
-        raise ValueError("too many languages for a profile that can be broadcast")
 
     counted = [f"n{i}" for i in range(len(languages))]
-    counts = (
+    counts = write_and_reread(
         explode_trigrams(labelled.filter(F.col(label).isNotNull()), text, [label])
         .filter(F.col("trigram").isNotNull())
         .groupBy("trigram")
@@ -82,27 +107,36 @@ def learn_profile(
                 F.count_if(F.col(label) == language).alias(n)
                 for n, language in zip(counted, languages)
             ],
-        )
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        ),
+        "trigram-counts",
     )
-    try:
-        seen = counts.agg(
-            F.count(F.lit(1)).alias("different"), *[F.sum(n).alias(n) for n in counted]
-        ).first()
-        sizes = [(seen[n] or 0) + seen["different"] for n in counted]
-        weights = most_frequent(counts, "total", max_trigrams, "trigram").select(
+    seen = counts.agg(
+        F.count(F.lit(1)).alias("different"), *[F.sum(n).alias(n) for n in counted]
+    ).first()
+    sizes = [(seen[n] or 0) + seen["different"] for n in counted]
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        return rows.select(
             "trigram",
             *[
                 _weight(F.col(n), size).alias(f"w{i}")
                 for i, (n, size) in enumerate(zip(counted, sizes))
             ],
         )
-        stored = write_and_reread(weights, "language-profile")
-    finally:
-        counts.unpersist()
+
+    weights = weighed(counts)
+    head, tail = weights, None
+    rows = max(1, head_cells // len(languages))
+    if seen["different"] > rows:
+        head = write_and_reread(
+            weighed(most_frequent(counts, "total", rows, "trigram")), "profile-head"
+        )
+        tail = write_and_reread(
+            weights.join(head.select("trigram"), "trigram", "left_anti"), "profile-tail"
+        )
     spark = labelled.sparkSession
     unseen = spark.range(1).select(*[_weight(F.lit(0), size) for size in sizes]).first()
-    return LanguageProfile(languages, tuple(unseen), stored)
+    return LanguageProfile(languages, tuple(unseen), weights, head, tail)
 
 
 def _weight(n: Column, size: int) -> Column:
@@ -119,14 +153,48 @@ def explode_trigrams(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame
     return rows.withColumn("trigram", F.lower("trigram"))
 
 
-def look_up_weights(rows: DataFrame, profile: LanguageProfile) -> DataFrame:
-    """Give every trigram row its weight in each language, and whether the profile knows it."""
-    known = profile.weights.withColumn("known", F.lit(1).cast("bigint"))
-    joined = rows.join(F.broadcast(known), "trigram", "left")
-    floor = dict(zip(profile.weight_columns, profile.floors))
-    return joined.withColumns(
-        {w: F.coalesce(w, F.when(F.col("trigram").isNotNull(), F.lit(floor[w]))) for w in floor}
-        | {"known": F.coalesce("known", F.lit(0))}
+def sum_weights(rows: DataFrame, profile: LanguageProfile, by: Sequence[str]) -> DataFrame:
+    """Per group of trigram rows: ``n`` of them, ``known`` ones, and the sum of each weight.
+
+    Every trigram counts as the floor, and the known ones as what they differ from it, so a sum
+    needs no row for the unknown. Trigrams of the head meet a broadcast table and are summed inside
+    their task. The others are counted per group first and joined to the tail; as one that is rare
+    in the learnt corpus may be frequent here, that join is spread over ``TAIL_SALTS`` copies.
+    """
+    columns = profile.weight_columns
+    floors = dict(zip(columns, profile.floors))
+
+    def differences(table: DataFrame) -> DataFrame:
+        known = F.lit(1).cast("bigint").alias("known")
+        return table.select("trigram", known, *[(F.col(w) - floors[w]).alias(w) for w in columns])
+
+    total = [F.sum(m).alias(m) for m in ("known", *columns)]
+    # at most HEAD_CELLS weights
+    met = rows.join(F.broadcast(differences(profile.head)), "trigram", "left")
+    if profile.tail is None:
+        sums = met.groupBy(*by).agg(F.count("trigram").alias("n"), *total)
+    else:
+        rest = F.when(F.col("known").isNull(), F.col("trigram")).alias("rest")
+        counted = met.groupBy(*by, rest).agg(F.count("trigram").alias("n"), *total)
+        salt = F.pmod(F.xxhash64(*by), F.lit(TAIL_SALTS)).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.lit(TAIL_SALTS - 1))).alias("salt")
+        tail = differences(profile.tail).select(
+            F.col("trigram").alias("rest"), copies, *[F.col(m).alias(f"t_{m}") for m in ("known", *columns)]
+        )
+        looked_up = counted.withColumn("salt", salt).join(tail.hint("merge"), ["rest", "salt"], "left")
+        zero = F.lit(0).cast("bigint")
+        sums = looked_up.groupBy(*by).agg(
+            F.sum("n").alias("n"),
+            *[
+                F.sum(F.coalesce(m, zero) + F.coalesce(F.col("n") * F.col(f"t_{m}"), zero)).alias(m)
+                for m in ("known", *columns)
+            ],
+        )
+    return sums.select(
+        *by,
+        "n",
+        F.coalesce("known", F.lit(0)).alias("known"),
+        *[(F.coalesce(w, F.lit(0)) + F.col("n") * floors[w]).alias(w) for w in columns],
     )
 
 
@@ -147,16 +215,39 @@ def score_languages(
 ) -> DataFrame:
     """The keys and the language of each text; ``keys`` identify a row.
 
-    The trigrams of a text are summed inside its task, so one row per text is shuffled.
+    The trigrams of a text are summed inside its task, so one row per text is shuffled, and a row
+    for each of its trigrams that are in the profile's tail.
     """
-    weighted = look_up_weights(explode_trigrams(df, text, keys), profile)
-    sums = weighted.groupBy(*keys).agg(
-        F.sum("known").alias("known"), *[F.sum(w).alias(w) for w in profile.weight_columns]
-    )
+    sums = sum_weights(explode_trigrams(df, text, keys), profile, keys)
     scores = [F.col(w) for w in profile.weight_columns]
     return sums.select(*keys, best_language(profile, scores, F.col("known")).alias(out))
 
 
+def text_rows(df: DataFrame, texts: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """A row for each text column: the keys, its name as ``column``, and its ``text``."""
+    entries = [F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in texts]
+    return df.select(*keys, F.inline(F.array(*entries)))
+
+
+def detect_languages(
+    df: DataFrame,
+    profile: LanguageProfile,
+    texts: Sequence[str],
+    key: str = "doc_id",
+    out: str = "languages",
+) -> DataFrame:
+    """The table with an array of the languages of several columns, in the order given.
+
+    All columns are scored in one pass, then joined once; ``key`` must be unique.
+    """
+    scored = score_languages(text_rows(df, texts, [key]), profile, "text", [key, "column"])
+    listed = scored.groupBy(key).agg(
+        *[F.max(F.when(F.col("column") == c, F.col("detected"))).alias(f"__{i}") for i, c in enumerate(texts)]
+    )
+    arrays = listed.select(key, F.array(*[f"__{i}" for i in range(len(texts))]).alias(out))
+    return df.join(arrays, key)
+
+
 def detect_language(
     df: DataFrame,
     profile: LanguageProfile,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,8 +12,9 @@ from lexiscope.functions.text import pieces, strip_space, trigrams
 from lexiscope.operators.language import (
     LanguageProfile,
     best_language,
-    look_up_weights,
     score_languages,
+    sum_weights,
+    text_rows,
 )
 from lexiscope.sources.shared import write_and_reread
 
@@ -38,7 +39,9 @@ def first_main_window(
     Windows of ``window`` characters start at every ``step``-th character of the whole text. A
     window's score is a sum over its trigrams, so trigrams are summed once per block of ``step``
     positions and a window adds up whole blocks and the head of the next one. Texts are handled in
-    overlapping pieces, which keeps every sort small however long a text is.
+    overlapping pieces, which keeps every sort small however long a text is. The pieces are dealt
+    out as texts, which are smaller than their blocks; blocks and windows are then made where the
+    piece is, and one row per piece goes on.
     """
     blocks_per_window, head = divmod(window - 2, step)
     if blocks_per_window < 1:
@@ -47,45 +50,34 @@ def first_main_window(
 
     cut_up = df.select(
         *keys, F.posexplode(pieces(F.col(text), piece_chars, window - 1)).alias("piece", "part")
-    )
+    ).repartition(*keys, "piece")
+    # A block has two parts, the head that a window may end with and the rest, numbered in turn.
+    block = F.floor(F.col("position") / step) * 2
+    rest = (F.col("position") % step >= head).cast("int") if head else F.lit(0)
     rows = cut_up.select(
         *keys, "piece", F.posexplode(trigrams(F.col("part"))).alias("position", "trigram")
-    ).withColumn("trigram", F.lower("trigram"))
-
-    measures = ["known", *profile.weight_columns]
-    in_head = F.col("position") % step < head
-    blocks = (
-        look_up_weights(rows, profile)
-        .groupBy(*keys, "piece", F.floor(F.col("position") / step).alias("block"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(in_head).alias("head_n"),
-            *[F.sum(m).alias(m) for m in measures],
-            *[F.sum(F.when(in_head, F.col(m)).otherwise(0)).alias(f"head_{m}") for m in measures],
-        )
-    )
-
-    in_piece = Window.partitionBy(*keys, "piece").orderBy("block")
-    whole = in_piece.rowsBetween(0, blocks_per_window - 1)
-
-    def over_window(measure: str) -> Column:
-        total = F.sum(measure).over(whole)
-        return total + F.lead(f"head_{measure}", blocks_per_window, 0).over(in_piece)
-
-    windows = blocks.select(
-        *keys, "piece", "block", *[over_window(m).alias(m) for m in ["n", *measures]]
-    )
+    ).select(*keys, "piece", (block + rest).alias("unit"), F.lower("trigram").alias("trigram"))
+    units = sum_weights(rows, profile, [*keys, "piece", "unit"])
+
+    in_piece = Window.partitionBy(*keys, "piece").orderBy("unit")
+    last = 2 * blocks_per_window - (0 if head else 1)
+    whole = in_piece.rangeBetween(0, last)
+    measures = ["n", "known", *profile.weight_columns]
+    windows = units.select(
+        *keys, "piece", "unit", *[F.sum(m).over(whole).alias(m) for m in measures]
+    ).filter(F.col("unit") % 2 == 0)
     scores = [F.col(w) for w in profile.weight_columns]
     in_main = best_language(profile, scores, F.col("known")) == main
-    start = F.col("piece") * piece_chars + F.col("block") * step
+    start = F.col("piece") * piece_chars + F.col("unit") / 2 * step
     found = (F.col("n") == window - 2) & (start > 0) & in_main
-    return windows.groupBy(*keys).agg(F.min(F.when(found, start)).cast("int").alias("cut"))
+    by_piece = windows.groupBy(*keys, "piece").agg(F.min(F.when(found, start)).alias("cut"))
+    return by_piece.groupBy(*keys).agg(F.min("cut").cast("int").alias("cut"))
 
 
 def language_cuts(
     df: DataFrame,
     profile: LanguageProfile,
-    text: str = "body",
+    texts: Sequence[str] = ("body",),
     key: str = "doc_id",
     main: str = "en",
     window: int = WINDOW_CHARS,
@@ -93,7 +85,8 @@ def language_cuts(
     opening_steps: int = OPENING_STEPS,
     piece_steps: int = PIECE_STEPS,
 ) -> DataFrame:
-    """``(key, cut)`` for every text to cut: the characters before its first window in ``main``.
+    """``(key, column, cut)`` for every text to cut: the characters before its first window in
+    ``main``. All text columns go through together.
 
     Only texts whose first window is in another language can be cut, and most headers are short.
     So the first window decides from the scan which texts go on, their openings are searched
@@ -102,30 +95,30 @@ def language_cuts(
     Both steps run at once and are stored as tables of keys and positions. Spark thus knows their
     size when it joins them to the texts, and broadcasts them only if they are small.
     """
+    keys = [key, "column"]
+    rows = text_rows(df, texts, [key])
     opening_chars = opening_steps * step + window - 1
-    openings = df.filter(F.length(text) >= window).select(
-        key,
-        F.substring(text, 1, opening_chars).alias("opening"),
-        F.substring(text, 1, window).alias("first"),
+    openings = rows.filter(F.length("text") >= window).select(
+        *keys,
+        F.substring("text", 1, opening_chars).alias("opening"),
+        F.substring("text", 1, window).alias("first"),
     )
     # The opening is part of the grouping, so that it needs no join to come back to its key.
     candidates = (
-        score_languages(openings, profile, "first", [key, "opening"])
+        score_languages(openings, profile, "first", [*keys, "opening"])
         .filter(F.col("detected") != main)
-        .select(key, "opening")
+        .select(*keys, "opening")
     )
     near = write_and_reread(
         first_main_window(
-            candidates, profile, "opening", [key, "opening"], main, window, step, opening_steps
-        ).select(key, "cut"),
+            candidates, profile, "opening", [*keys, "opening"], main, window, step, opening_steps
+        ).select(*keys, "cut"),
         "opening-cuts",
     )
-    remaining = (
-        df.filter(F.length(text) > opening_chars)
-        .select(key, text)
-        .join(near.filter(F.col("cut").isNull()), key, "left_semi")
+    remaining = rows.filter(F.length("text") > opening_chars).join(
+        near.filter(F.col("cut").isNull()), keys, "left_semi"
     )
-    far = first_main_window(remaining, profile, text, [key], main, window, step, piece_steps)
+    far = first_main_window(remaining, profile, "text", keys, main, window, step, piece_steps)
     found = near.unionByName(far).filter(F.col("cut").isNotNull())
     return write_and_reread(found, "language-cuts")
 
@@ -146,21 +139,28 @@ def split_on_language_change(
     is one join of a table of keys and positions. Over a table stored in buckets of the key that
     join never moves the texts.
     """
-    result = df
-    for text in texts:
-        cuts = language_cuts(df, profile, text, key, main, window, step)
-        value = F.col(text)
+    found = language_cuts(df, profile, texts, key, main, window, step)
+    cuts = found.groupBy(key).agg(
+        *[
+            F.max(F.when(F.col("column") == text, F.col("cut"))).alias(f"__cut{i}")
+            for i, text in enumerate(texts)
+        ]
+    )
+    stored = write_and_reread(cuts, "cuts-by-key")
+    result = df.join(stored, key, "left")
+    for i, text in enumerate(texts):
+        value, cut = F.col(text), F.col(f"__cut{i}")
         split = F.when(
-            F.col("cut").isNotNull(),
+            cut.isNotNull(),
             F.struct(
-                strip_space(F.substring(value, F.lit(1), F.col("cut"))).alias("header"),
-                strip_space(F.substring(value, F.col("cut") + 1, F.length(value))).alias("body"),
+                strip_space(F.substring(value, F.lit(1), cut)).alias("header"),
+                strip_space(F.substring(value, cut + 1, F.length(value))).alias("body"),
             ),
         ).otherwise(
             F.struct(F.lit("").alias("header"), F.coalesce(value, F.lit("")).alias("body"))
         )
-        result = result.join(cuts, key, "left").withColumn(f"split_{text}", split).drop("cut")
-    return result
+        result = result.withColumn(f"split_{text}", split)
+    return result.drop(*[f"__cut{i}" for i in range(len(texts))])
 
 
 def join_texts(df: DataFrame, left: str, right: str, out: str = "combined_text") -> DataFrame:

@@ -13,6 +13,7 @@ from lexiscope.functions.text import first_line
 from lexiscope.operators import language, language_split, sampling
 from lexiscope.plans.query import ARTICLES_SQL, Query, part_sql
 from lexiscope.sources.articles import articles, read_table
+from lexiscope.sources.shared import fresh_path
 
 LANGUAGES = ("de", "en", "es", "fr")
 
@@ -38,6 +39,18 @@ def language_id_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir, "summary")
 
 
+def language_id_stored_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn a profile, store it, and identify languages with what is loaded again.
+
+    Few weights are broadcast here, so that most trigrams take the way by a join.
+    """
+    known = sampling.split_rows(articles(spark, sf_dir), "doc_id").filter(F.col("part") == "train")
+    path = fresh_path(spark, "language-profile")
+    language.learn_profile(known, head_cells=1_000).save(path)
+    profile = language.LanguageProfile.load(spark, path)
+    return language.score_languages(articles(spark, sf_dir), profile, "summary", ["doc_id"])
+
+
 def language_id_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir, "body")
 
@@ -52,11 +65,13 @@ def language_distribution_summary(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def language_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary and body each give one detected language; flattened to a row per language."""
-    profile = _profile(spark, sf_dir)
-    both = language.detect_language(articles(spark, sf_dir), profile, "body", out="body_lang")
-    both = language.detect_language(both, profile, "summary", out="summary_lang")
-    listed = both.select("doc_id", "title", F.array("summary_lang", "body_lang").alias("langs"))
-    return language.flatten_languages(listed, "langs")
+    listed = language.detect_languages(
+        articles(spark, sf_dir).select("doc_id", "title", "summary", "body"),
+        _profile(spark, sf_dir),
+        ("summary", "body"),
+        out="langs",
+    )
+    return language.flatten_languages(listed.select("doc_id", "title", "langs"), "langs")
 
 
 def language_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +91,7 @@ def minority_language_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bilingual_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, the English ones with a foreign opening in front."""
-    documents = read_table(spark, sf_dir, "documents", "doc_id")
+    documents = read_table(spark, sf_dir, "documents")
     text = F.when(F.col("lang") == "en", F.concat(F.lit(OPENING), "text")).otherwise(F.col("text"))
     return documents.select("doc_id", first_line(text).alias("summary"), text.alias("body"))
 
@@ -166,7 +181,6 @@ counted AS (
 sizes AS (SELECT {_SIZES} FROM counted),
 weights AS (
   SELECT trigram, {_WEIGHTS} FROM counted, sizes
-  ORDER BY {" + ".join("n_" + x for x in LANGUAGES)} DESC, trigram LIMIT {language.MAX_TRIGRAMS}
 ),
 floors AS (SELECT {_FLOORS} FROM sizes)"""
 
@@ -292,6 +306,9 @@ QUERIES = {
     "language_id_summary": Query(
         language_id_summary, _detected_sql("summary", "SELECT doc_id, detected FROM d")
     ),
+    "language_id_stored_profile": Query(
+        language_id_stored_profile, _detected_sql("summary", "SELECT doc_id, detected FROM d")
+    ),
     "language_id_body": Query(
         language_id_body, _detected_sql("body", "SELECT doc_id, detected FROM d")
     ),

@@ -124,17 +124,73 @@ def test_profile_weights_follow_the_formula(spark):
     assert learnt.floors == (weight(0, "a"), weight(0, "b"))
 
 
-def test_profile_size_is_bounded(spark, small):
+@pytest.fixture(scope="module")
+def tailed(spark, small):
+    """The same profile with a head of 50 trigrams; most go through the tail."""
+    short = language.learn_profile(articles(spark, small), head_cells=200)
+    assert short.head.count() == 50 and short.tail.count() == short.weights.count() - 50
+    return short
+
+
+def test_the_head_changes_no_weight(profile, tailed):
+    assert profile.tail is None and tailed.floors == profile.floors
+    assert sorted(tailed.weights.collect()) == sorted(profile.weights.collect())
+
+
+def test_a_tail_changes_no_result(spark, small, profile, tailed):
+    texts = [r["body"] for r in articles(spark, small).limit(60).collect()] + ODD_TEXTS
+    rows = table(spark, texts)
+    whole, short = [
+        sorted(language.detect_language(rows, p).select("doc_id", "detected").collect())
+        for p in (profile, tailed)
+    ]
+    assert whole == short
+    some = rows.filter("length(body) < 3000 OR body IS NULL")
+    assert splits(some, profile) == splits(some, tailed)
+
+
+def test_the_tail_is_not_broadcast(spark, small, tailed):
     rows = articles(spark, small)
-    full = language.learn_profile(rows)
-    short = language.learn_profile(rows, max_trigrams=50)
-    assert short.weights.count() == 50 and short.floors == full.floors
-    kept = {r["trigram"]: r for r in full.weights.collect()}
-    assert all(kept[r["trigram"]] == r for r in short.weights.collect())
-    with pytest.raises(ValueError):
-        language.learn_profile(rows, max_trigrams=language.MAX_PROFILE_CELLS // 2)
+    plan = language.score_languages(rows, tailed, "body", ["doc_id"])._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    assert text.count("BroadcastHashJoin") == 1 and "SortMergeJoin" in text
+
+
+def test_a_hundred_and_one_languages(spark):
+    names = [f"l{i:03}" for i in range(101)]
+    rows = [(name, f"{name} text of its own {name}") for name in names]
+    learnt = language.learn_profile(
+        spark.createDataFrame(rows, "category string, body string"), head_cells=2_000
+    )
+    assert learnt.tail is not None
+    found = language.detect_language(table(spark, [body for _, body in rows]), learnt)
+    assert [r["detected"] for r in found.orderBy("doc_id").collect()] == names
+
+
+def test_no_labelled_rows_is_an_error(spark, small):
     with pytest.raises(ValueError):
-        language.learn_profile(rows.filter("false"))
+        language.learn_profile(articles(spark, small).filter("false"))
+
+
+def test_a_profile_is_saved_and_loaded(spark, small, profile, tailed, tmp_path):
+    rows = articles(spark, small).limit(40)
+    expected = sorted(language.score_languages(rows, profile, "body", ["doc_id"]).collect())
+    for i, known in enumerate((profile, tailed)):
+        known.save(str(tmp_path / str(i)))
+        loaded = language.LanguageProfile.load(spark, str(tmp_path / str(i)))
+        assert (loaded.languages, loaded.floors) == (known.languages, known.floors)
+        assert (loaded.tail is None) == (known.tail is None)
+        assert sorted(language.score_languages(rows, loaded, "body", ["doc_id"]).collect()) == expected
+
+
+def test_several_columns_are_detected_together(spark, profile, plain):
+    rows = spark.createDataFrame(
+        [(1, FRENCH, ENGLISH), (2, None, FRENCH), (3, ENGLISH, "")],
+        "doc_id bigint, summary string, body string",
+    )
+    found = language.detect_languages(rows, profile, ("summary", "body"))
+    for row in found.collect():
+        assert row["languages"] == [plain.detect(row["summary"] or ""), plain.detect(row["body"] or "")]
 
 
 # --- detection -----------------------------------------------------------------------------------

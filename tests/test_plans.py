@@ -6,6 +6,7 @@ from lexiscope.operators import language, language_split
 from lexiscope.plans.registry import REGISTRY
 from lexiscope.sources.articles import articles, save_table
 
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -34,7 +35,7 @@ def test_language_operators_over_buckets_move_no_text(spark, small, profile):
         split = language_split.split_on_language_change(stored, profile, ("summary", "body"))
         assert exchanges(plan_of(detected)) == []
         moved = exchanges(plan_of(split))
-        assert len(moved) == 2 and not any("body" in columns for columns in moved)
+        assert len(moved) == 1 and not any("body" in columns for columns in moved)
         assert detected.count() == split.count() == store.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
@@ -57,3 +58,23 @@ def test_only_the_columns_in_use_are_read(spark, small):
     plan = plan_of(REGISTRY["category_word_stats"].run(spark, small))
     assert "source" not in plan.split("ReadSchema")[1]
     assert "partial_avg" in plan or "partial_count" in plan
+
+
+def test_no_query_deals_small_tables_out_anew(spark, small):
+    for name in ("row_counts", "category_counts", "language_id_body", "top_terms_by_category"):
+        assert "REPARTITION_BY_NUM" not in plan_of(REGISTRY[name].run(spark, small)), name
+
+
+def test_the_search_for_windows_moves_pieces_and_then_a_row_for_each(spark, small, profile):
+    rows = spark.read.parquet(f"{small}/documents.parquet")
+    found = language_split.first_main_window(rows, profile, "text", ["doc_id"], "en", 25, 5)
+    moved = exchanges(plan_of(found))
+    assert len(moved) == 2
+    assert any("part" in columns for columns in moved) and any("min" in columns for columns in moved)
+
+
+def test_several_columns_are_scored_in_one_pass(spark, small, profile):
+    rows = articles(spark, small).select("doc_id", "summary", "body")
+    plan = plan_of(language.detect_languages(rows, profile, ("summary", "body")))
+    assert plan.count("regexp_extract_all(piece") + plan.count("Generate explode(regexp") >= 1
+    assert plan.count("BroadcastExchange") <= 3 and plan.count("Generate inline") == 1
