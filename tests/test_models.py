@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lexiscope.operators import classify, evaluate, features
+from lexiscope.plans import model_queries
 from lexiscope.plans.model_queries import prepared, unseen_texts
 from lexiscope.streaming.arriving import arriving_articles, store_categories
 
@@ -112,14 +113,59 @@ def test_fit_scope(rows, corpus):
         classify.fit_on_scope(rows, fit_scope="test")
 
 
-def test_vocabulary_size_is_bounded(rows):
-    with pytest.raises(ValueError):
-        features.fit_corpus(rows, max_terms=features.MAX_VOCABULARY + 1)
+def test_a_large_vocabulary_is_joined_and_not_broadcast(rows, corpus, monkeypatch):
+    expected = sorted(features.term_weights(rows.limit(20), corpus).collect())
+    monkeypatch.setattr(features, "BROADCAST_TERMS", 10)
+    assert sorted(features.term_weights(rows.limit(20), corpus).collect()) == expected
+
+
+def test_any_number_of_categories(spark):
+    rows = spark.range(10_050).selectExpr("concat('c', id) AS category", "'t' AS combined_text")
+    corpus = features.fit_corpus(rows, max_df=1e9)
+    assert len(corpus.labels) == 10_050 and corpus.terms == ("t",)
 
 
 # --- classifiers ---------------------------------------------------------------------------------
 
 
+def test_articles_without_text_count_for_the_prior(spark):
+    data = [("a", "t u"), ("a", None), ("b", "t v"), ("b", None), ("b", None)]
+    rows = spark.createDataFrame(data, "category string, combined_text string")
+    corpus = features.fit_corpus(rows, min_df=0, max_df=1e9)
+    fitted = classify.train_classifier(rows, corpus, "naive_bayes").stages[-2]
+    found = {r["category"]: r["prior"] for r in classify.naive_bayes_weights(rows, corpus).collect()}
+    for name, prior in zip(corpus.labels, fitted.pi.toArray()):
+        assert found[name] == pytest.approx(prior, abs=1e-12)
+
+
+def test_wrong_predictions_do_not_pass_the_checks(spark, rows, corpus, bayes):
+    right = evaluate.check_predictions(classify.categorize(rows, bayes), corpus.labels)
+    checks = "adds_up AND is_first_maximum AND name_matches"
+    assert right.filter(f"NOT ({checks})").count() == 0
+    turned = corpus.labels[1:] + corpus.labels[:1]
+    assert evaluate.check_predictions(classify.categorize(rows, bayes), turned).filter(
+        "name_matches"
+    ).count() == 0
+    moved = classify.categorize(rows, bayes).withColumn("prediction", (F.col("prediction") + 1) % 4)
+    assert evaluate.check_predictions(moved, corpus.labels).filter("is_first_maximum").count() == 0
+
+
+def test_a_model_of_shuffled_labels_is_seen_to_be_inaccurate(spark, monkeypatch):
+    small = "/root/testdata/sf0.01"
+    rows = model_queries.prepared(spark, small)
+    names = ["de", "en", "es", "fr"]
+    mixed = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 4 + 1).cast("int"))
+    wrong = rows.filter("part = 'train'").withColumn("category", mixed)
+    whole = classify.train_classifier
+
+    def train(train_rows, corpus, algorithm):
+        return whole(wrong if algorithm == "logistic_regression" else train_rows, corpus, algorithm)
+
+    monkeypatch.setattr(classify, "train_classifier", train)
+    found = model_queries.lr_accuracy_by_part(spark, small).collect()
+    assert any(not r["accurate"] for r in found)
+
+
 def test_bayes_table_equals_the_fitted_model(train, corpus, bayes):
     fitted = next(s for s in bayes.stages if type(s).__name__ == "NaiveBayesModel")
     theta, prior = fitted.theta.toArray(), fitted.pi.toArray()
