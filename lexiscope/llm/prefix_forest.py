@@ -14,8 +14,8 @@ data this stops at long prefixes; without structure it ascends until enough has
 
 Distances are Euclidean, in double precision, on the vectors as given. Vectors that are null, zero,
 of another length than most, or hold null or non-finite components take no part. Defined results:
-ties go to the smaller id; a row is not its own neighbour, and nor are others of the same id; a
-null id takes no part; with fewer rows than asked for, all are found; an empty table gives an
+ties go to the smaller id; rows that share an id count once, by the nearest, and are no neighbours
+of each other; a null id takes no part; with fewer rows than asked for, all are found; an empty table gives an
 empty one.
 """
 

@@ -1,0 +1,125 @@
+"""The language model: its counts against plain Python, its probabilities, and awkward input."""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lexiscope.llm import bilinear
+from lexiscope.llm.queries import QUERIES
+
+MEDIUM = "/root/testdata/sf0.01"
+
+
+def tokens(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x20\x09-\x0D]+", lower) + [None]
+
+
+def held(key):
+    return zlib.crc32(str("" if key is None else key).encode()) % 10 == 0
+
+
+def expected(rows):
+    """Per row: whether held out, tokens, known ones, training tokens, and the base score."""
+    counts = Counter(t for key, text in rows if not held(key) for t in tokens(text))
+    total, types = counts.total(), len(counts)
+    below = total + 0.1 * (types + 1)
+    for key, text in rows:
+        found = tokens(text)
+        base = sum(math.log10((counts[t] + 0.1) / below) for t in found)
+        yield key, held(key), len(found), sum(counts[t] > 0 for t in found), total, base
+
+
+def check(found, rows):
+    plain = sorted(expected(rows), key=lambda r: (r[0] or 0, r[2]))
+    rows = sorted(found, key=lambda r: (r.doc_id or 0, r.n_tokens))
+    assert len(plain) == len(rows)
+    for row, other in zip(rows, plain):
+        assert tuple(row)[:5] == other[:5]
+        assert row.base_score == pytest.approx(other[5], rel=1e-9)
+        assert row.score < 0 and math.isfinite(row.score)
+
+
+def test_counts_and_base_scores_over_the_documents(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()]
+    found = QUERIES["op5_bilinear"].run(spark, MEDIUM).collect()
+    check(found, rows)
+    for part in (False, True):
+        some = [r for r in found if r.held_out == part]
+        assert sum(r.score for r in some) > sum(r.base_score for r in some)
+
+
+def test_awkward_rows(spark, monkeypatch):
+    monkeypatch.setattr(bilinear, "BLOCK_BYTES", 50)
+    rows = [(i, "The the\ta É é  end\n" * (i % 4)) for i in range(40)]
+    rows += [(50, None), (51, ""), (51, ""), (52, " "), (None, "only here"), (53, "long " * 9000)]
+    frame = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id bigint, text string, word string")
+    found = bilinear.score_texts(frame.repartition(3)).collect()
+    check(found, rows)
+    equal = {r.score for r in found if r.doc_id in (50, 51)}
+    assert len(equal) == 1
+    assert bilinear.score_texts(frame.limit(0)).collect() == []
+
+
+def test_only_held_out_rows(spark):
+    keys = [k for k in range(200) if held(k)][:3]
+    frame = spark.createDataFrame([(k, "a b") for k in keys], "doc_id bigint, text string")
+    found = bilinear.score_texts(frame).collect()
+    assert len(found) == 3 and {(r.n_known, r.train_tokens) for r in found} == {(0, 0)}
+
+
+def symbols():
+    return bilinear.Symbols(["the", "of"], ["ed", "ng"], np.array([9, 5, 4, 6, 3, 2.0]), np.array([1, 1, 1, 2, 1, 2.0]))
+
+
+def test_probabilities_of_all_tokens_add_up_to_one():
+    known = symbols()
+    model = bilinear.LogBilinear.start(known.totals)
+    table = np.exp(model.log_probabilities(np.array([0, 6, 3]), np.array([1, 6, 2])))
+    assert np.allclose(table.sum(axis=1), 1)
+    # the words of symbol 3 with counts 4 and 2, and one that was never seen
+    shares = known.in_symbol(np.array([3, 3, 3]), np.array([4, 2, 0]))
+    assert np.exp(shares).sum() == pytest.approx(1)
+    assert np.exp(known.in_symbol(np.array([0, 2]), np.array([9, 4]))).tolist() == [1, 1]
+
+
+def test_symbols_of_words():
+    words = pa.array(["the", "walked", "ed", "ring", "odd", "é"])
+    assert symbols().of(words).tolist() == [0, 3, 3, 4, 5, 5, 2]
+
+
+def test_training_learns_what_follows_what():
+    """Symbol 1 always follows 0, and 2 follows 1; others come at random."""
+    rng = np.random.default_rng(1)
+    stream = []
+    while len(stream) < 30_000:
+        stream += [0, 1, 2] if rng.random() < 0.4 else [int(rng.integers(3, 8))]
+    s = np.array(stream)
+    examples = np.stack([s[2:], s[1:-1], s[:-2]], axis=1)
+    different, counts = np.unique(examples, axis=0, return_counts=True)
+    totals = np.bincount(s, minlength=8).astype(float)
+    model = bilinear.LogBilinear.start(totals)
+    history = {n: np.full(v.shape, 1e-6, np.float32) for n, v in model.arrays.items()}
+    for _ in range(150):
+        model.train(different, counts, totals / totals.sum(), history, rng)
+    after = np.exp(model.log_probabilities(np.array([0, 1]), np.array([5, 0])))
+    assert after[0].argmax() == 1 and after[0, 1] > 0.8
+    assert after[1].argmax() == 2 and after[1, 2] > 0.8
+
+
+def test_contexts_end_where_a_text_begins():
+    block = bilinear.Block(
+        np.arange(3), np.zeros(3, bool), np.array([3, 1, 2]), np.array([0, 1, 2, 2, 0, 2], np.int32),
+        pa.array(["a", "b"]), np.zeros(3, np.int64),
+    )
+    word, first, second = bilinear._pairs_before(block, np.array([10, 11, 12]), 99)
+    assert word.tolist() == [10, 11, 12, 12, 10, 12]
+    assert first.tolist() == [99, 10, 11, 99, 99, 10]
+    assert second.tolist() == [99, 99, 10, 99, 99, 99]
