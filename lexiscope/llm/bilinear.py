@@ -36,7 +36,7 @@ from lexiscope.llm.arrow import keyed_text, small_slices, split_words, utf8_of
 from lexiscope.llm.hashing import lower_ascii
 from lexiscope.sources.shared import write_and_reread
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 FREQUENT = 255  # words that are symbols of their own
 ENDINGS = 255  # symbols for the last letters of other words
 ENDING_LETTERS = 2
@@ -133,7 +133,7 @@ def make_blocks(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         gathered, size = [], 0
         for batch in batches:
-            for some in small_slices(batch, "text"):
+            for some in small_slices(batch, "text", BLOCK_BYTES // 4):
                 gathered.append(some)
                 size += some.column("text").nbytes
                 if size >= BLOCK_BYTES:
@@ -434,7 +434,7 @@ def score_texts(
         block = Block.of(row)
         c = np.zeros(len(block.words) + 1)
         if row["places"]:
-            c[np.array(row["places"])] = row["known"]
+            c[np.array(row["places"], np.int64)] = np.array(row["known"], np.int64)
         c[-1] = ends
         by_word = symbols.of(block.words)
         word, first, second = _pairs_before(block, by_word, start)
