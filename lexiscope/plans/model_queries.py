@@ -138,15 +138,15 @@ def nb_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lr_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many articles were tested, and what must hold of the scores of any classifier."""
     regression = _predicted(spark, sf_dir, "logistic_regression").filter(F.col("part") == "test")
-    counts = evaluate.confusion(regression)
-    tested = counts.agg(F.sum("n").alias("articles"))
+    counts = evaluate.confusion(regression, ["part"])
+    tested = counts.groupBy("part").agg(F.sum("n").alias("articles"))
     measures = ("accuracy", "f1", "weighted_precision", "weighted_recall")
-    found = evaluate.scores(counts).select(
-        F.lit(1).alias("all"),
+    found = evaluate.scores(counts, ["part"]).select(
+        "part",
         (F.abs(F.col("weighted_recall") - F.col("accuracy")) < 1e-9).alias("recall_is_accuracy"),
         F.least(*[F.col(m).between(0, 1) for m in measures]).alias("within_bounds"),
     )
-    return tested.withColumn("all", F.lit(1)).join(found, "all").drop("all")
+    return tested.join(found, "part")
 
 
 def nb_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,8 +400,8 @@ WITH {PREPARED_SQL} SELECT part, count(*) AS articles, true AS accurate FROM pre
 
 LR_METRICS_SQL = f"""
 WITH {PREPARED_SQL}
-SELECT count(*) AS articles, true AS recall_is_accuracy, true AS within_bounds
-FROM prepared WHERE part = 'test'
+SELECT part, count(*) AS articles, true AS recall_is_accuracy, true AS within_bounds
+FROM prepared WHERE part = 'test' GROUP BY part
 """
 
 LR_MATRIX_SQL = f"""
