@@ -149,7 +149,7 @@ def make_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         parts, size = [], 0
         for batch in batches:
-            for some in small_slices(batch, "text"):
+            for some in small_slices(batch, "text", BLOCK_BYTES // 4):
                 parts.append(some)
                 size += some.column("text").nbytes
                 if size >= BLOCK_BYTES:
@@ -258,10 +258,10 @@ def _flags(values: DataFrame) -> DataFrame:
     )
 
 
-def _read_flags(row: dict, kind: int, part: np.ndarray) -> np.ndarray:
+def _read_flags(flags: list | None, kind: int, part: np.ndarray) -> np.ndarray:
     """The bits of a block's values, whose ranges are ``part``, back in one array."""
     sizes = np.bincount(part) if len(part) else np.zeros(0, np.int64)
-    found = {f["part"]: f["bits"] for f in row["flags"] or [] if f["kind"] == kind}
+    found = {f["part"]: f["bits"] for f in flags or [] if f["kind"] == kind}
     bits = [
         np.unpackbits(np.frombuffer(found[p], np.uint8), count=int(sizes[p])).astype(bool)
         for p in np.flatnonzero(sizes).tolist()
@@ -269,13 +269,14 @@ def _read_flags(row: dict, kind: int, part: np.ndarray) -> np.ndarray:
     return np.concatenate(bits) if bits else np.zeros(0, bool)
 
 
-def _joined(blocks: DataFrame, other: DataFrame) -> DataFrame:
-    """Blocks with what belongs to them; small tables go to the blocks, not blocks to them."""
+def _joined(blocks: DataFrame, other: DataFrame, name: str) -> DataFrame:
+    """Blocks with their flags; where these are small they go to the blocks, not blocks to them."""
     stored = write_and_reread(other, "block-flags")
     size = stored.agg(
         F.sum(F.aggregate("flags", F.lit(0).cast("bigint"), lambda n, f: n + F.length(f["bits"]) + 8))
     ).first()[0]
     side = F.broadcast(stored) if (size or 0) <= BROADCAST_BYTES else stored
+    side = side.withColumnRenamed("flags", name)
     return blocks.join(side, F.col("block") == F.col("of"), "left").drop("of")
 
 
@@ -311,55 +312,56 @@ def _dictionary(blocks: DataFrame, length: int, trigger: int, parts: int) -> Dat
     return blocks.mapInArrow(run, VALUES)
 
 
-MARKED = f"{VALUES}, starts binary, ends binary, places binary"
+@dataclass
+class Settled:
+    """What the dictionary settles of a block, and the strings it leaves to compare."""
+
+    starts: np.ndarray  # of the stretches that go
+    ends: np.ndarray
+    places: np.ndarray  # of the strings left, one for each different string of the block
+    part: np.ndarray  # their ranges
+    values: np.ndarray
+    checks: np.ndarray
+
+
+def _settle(row: dict, length: int, trigger: int, parts: int) -> Settled:
+    _, bounds, data = _texts_of(row)
+    found = parse(data, bounds, length, trigger)
+    own, number, part = _distinct(found.phrase, found.check, parts)
+    whole = np.zeros(len(found.first), bool)
+    whole[own] = _read_flags(row["phrase_flags"], FIRSTS, part)
+    nothing = np.zeros(len(found.trigger), np.uint32)
+    _, which, part = _distinct(found.trigger, nothing, parts)
+    flags = _read_flags(row["phrase_flags"], TRIGGERS, part)
+    several = flags[which] if len(which) else whole
+    open_ = whole & several
+    count = (found.last - found.first + 1)[open_]
+    at = np.repeat(found.first[open_], count) + (
+        np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    )
+    values, checks = _string_hashes(data, at, length)
+    first, _, part = _distinct(values, checks, parts)
+    # a string that the block itself has earlier is settled too
+    again = np.ones(len(at), bool)
+    again[first] = False
+    starts = np.concatenate((found.first[~whole], at[again]))
+    ends = np.concatenate((found.last[~whole], at[again])) + length
+    return Settled(starts, ends, at[first], part, values[first], checks[first])
 
 
 def _strings(blocks: DataFrame, length: int, trigger: int, parts: int) -> DataFrame:
-    """What the dictionary settles of every block, and the strings that are left to compare."""
-    names = [part.split()[0] for part in MARKED.split(", ")]
+    """The different strings of every block that its dictionary leaves to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows_of(batches):
-            keys, bounds, data = _texts_of(row)
-            found = parse(data, bounds, length, trigger)
-            own, number, part = _distinct(found.phrase, found.check, parts)
-            whole = np.zeros(len(found.first), bool)
-            whole[own] = _read_flags(row, FIRSTS, part)
-            nothing = np.zeros(len(found.trigger), np.uint32)
-            _, which, part = _distinct(found.trigger, nothing, parts)
-            several = _read_flags(row, TRIGGERS, part)[which] if len(which) else whole
-            open_ = whole & several
-            count = (found.last - found.first + 1)[open_]
-            at = np.repeat(found.first[open_], count) + (
-                np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            )
-            values, checks = _string_hashes(data, at, length)
-            first, which, part = _distinct(values, checks, parts)
-            text = np.searchsorted(bounds, at[first], side="right") - 1
-            packed = _value_rows(
-                row["block"], FIRSTS, part, values[first], checks[first], keys[text]
-            )
-            n = packed.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*packed.columns, *[pa.nulls(n, pa.binary())] * 3], names=names
-            )
-            # a string that the block itself has earlier is settled too
-            again = np.ones(len(at), bool)
-            again[first] = False
-            starts = np.concatenate((found.first[~whole], at[again]))
-            ends = np.concatenate((found.last[~whole], at[again])) + length
-            kept = [_pack(starts), _pack(ends), _pack(np.stack((at[first], part)))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row["block"]], pa.int64()),
-                    *[pa.nulls(1, pa.int32())] * 2,
-                    *[pa.nulls(1, pa.binary())] * 3,
-                    *[pa.array([k], pa.binary()) for k in kept],
-                ],
-                names=names,
+            left = _settle(row, length, trigger, parts)
+            keys, bounds, _ = _texts_of(row)
+            text = np.searchsorted(bounds, left.places, side="right") - 1
+            yield _value_rows(
+                row["block"], FIRSTS, left.part, left.values, left.checks, keys[text]
             )
 
-    return blocks.mapInArrow(run, MARKED)
+    return blocks.mapInArrow(run, VALUES)
 
 
 def _string_hashes(data: np.ndarray, at: np.ndarray, length: int):
@@ -381,34 +383,34 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 CLEANED = "doc_id bigint, kept binary, starts array<bigint>, ends array<bigint>"
 
 
-def _settled(docs: DataFrame, key: str, text: str, length: int, trigger: int) -> DataFrame:
-    """The blocks with all that says which of their bytes go."""
+def _flagged(
+    docs: DataFrame, key: str, text: str, length: int, trigger: int
+) -> tuple[DataFrame, int]:
+    """The blocks with all that says which of their bytes go, and the number of ranges.
+
+    What is brought together goes straight from the parse into the shuffle. The parse is done
+    again where it is needed again, which costs less than to store it.
+    """
     if not 0 < trigger <= length:
         raise ValueError("a trigger must fit into the string")
     blocks = make_blocks(docs, key, text)
-    total = blocks.agg(F.coalesce(F.count(F.lit(1)), F.lit(0))).first()[0] * BLOCK_BYTES
-    parts = max(16, -(-total // RANGE_BYTES))
-    dictionary = write_and_reread(_dictionary(blocks, length, trigger, parts), "phrases")
-    marked = write_and_reread(
-        _strings(_joined(blocks, _flags(dictionary)), length, trigger, parts), "strings"
-    )
-    values = marked.filter("part is not null").select("block", "kind", "part", "values", "checks", "keys")
-    settled = marked.filter("part is null").select(
-        F.col("block").alias("same"), "starts", "ends", "places"
-    )
-    both = _joined(blocks, _flags(values))
-    return both.join(settled, F.col("block") == F.col("same"), "left").drop("same")
+    parts = max(16, -(-blocks.count() * BLOCK_BYTES // RANGE_BYTES))
+    dictionary = _flags(_dictionary(blocks, length, trigger, parts))
+    known = _joined(blocks, dictionary, "phrase_flags")
+    strings = _flags(_strings(known, length, trigger, parts))
+    return _joined(known, strings, "string_flags"), parts
 
 
-def _kept(row: dict, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _kept(
+    row: dict, length: int, trigger: int, parts: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Of every text of a block: id, bytes, and where the removed runs begin and end."""
     keys, bounds, data = _texts_of(row)
+    left = _settle(row, length, trigger, parts)
+    later = left.places[~_read_flags(row["string_flags"], FIRSTS, left.part)]
     change = np.zeros(len(data) + 1, np.int32)
-    if row["starts"] is not None:
-        at, part = _unpack(row["places"], np.int64).reshape(2, -1)
-        later = at[~_read_flags(row, FIRSTS, part)]
-        np.add.at(change, np.concatenate((_unpack(row["starts"], np.int64), later)), 1)
-        np.add.at(change, np.concatenate((_unpack(row["ends"], np.int64), later + length)), -1)
+    np.add.at(change, np.concatenate((left.starts, later)), 1)
+    np.add.at(change, np.concatenate((left.ends, later + length)), -1)
     gone = np.cumsum(change[:-1]) > 0
     for key, begin, close in zip(keys.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
         some = np.concatenate(([False], gone[begin:close], [False]))
@@ -424,6 +426,7 @@ def remove_repeats(
     text: str = "text",
 ) -> DataFrame:
     """For every row the bytes that stay, and where the removed runs begin and end."""
+    flagged, parts = _flagged(docs, key, text, length, trigger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows_of(batches):
@@ -434,7 +437,7 @@ def remove_repeats(
                     "starts": starts.tolist(),
                     "ends": ends.tolist(),
                 }
-                for k, data, starts, ends in _kept(row, length)
+                for k, data, starts, ends in _kept(row, length, trigger, parts)
             ]
             schema = pa.schema([
                 ("doc_id", pa.int64()), ("kept", pa.binary()),
@@ -442,7 +445,7 @@ def remove_repeats(
             ])
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return _settled(docs, key, text, length, trigger).mapInArrow(run, CLEANED)
+    return flagged.mapInArrow(run, CLEANED)
 
 
 def _inside(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -457,11 +460,12 @@ def repeat_digests(
     text: str = "text",
 ) -> DataFrame:
     """For every row how many bytes it had, how many went in how many runs, and a digest."""
+    flagged, parts = _flagged(docs, key, text, length, trigger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows_of(batches):
             rows = []
-            for k, data, starts, ends in _kept(row, length):
+            for k, data, starts, ends in _kept(row, length, trigger, parts):
                 digest = hashlib.sha256()
                 for low, high in zip([0, *ends.tolist()], [*starts.tolist(), len(data)]):
                     digest.update(data[low:high])
@@ -473,4 +477,4 @@ def repeat_digests(
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _settled(docs, key, text, length, trigger).mapInArrow(run, RESULT)
+    return flagged.mapInArrow(run, RESULT)
