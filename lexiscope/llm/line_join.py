@@ -219,30 +219,25 @@ def remove_repeated_lines(
         .groupBy(F.col("doc").alias("__doc"), F.col("version").alias("__version"))
         .agg(F.collect_list("line").alias("__kept"))
     )
-    marked = docs.withColumns(
-        {
-            "__doc": F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)),
-            "__version": F.hash(text),
-        }
+    # the lines go through the join in place of the text, so they are cut once
+    marked = docs.select(
+        *[F.split(text, "\n").alias("__all") if c == text else F.col(c) for c in docs.columns],
+        F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("__doc"),
+        F.hash(text).alias("__version"),
     )
-    whole = marked.join(kept, ["__doc", "__version"], "left").withColumn(
-        "__all", F.split(text, "\n")
-    )
-    every = F.sequence(F.lit(0), F.size("__all") - 1)
-    blank = F.filter(every, lambda i: F.trim(_plain(F.get("__all", i))) == "")
+    whole = marked.join(kept, ["__doc", "__version"], "left")
+    numbers = F.transform("__all", lambda x, i: F.when(F.trim(_plain(x)) == "", i))
+    blank = F.array_compact(numbers)
     some = F.coalesce("__kept", F.array().cast("array<int>"))
     placed = whole.withColumn("__stay", F.array_sort(F.array_union(some, blank)))
-    left = F.array_join(F.transform("__stay", lambda i: F.get("__all", i)), "\n")
-    whole_text = F.size("__stay") == F.size("__all")
+    size = F.coalesce(F.size("__all"), F.lit(0))
     return placed.select(
         *[
-            F.when(F.col(text).isNull() | whole_text, F.col(text)).otherwise(left).alias(text)
+            F.array_join(F.transform("__stay", lambda i: F.get("__all", i)), "\n").alias(text)
             if c == text
             else F.col(c)
             for c in docs.columns
         ],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size("__all")).alias("__lines"),
-        F.when(F.col(text).isNull(), 0)
-        .otherwise(F.size("__all") - F.size("__stay"))
-        .alias("__removed"),
+        F.when(F.col("__all").isNull(), 0).otherwise(size).alias("__lines"),
+        F.when(F.col("__all").isNull(), 0).otherwise(size - F.size("__stay")).alias("__removed"),
     )

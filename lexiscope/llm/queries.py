@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm import bilinear, line_join, phrases, piece_codec, prefix_forest, quality, seeds, shards, shingle_join, token_files
+from lexiscope.llm import (
+    bilinear,
+    line_join,
+    phrases,
+    piece_codec,
+    prefix_forest,
+    quality,
+    seeds,
+    shards,
+    shingle_join,
+    token_files,
+)
 from lexiscope.llm.ship import ship_package
 from lexiscope.plans.query import Query
 
@@ -69,7 +80,9 @@ WITH lines AS (
         FROM documents)
 ),
 classes AS (
-  SELECT words, len(words) AS n, min((doc_id, line_no)) AS first
+  SELECT words, len(words) AS n, min((doc_id, line_no)) AS first,
+         list_reduce(list_transform(words, lambda w: 1::UBIGINT << (hash(w) % 60)::INT),
+                     lambda x, y: xor(x, y)) AS odd
   FROM (SELECT doc_id, line_no, list_sort(words) AS words FROM lines WHERE len(words) > 0)
   GROUP BY words
 ),
@@ -78,6 +91,9 @@ matched AS (
   FROM classes a JOIN classes b
     ON b.first < a.first AND b.n * 100 >= a.n * {line_join.SIMILARITY}
    AND a.n * 100 >= b.n * {line_join.SIMILARITY}
+   -- sets whose odd bits differ in k places differ in k words at least
+   AND bit_count(xor(a.odd, b.odd)) * {100 + line_join.SIMILARITY}
+       <= (a.n + b.n) * {100 - line_join.SIMILARITY}
    AND len(list_intersect(a.words, b.words)) * {100 + line_join.SIMILARITY}
        >= (a.n + b.n) * {line_join.SIMILARITY}
 ),
