@@ -80,8 +80,7 @@ def line_sets(rows: DataFrame, levels: bytes) -> DataFrame:
     table, last = F.lit(levels), F.lit(len(levels) - 1)
 
     def code(hashed: Column) -> Column:
-        # places of a binary start at 1, and 0 means 1: two words share that counter
-        place = hashed.bitwiseAND(last).cast("int")
+        place = (hashed.bitwiseAND(last) + 1).cast("int")  # a binary begins at 1
         level = F.ascii(F.substring(table, place, F.lit(1)).cast("string")).cast("bigint")
         return F.shiftleft(level, CODE_BITS).bitwiseOR(
             F.shiftrightunsigned(hashed, 64 - CODE_BITS)

@@ -75,3 +75,14 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
         (0, "d"), (1, "a b c"), (1, "a b c"), (2, ""), (3, "long line"),
     ]
     assert line_join.remove_repeated_lines(frame.limit(0)).collect() == []
+
+
+def test_rare_words_come_first(spark):
+    rows = [(i, f"common of own{i}") for i in range(200)] + [(900, "of")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain = line_join._rows(frame, "doc_id", "text")
+    levels = line_join.frequency_levels(plain)
+    sets = line_join.line_sets(plain, levels).filter("size(codes) = 3")
+    firsts = sets.selectExpr("codes[0] AS own", "codes[1] AS common", "codes[2] AS of").collect()
+    assert len({r.own for r in firsts}) == 200
+    assert len({frozenset((r.common, r.of)) for r in firsts}) == 1
