@@ -39,7 +39,7 @@ def _plain(text: Column) -> Column:
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(
         F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("doc"),
-        F.hash(text).alias("version"),
+        F.xxhash64(text).alias("version"),
         F.col(text).alias("text"),
     )
 
@@ -222,7 +222,7 @@ def remove_repeated_lines(
     marked = docs.select(
         *[F.split(text, "\n").alias("__all") if c == text else F.col(c) for c in docs.columns],
         F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("__doc"),
-        F.hash(text).alias("__version"),
+        F.xxhash64(text).alias("__version"),
     )
     whole = marked.join(kept, ["__doc", "__version"], "left")
     numbers = F.transform("__all", lambda x, i: F.when(F.trim(_plain(x)) == "", i))

@@ -86,3 +86,15 @@ def test_rare_words_come_first(spark):
     firsts = sets.selectExpr("codes[0] AS own", "codes[1] AS common", "codes[2] AS of").collect()
     assert len({r.own for r in firsts}) == 200
     assert len({frozenset((r.common, r.of)) for r in firsts}) == 1
+
+
+@pytest.mark.parametrize("last", ["other", "v14708"])
+def test_texts_of_one_id_with_the_same_32_bit_hash_are_told_apart(spark, last):
+    letters = " ".join("abcdefghijklmnopqrstu")
+    repeated, own = f"{letters} v14708", "own 114538"
+    rows = [(1, f"{letters} {last}"), (5, repeated), (5, own)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hashes = frame.filter("doc_id = 5").selectExpr("count(DISTINCT hash(text))")
+    assert hashes.first()[0] == 1
+    found = line_join.remove_repeated_lines(frame).collect()
+    assert sorted(r.text for r in found if r.doc_id == 5) == ["", own]
