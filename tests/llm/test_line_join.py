@@ -98,3 +98,13 @@ def test_texts_of_one_id_with_the_same_32_bit_hash_are_told_apart(spark, last):
     assert hashes.first()[0] == 1
     found = line_join.remove_repeated_lines(frame).collect()
     assert sorted(r.text for r in found if r.doc_id == 5) == ["", own]
+
+
+def test_two_changed_words_in_a_line_of_25_are_found_by_default(spark):
+    line = [f"w{i}" for i in range(25)]
+    rows = [(1, " ".join(line)), (2, " ".join([*line[:23], "x", "y"])), (3, "a b c d"), (4, "a b c")]
+    rows += [(5, "a b c e f"), (6, " ".join([*line[:20], *"stuvz"]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.text for r in line_join.remove_repeated_lines(frame).collect()}
+    # 23 of 27 and 3 of 4 words are shared, but 20 of 30 and 3 of 6 are too few
+    assert found == dict(rows) | {2: "", 4: ""}
