@@ -6,8 +6,9 @@ the gated attention that weighs the passages, and the score of the weighted repr
 learnt together from the labels of whole documents, in numpy with Adam.
 
 It is fitted on a bounded sample: the ``sample`` labelled documents with the smallest hash values
-among those that are not held out, without texts of more than ``MAX_TRAINING_BYTES``. Scoring reads
-every whole text in one pass without a shuffle; only the fitted arrays are sent out. Labels, ids
+among those that are not held out. A text of more than ``passages`` passages gives the fit that many,
+drawn evenly over its whole length. Scoring reads every whole text in one pass without a shuffle and
+weighs all of its passages; only the fitted arrays are sent out. Labels, ids
 and other columns are never part of a score.
 
 Defined results: null and empty texts are one passage without content, and get its score; a row
@@ -35,7 +36,7 @@ PAIRS = 256
 SHARES = 6
 HIDDEN, GATE = 24, 12
 SAMPLE = 4_000
-MAX_TRAINING_BYTES = 200_000
+TRAINING_PASSAGES = 500  # of one text
 BLOCK = 8_192  # passages encoded at a time
 THRESHOLD = 0.7
 
@@ -195,6 +196,18 @@ def fit(
     return AttentionModel(a | {"mean": mean, "scale": scale})
 
 
+def _evenly(bounds: np.ndarray, most: int) -> np.ndarray:
+    """Which passages of each text the fit reads: all, or ``most`` with equal distances."""
+    counts = np.maximum(1, -(-np.diff(bounds) // PASSAGE_BYTES))
+    ends = np.cumsum(counts)
+    drawn = np.ones(int(counts.sum()), bool)
+    for at in np.flatnonzero(counts > most):
+        count, end = int(counts[at]), int(ends[at])
+        drawn[end - count : end] = False
+        drawn[end - count + (2 * np.arange(most) + 1) * count // (2 * most)] = True
+    return drawn
+
+
 def train_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -202,8 +215,12 @@ def train_quality(
     sample: int = SAMPLE,
     key: str = "doc_id",
     text: str = "text",
+    passages: int = TRAINING_PASSAGES,
 ) -> AttentionModel:
-    """Fit a model to at most ``sample`` labelled documents that are not held out."""
+    """Fit a model to at most ``sample`` labelled documents that are not held out.
+
+    ``passages`` bounds what one text costs the fit, not which texts take part in it.
+    """
     known = (
         labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
         .filter(~held_out(F.col(key)))
@@ -211,16 +228,21 @@ def train_quality(
         .agg(F.min(F.col(label).cast("int")).alias("label"))
     )
     drawn = known.orderBy(F.xxhash64("key"), "key").limit(sample)
-    rows = keyed_text(docs, key, text).filter(F.octet_length("text") <= MAX_TRAINING_BYTES)
     # at most ``sample`` rows
-    texts = rows.join(F.broadcast(drawn), "key").select("key", "label", "text")
+    texts = keyed_text(docs, key, text).join(F.broadcast(drawn), "key").select("key", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in small_slices(batch, "text", 1 << 20):
-                blocks = list(passage_features(*utf8_of(some.column("text"))))
-                x = np.vstack([b[0] for b in blocks]).astype(np.float16)
-                owner = np.concatenate([b[1] for b in blocks])
+                data, bounds = utf8_of(some.column("text"))
+                drawn = _evenly(bounds, passages)
+                found, owners, low = [], [], 0
+                for features, of in passage_features(data, bounds):
+                    used = drawn[low : low + len(of)]
+                    low += len(of)
+                    found.append(features[used].astype(np.float16))
+                    owners.append(of[used])
+                x, owner = np.vstack(found), np.concatenate(owners)
                 cuts = np.searchsorted(owner, np.arange(some.num_rows + 1))
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -95,3 +95,20 @@ def test_awkward_rows(spark):
     model = quality.AttentionModel({}, 0.9)
     kept = quality.keep_quality(docs, model)
     assert kept.columns == docs.columns and kept.count() == 5
+
+
+def test_long_texts_take_part_in_the_fit(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda features, labels: seen.append((features, labels)))
+    long = "".join(f"passage {i} ".ljust(quality.PASSAGE_BYTES, "abcdefg"[i % 7]) for i in range(1300))
+    rows = [(1, "short"), (3, long), (4, long[: 500 * quality.PASSAGE_BYTES])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id bigint, quality int")
+    assert docs.filter(quality.held_out(quality.F.col("doc_id"))).isEmpty()
+    quality.train_quality(docs, labels)
+    features, found = seen[0]
+    assert found.tolist() == [1, 1, 0] and [len(f) for f in features] == [1, 500, 500]
+    whole = np.vstack([f for f, _ in quality.passage_features(*utf8_of(quality.pa.array([long])))])
+    drawn = whole[(2 * np.arange(500) + 1) * 1300 // 1000].astype(np.float16)
+    assert np.array_equal(features[1], drawn.astype(np.float32))
+    assert quality._evenly(np.array([0, 520_000, 520_000, 520_010]), 500).sum() == 502
