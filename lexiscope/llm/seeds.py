@@ -8,8 +8,9 @@ of them meets none somewhere in the stretch (``is_lossless`` proves it for any c
 the words under a mask are joined between items and documents, and around every hit the two texts
 are held against each other word by word, so a hit by chance costs little and counts for nothing.
 
-Items with fewer words than the window count when a document holds all their words in a row; those
-with fewer than ``SHORTEST`` words are passed over, for they say too little.
+Items with fewer words than the window count when a document holds all their words in a row. Up to
+``RUN`` words the hash of the whole item at every place tells that; of longer ones the first ``RUN``
+words give hits like a mask.
 
 All is built-in expressions. Defined results: null and empty texts hold no leak; rows of the same
 id and text are reported once; a null id is reported as null; empty tables give empty ones.
@@ -29,7 +30,8 @@ WINDOW = 13
 SUBSTITUTIONS = 2
 #: places of the words that a mask looks at
 MASKS = ((0, 2, 3, 6, 8, 9), (0, 1, 4, 6, 7, 10))
-SHORTEST = 5
+SHORTEST = 1  # items without words are in no document
+RUN = 5  # neighbouring words hashed for items shorter than the window
 NO_ID = -(2**63)
 BROADCAST_ROWS = 500_000  # of at most 40 bytes each
 
@@ -143,10 +145,14 @@ def find_leaks(
         _coded(benchmark, item_key, item_text).distinct().filter(F.size("words") >= SHORTEST),
         "items",
     )
-    some_short = not items.filter(F.size("words") < window).isEmpty()
-    used = [*masks, tuple(range(SHORTEST))] if some_short else [*masks]
-    # short items have no use for the spaced masks, nor long ones for the other
-    fitting = (F.col("length") < window) == (F.col("mask") == len(masks))
+    run = F.least(F.size("words"), F.lit(RUN)).alias("run")
+    runs = sorted(r.run for r in items.filter(F.size("words") < window).select(run).distinct().collect())
+    used = [*masks, *[tuple(range(n)) for n in runs]]
+    # short items have no use for the spaced masks, nor long ones for the others
+    fitting = (F.col("length") >= window) & (F.col("mask") < len(masks))
+    for number, size in enumerate(runs, len(masks)):
+        has_run = (F.col("length") < window) & (F.least("length", F.lit(RUN)) == size)
+        fitting |= has_run & (F.col("mask") == number)
     lengths = items.select("id", "version", F.size("words").alias("length"))
     item_seeds = (
         _seeds(items, used)
@@ -156,6 +162,8 @@ def find_leaks(
             F.col("id").alias("item"),
             F.col("version").alias("item_version"),
             F.col("at").alias("item_at"),
+            # words of an item that one hash covers whole
+            F.when((F.col("length") < window) & (F.col("length") <= RUN), F.col("length")).alias("covered"),
             "seed",
         )
     )
@@ -163,10 +171,19 @@ def find_leaks(
     hits = (
         _seeds(_coded(docs, key, text), used)
         .join(_small(stored), "seed")
-        .select("id", "version", "item", "item_version", (F.col("at") - F.col("item_at")).alias("shift"))
+        .select(
+            "id", "version", "item", "item_version", "covered",
+            (F.col("at") - F.col("item_at")).alias("shift"),
+        )
         .distinct()
-    )
-    hits = write_and_reread(hits, "hits")
+    )
+    met = write_and_reread(hits, "hits")
+    # nothing is left to compare, so the text is not laid beside each of many places
+    whole = met.filter(F.col("covered").isNotNull()).select(
+        "id", "version", "item",
+        F.sequence(F.col("shift"), F.col("shift") + F.col("covered") - 1).alias("places"),
+    )
+    hits = met.filter(F.col("covered").isNull()).drop("covered")
     owners = hits.select("id", "version").distinct()
     marked = docs.select(
         F.col(key).alias("id_of"),
@@ -183,7 +200,9 @@ def find_leaks(
     same, places = _leaks(window, substitutions)
     found = laid.withColumn("same", same).withColumn("places", places).filter(F.size("places") > 0)
     return (
-        found.groupBy("id", "version", "item")
+        found.select("id", "version", "item", "places")
+        .unionAll(whole)
+        .groupBy("id", "version", "item")
         .agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
         .select(
             F.nullif("id", F.lit(NO_ID)).alias("doc_id"),

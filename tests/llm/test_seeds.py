@@ -106,3 +106,13 @@ def test_empty_tables(spark):
     assert seeds.find_leaks(docs.limit(0), items).collect() == []
     assert seeds.find_leaks(docs, items.limit(0)).collect() == []
     assert seeds.without_leaks(docs, items.limit(0)).count() == docs.count()
+
+
+def test_items_of_one_to_five_words_are_found_whole(spark):
+    items = [(1, "Solo"), (2, "a a"), (3, "the whole item"), (4, "u v w x"), (5, "u v w x y"), (6, ".")]
+    docs = [(1, "solo, then SOLO"), (2, "a a a b a"), (3, "the whole, item"), (4, "the whole"), (5, "u v w x y")]
+    found = found_by(*frames(spark, docs, items))
+    assert found == {
+        (1, 1): (0, 2, 2), (2, 2): (0, 2, 3), (3, 3): (0, 2, 3), (5, 4): (0, 3, 4), (5, 5): (0, 4, 5),
+    }
+    assert found == brute(docs, items, seeds.WINDOW, seeds.SUBSTITUTIONS)
