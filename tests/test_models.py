@@ -316,3 +316,37 @@ def test_spark_naive_bayes_settings(bayes):
     fitted = next(s for s in bayes.stages if type(s).__name__ == "NaiveBayesModel")
     assert fitted.getOrDefault("smoothing") == 1.0
     assert fitted.getOrDefault("modelType") == "multinomial"
+
+
+def test_shuffled_labels_are_seen_in_parts_of_few_articles(spark, small, monkeypatch):
+    mixed = F.element_at(
+        F.array(*map(F.lit, ["de", "en", "es", "fr"])), (F.col("doc_id") % 4 + 1).cast("int")
+    )
+    whole = classify.train_classifier
+
+    def train(rows, corpus, algorithm):
+        wrong = rows.withColumn("category", mixed)
+        return whole(wrong if algorithm == "logistic_regression" else rows, corpus, algorithm)
+
+    monkeypatch.setattr(classify, "train_classifier", train)
+    found = model_queries.lr_accuracy_by_part(spark, small).collect()
+    few = [r for r in found if r["articles"] < model_queries.FEW_ARTICLES]
+    assert few and not any(r["accurate"] for r in few)
+
+
+def test_a_wrong_diagonal_or_recall_is_seen(spark, small, monkeypatch):
+    matrix, scores = evaluate.confusion_matrix, evaluate.scores
+
+    def turned(predictions, classes):
+        right = matrix(predictions, classes)
+        names = right.columns[1:]
+        return right.select("category", *[F.col(a).alias(b) for a, b in zip(names, names[1:] + names[:1])])
+
+    monkeypatch.setattr(evaluate, "confusion_matrix", turned)
+    found = model_queries.lr_confusion_matrix(spark, small).collect()
+    assert any(r["articles"] is None for r in found)
+    halved = lambda *given: scores(*given).withColumns(
+        {"accuracy": F.col("accuracy") / 2, "weighted_recall": F.col("weighted_recall") / 2}
+    )
+    monkeypatch.setattr(evaluate, "scores", halved)
+    assert not model_queries.lr_metrics(spark, small).first()["recall_is_accuracy"]
