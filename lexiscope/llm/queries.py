@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from lexiscope.llm import (
     bilinear,
+    divergence,
+    ftrl_language,
     line_join,
     phrases,
     piece_codec,
     prefix_forest,
+    prefix_trie,
     quality,
     seeds,
     shards,
@@ -183,6 +186,117 @@ SELECT doc_id, item_id, min(place) AS first_word, max(place) AS last_word, count
 FROM places GROUP BY doc_id, item_id"""
 
 
+def predicted_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ftrl_language.language_table(table(spark, sf_dir, "documents"))
+
+
+def divergent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+),
+found AS (SELECT doc, lang, source, unnest(terms) AS term FROM docs),
+vocabulary AS (
+  SELECT lang, term, count(*) AS n FROM found GROUP BY lang, term
+  HAVING count(DISTINCT doc) >= 10
+),
+kept AS (
+  SELECT f.lang, f.source, f.term, count(*) AS n
+  FROM found f JOIN vocabulary v ON v.lang = f.lang AND v.term = f.term
+  GROUP BY f.lang, f.source, f.term
+),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sizes AS (SELECT lang, source, sum(n) AS size FROM kept GROUP BY lang, source),
+wholes AS (SELECT lang, sum(n) AS size, count(*) AS v FROM vocabulary GROUP BY lang),
+shares AS (
+  SELECT g.lang, g.source, v.term, coalesce(k.n, 0) AS n,
+         (1 + 1000000000 * (coalesce(k.n, 0)::HUGEINT + 2)
+              // (coalesce(s.size, 0) + 2 * w.v)::HUGEINT) AS p,
+         (1 + 1000000000 * (v.n::HUGEINT + 2) // (w.size + 2 * w.v)::HUGEINT) AS q
+  FROM groups g JOIN vocabulary v ON v.lang = g.lang JOIN wholes w ON w.lang = g.lang
+  LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN kept k ON k.lang = g.lang AND k.source = g.source AND k.term = v.term
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source
+  GROUP BY a.lang, a.source, b.source
+),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 10"""
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+TRIE_SQL = r"""
+WITH ordered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+           md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY place) AS turns
+        FROM ordered GROUP BY conv_id),
+bits AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+           CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS entry
+  FROM (SELECT unnest(range(256)) AS i)
+),
+crc AS (SELECT list(entry ORDER BY i) AS t FROM bits),
+heads AS (
+  SELECT conv_id, turns, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+               string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 4 AS h
+  FROM own, crc
+),
+built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+  FROM heads c LEFT JOIN own b ON b.conv_id = c.base
+),
+prefixes AS (SELECT conv_id, len(turns) AS n, d, turns[1:d] AS prefix
+             FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT prefix, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)
+                         FILTER (WHERE n = d), '')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(list_filter(
+           regexp_split_to_array(prefix[d].text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) END AS saved
+  FROM prefixes GROUP BY prefix, d
+),
+counted AS (
+  SELECT n.prefix, n.depth, n.conv_id, n.n_convs, n.ends_sha256, n.saved, count(c.prefix) AS n_children
+  FROM nodes n LEFT JOIN nodes c ON c.depth = n.depth + 1 AND c.prefix[1:n.depth] = n.prefix
+  GROUP BY ALL
+),
+below AS (
+  SELECT prefix[1:d] AS prefix, sum(saved)::BIGINT AS saved_tokens,
+         count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM counted) GROUP BY prefix[1:d]
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves,
+       b.saved_tokens, n.ends_sha256
+FROM counted n JOIN below b ON b.prefix = n.prefix
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]"""
+
+
 QUERIES = {
     "op1_piece_codec": Query(piece_tokens),
     "op2_passage_quality": Query(passage_quality),
@@ -194,4 +308,7 @@ QUERIES = {
     "op7_seeds": Query(benchmark_leaks, LEAKS_SQL),
     "op8_shingle_join": Query(near_documents, SHINGLES_SQL),
     "op9_token_files": Query(token_id_files),
+    "op11_ftrl_language": Query(predicted_languages),
+    "op12_source_divergence": Query(divergent_sources, DIVERGENCE_SQL),
+    "op13_prefix_trie": Query(conversation_trie, TRIE_SQL),
 }
