@@ -8,8 +8,8 @@ a step size of its own for every weight and an elastic net (``l1``, ``l2``) that
 at zero. A temperature, fitted on a fifth of the sample that the weights don't see, calibrates the
 probabilities.
 
-The weights are fitted on a bounded sample: ``sample`` documents, an equal share for every language,
-those with the smallest hash values. All of a sampled text is read. Scoring reads every whole text in
+The weights are fitted on a bounded sample: at most ``sample`` documents, an equal share for every
+language, those with the smallest hash values. All of a sampled text is read. Scoring reads every whole text in
 one pass without a shuffle; only the fitted arrays are sent out. A text goes through in pieces of
 ``PIECE_BYTES``, so a long one takes no more memory than its own bytes. Equal texts get equal scores:
 each is summed by itself, in the order of the buckets.
@@ -209,21 +209,20 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(by_bucket.get(-1, 0)), total
 
 
-def drawn_sample(known: DataFrame, languages: int, sample: int) -> DataFrame:
-    """At most ``sample`` rows of ``doc_id, lang, text``: as many of each language, by hash value.
+def drawn_sample(known: DataFrame, sizes: dict[str, int], sample: int) -> DataFrame:
+    """About ``sample`` rows of ``lang, draw, text`` and not more: as many of each language.
 
-    Keys alone are ranked; the texts are found by the last hash value that a language still takes.
+    ``draw`` is a hash value, and ``sizes`` how many different ones each language has. A threshold
+    leaves about twice the share of each, so what is ranked doesn't grow with the table.
     """
-    share = max(1, sample // languages)
-    order = F.xxhash64("doc_id", "lang", "text").alias("draw")
-    keys = known.select("lang", order).distinct()
-    ranked = keys.withColumn(
-        "place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    )
+    share = max(1, sample // max(1, len(sizes)))
+    last = [(lang, -(1 << 63) + int(min(1, 2 * share / max(n, 1)) * ((1 << 64) - 1))) for lang, n in sizes.items()]
     # one row per language
-    last = ranked.filter(F.col("place") <= share).groupBy("lang").agg(F.max("draw").alias("last"))
-    taken = known.withColumn("draw", order).join(F.broadcast(last), "lang")
-    return taken.filter("draw <= last").dropDuplicates(["lang", "draw"]).select("lang", "draw", "text")
+    limits = known.sparkSession.createDataFrame(last, "lang string, last bigint")
+    some = known.join(F.broadcast(limits), "lang").filter("draw <= last")
+    order = Window.partitionBy("lang").orderBy("draw")
+    ranked = some.dropDuplicates(["lang", "draw"]).withColumn("place", F.row_number().over(order))
+    return ranked.filter(F.col("place") <= share).select("lang", "draw", "text")
 
 
 def learn_languages(
@@ -240,9 +239,13 @@ def learn_languages(
     ``4 * BUCKETS`` bytes each at most. ``settings`` go to ``follow_the_leader``.
     """
     known = docs.filter(F.col(lang).isNotNull() & ~held_out(F.col(key))).select(
-        F.col(key).alias("doc_id"), F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")
+        F.col(lang).alias("lang"),
+        F.xxhash64(key, lang, text).alias("draw"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    languages = tuple(sorted(r.lang for r in known.select("lang").distinct().collect()))
+    found = known.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()
+    sizes = {row.lang: row.n for row in found}
+    languages = tuple(sorted(sizes))
     rows, seen = document_frequencies(known)
     idf = np.log((1 + rows) / (1 + seen)) + 1
     model = LanguageModel(
@@ -264,7 +267,7 @@ def learn_languages(
                 names=["lang", "draw", "packed"],
             )
 
-    drawn = drawn_sample(known, len(languages), sample)
+    drawn = drawn_sample(known, sizes, sample)
     found = drawn.mapInArrow(run, "lang string, draw bigint, packed binary").collect()
     number = {name: i for i, name in enumerate(languages)}
     examples = []

@@ -161,8 +161,10 @@ def test_the_sample_is_shared_among_languages_and_bounded(spark):
     rows = [(i, f"text {i}", "en") for i in range(500)] + [(1000 + i, f"x {i}", "fr") for i in range(5)]
     rows += [(7, "same", "en")] * 300
     known = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    drawn = ftrl_language.drawn_sample(known, 2, 40).collect()
+    known = known.select("lang", ftrl_language.F.xxhash64("doc_id", "lang", "text").alias("draw"), "text")
+    sizes = {"en": 501, "fr": 5}
+    drawn = ftrl_language.drawn_sample(known, sizes, 40).collect()
     per = Counter(r.lang for r in drawn)
     assert per == {"en": 20, "fr": 5} and len({r.draw for r in drawn}) == 25
-    again = ftrl_language.drawn_sample(known.repartition(7), 2, 40).collect()
+    again = ftrl_language.drawn_sample(known.repartition(7), sizes, 40).collect()
     assert {r.draw for r in again} == {r.draw for r in drawn}
