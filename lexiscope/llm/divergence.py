@@ -41,7 +41,7 @@ MIN_DOCS = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
 SLICE = 200_000  # postings
-PEERS = 256  # groups of a block
+PEERS = 4  # groups of a block
 CELLS = 1 << 20  # cells worked on at a time
 PART = "lang string, source string, part string, item string, value bigint"
 
