@@ -39,6 +39,7 @@ from lexiscope.sources.shared import write_and_reread
 BLOCK_BYTES = 4 << 20
 FREQUENT = 255  # words that are symbols of their own
 ENDINGS = 255  # symbols for the last letters of other words
+DIGITS = 9  # of a log probability
 ENDING_LETTERS = 2
 WIDTH = 32
 NOISE = 64  # noise samples for each example, shared by a batch
@@ -244,16 +245,17 @@ class LogBilinear:
             "two": turn.copy(), "bias": np.log(share).astype(np.float32),
         })
 
-    def context(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        a = self.arrays
-        return a["before"][first] @ a["one"] + a["before"][second] @ a["two"]
-
     def log_probabilities(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Normalised logarithms for every symbol behind each pair (nearest, one before it)."""
-        scores = self.context(first, second) @ self.arrays["after"].T + self.arrays["bias"]
-        scores = scores.astype(np.float64)
+        """Normalised logarithms for every symbol behind each pair (nearest, one before it).
+
+        They are computed with 53 bits and rounded to ``DIGITS``, because the last bits of a matrix
+        product depend on how many rows it has: equal texts must get equal scores in any block.
+        """
+        a = {name: x.astype(np.float64) for name, x in self.arrays.items()}
+        nearest, further = a["before"] @ a["one"], a["before"] @ a["two"]
+        scores = (nearest[first] + further[second]) @ a["after"].T + a["bias"]
         scores -= scores.max(axis=1, keepdims=True)
-        return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+        return np.round(scores - np.log(np.exp(scores).sum(axis=1, keepdims=True)), DIGITS)
 
     def train(
         self,
