@@ -245,17 +245,20 @@ class LogBilinear:
             "two": turn.copy(), "bias": np.log(share).astype(np.float32),
         })
 
-    def log_probabilities(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Normalised logarithms for every symbol behind each pair (nearest, one before it).
-
-        They are computed with 53 bits and rounded to ``DIGITS``, because the last bits of a matrix
-        product depend on how many rows it has: equal texts must get equal scores in any block.
-        """
+    def scores(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of every symbol behind each pair (nearest, one before it), and their log norm."""
         a = {name: x.astype(np.float64) for name, x in self.arrays.items()}
         nearest, further = a["before"] @ a["one"], a["before"] @ a["two"]
-        scores = (nearest[first] + further[second]) @ a["after"].T + a["bias"]
-        scores -= scores.max(axis=1, keepdims=True)
-        return np.round(scores - np.log(np.exp(scores).sum(axis=1, keepdims=True)), DIGITS)
+        scores = (nearest[first] + further[second]) @ a["after"].T
+        scores += a["bias"]
+        top = scores.max(axis=1)
+        raised = np.subtract(scores, top[:, None])
+        return scores, np.log(np.exp(raised, out=raised).sum(axis=1)) + top
+
+    def log_probabilities(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Normalised logarithms for every symbol behind each pair."""
+        scores, norm = self.scores(first, second)
+        return scores - norm[:, None]
 
     def train(
         self,
@@ -446,9 +449,12 @@ def score_texts(
         cuts = np.searchsorted(where[order], np.arange(0, len(different) + 4096, 4096))
         likely = np.zeros(len(word))
         for at, low in enumerate(range(0, len(different), 4096)):
-            table = model.log_probabilities(ahead[low : low + 4096], further[low : low + 4096])
+            scores, norm = model.scores(ahead[low : low + 4096], further[low : low + 4096])
             some = order[cuts[at] : cuts[at + 1]]
-            likely[some] = table[where[some] - low, word[some]]
+            row = where[some] - low
+            # the last bits of a matrix product depend on how many rows it has, and equal texts
+            # must get equal scores in any block
+            likely[some] = np.round(scores[row, word[some]] - norm[row], DIGITS)
         likely += symbols.in_symbol(by_word, c)[block.tokens]
         base = np.log10((c + SMOOTHING) / below)[block.tokens]
         begins = np.cumsum(block.lengths) - block.lengths
