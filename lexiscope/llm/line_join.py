@@ -28,6 +28,7 @@ SIMILARITY = 75  # percent
 COUNTERS = 1 << 20  # of the table of word counts, a byte each in the plan
 CODE_BITS = 56
 LOWEST = 33  # first printable character; levels of frequency are printable characters
+ONCE = LOWEST + 3  # level of a counter that has counted one word
 NO_ID = -(2**63)
 BROADCAST_ROWS = 200_000  # of 16 bytes each
 
@@ -115,10 +116,8 @@ def _prefix_size(n: Column, similarity: int) -> Column:
     return n - F.ceil(n * similarity / 100) + 1
 
 
-def _before(a: str, b: str) -> Column:
-    """Whether the line of ``a`` stands before that of ``b``."""
-    place = [F.struct(*[f"{side}.{c}" for c in PLACE]) for side in (a, b)]
-    return place[0] < place[1]
+def _place(side: str) -> Column:
+    return F.struct(*[f"{side}.{c}" for c in PLACE])
 
 
 def _may_match(similarity: int) -> Column:
@@ -141,16 +140,15 @@ def _matches(similarity: int) -> Column:
 
 
 def _postings(lines: DataFrame, *more: str) -> DataFrame:
-    return lines.select(*PLACE, "n", "bits", *more, F.posexplode("prefix").alias("pos", "code"))
+    """A row for each word of a prefix, but for words that occur only once: none can share them."""
+    rows = lines.select(*PLACE, "n", "bits", *more, F.posexplode("prefix").alias("pos", "code"))
+    return rows.filter(F.shiftrightunsigned("code", CODE_BITS) > ONCE)
 
 
-def _meet(side: str, postings: DataFrame, condition: Column) -> DataFrame:
-    """Places of the later (``a``) or earlier (``b``) lines of pairs that fulfil a condition."""
-    other = "b" if side == "a" else "a"
-    met = postings.alias(side).join(
-        postings.alias(other),
-        (F.col("a.code") == F.col("b.code")) & _before("b", "a") & condition,
-        "left_semi",
+def _meet(postings: DataFrame, order: Column, condition: Column) -> DataFrame:
+    """Places of the lines ``a`` for which there is a line ``b``, in this order, with a condition."""
+    met = postings.alias("a").join(
+        postings.alias("b"), (F.col("a.code") == F.col("b.code")) & order & condition, "left_semi"
     )
     return met.select(*PLACE).distinct()
 
@@ -182,9 +180,8 @@ def kept_lines(
 
 def _meeting(classes: DataFrame, similarity: int) -> DataFrame:
     """Lines that may match another one, by the filters of the prefix join."""
-    postings = _postings(classes)
-    sides = [_meet(side, postings, _may_match(similarity)) for side in ("a", "b")]
-    return sides[0].unionAll(sides[1]).distinct()
+    # the filters are the same for both lines of a pair; which is first counts when verifying
+    return _meet(_postings(classes), _place("a") != _place("b"), _may_match(similarity))
 
 
 def _verified(rows: DataFrame, likely: DataFrame, levels: bytes, similarity: int) -> DataFrame:
@@ -203,7 +200,8 @@ def _verified(rows: DataFrame, likely: DataFrame, levels: bytes, similarity: int
         "codes",
     )
     postings = _postings(write_and_reread(full, "likely-sets"), "codes")
-    return _meet("a", postings, _may_match(similarity) & _matches(similarity))
+    earlier = _place("b") < _place("a")
+    return _meet(postings, earlier, _may_match(similarity) & _matches(similarity))
 
 
 def remove_repeated_lines(
