@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.functions.text import space_tokens
-from lexiscope.operators.frequent import most_frequent
+from lexiscope.operators.frequent import TRACKED, frequent_items, most_frequent, summary_error
 from lexiscope.sources.shared import write_and_reread
 
 MAX_TERMS = 2_000
 MIN_DF = 0.01
 MAX_DF = 0.80
 BROADCAST_TERMS = 1_000_000
+SUMMARY_FROM = 5_000_000  # articles
 
 
 @dataclass(frozen=True)
@@ -85,6 +86,8 @@ def fit_corpus(
     max_terms: int = MAX_TERMS,
     min_df: float = MIN_DF,
     max_df: float = MAX_DF,
+    summary_from: int = SUMMARY_FROM,
+    tracked: int = TRACKED,
 ) -> CorpusModel:
     """Learn vocabulary, document frequencies and label order.
 
@@ -93,6 +96,10 @@ def fit_corpus(
     it are the terms within the limits of document frequency. Only the vocabulary, of at most
     ``max_terms``, and the labels reach the driver, where the stages of a model need them. Equal
     frequencies are in term order, equal label counts in label order.
+
+    From ``summary_from`` articles on, a pass before that finds the terms that can reach the lower
+    limit (see ``may_be_common``), and only those are counted: the shuffle then holds these few
+    from each task in place of all its different terms. The result is the same.
     """
     sizes = df.groupBy(F.col(category).cast("string").alias("label")).agg(
         F.count(F.lit(1)).alias("n")
@@ -102,13 +109,16 @@ def fit_corpus(
     low, high = _document_bound(min_df, documents), _document_bound(max_df, documents)
 
     tokens = F.coalesce(space_tokens(F.col(text)), F.array().cast("array<string>"))
+    rows = df.select(tokens.alias("tokens")).select(
+        F.size("tokens").alias("n"),
+        F.posexplode(F.concat("tokens", F.array_distinct("tokens"))).alias("place", "term"),
+    )
+    if documents >= summary_from:
+        candidates = may_be_common(df.select(tokens.alias("tokens")), low, tracked)
+        if candidates is not None:
+            rows = rows.join(candidates, "term", "left_semi")
     counted = (
-        df.select(tokens.alias("tokens"))
-        .select(
-            F.size("tokens").alias("n"),
-            F.posexplode(F.concat("tokens", F.array_distinct("tokens"))).alias("place", "term"),
-        )
-        .groupBy("term")
+        rows.groupBy("term")
         .agg(
             F.count_if(F.col("place") < F.col("n")).alias("tf"),
             F.count_if(F.col("place") >= F.col("n")).alias("df"),
@@ -131,6 +141,21 @@ def fit_corpus(
     )
 
 
+def may_be_common(rows: DataFrame, least: float, tracked: int) -> DataFrame | None:
+    """The terms that at least ``least`` rows may have in their ``tokens``, or None for any.
+
+    Every task summarises the different terms of its rows with ``tracked`` counters. The summaries
+    can't miss a term above twice their error; where ``least`` is not above it they decide nothing.
+    """
+    different = rows.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    found = write_and_reread(frequent_items(different, "term", tracked=tracked), "frequent-terms")
+    total = found.agg(F.max("rows")).first()[0]
+    if total is None or least <= 2 * summary_error(tracked) * total:
+        return None
+    # at most ``tracked`` terms
+    return F.broadcast(found.filter(F.col("at_most") >= least).select("term"))
+
+
 def feature_stages(model: CorpusModel, text: str = "combined_text") -> PipelineModel:
     """Fitted stages from text to ``features``, each a per-row function without a shuffle.
 

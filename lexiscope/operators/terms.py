@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiscope.functions.text import terms
+from lexiscope.operators.frequent import frequent_items, summary_error
+from lexiscope.sources.shared import write_and_reread
+
+BROADCAST_TERMS = 1_000_000
 
 
 def category_text(
@@ -44,22 +48,54 @@ def top_terms(
     category: str = "category",
     text: str = "body",
     stop_words: DataFrame | None = None,
+    tracked: int | None = None,
 ) -> DataFrame:
     """The ``k`` most frequent lower-case terms of every category, ties in term order.
 
     ``stop_words`` is a table with a ``term`` column. Counting is combined before each shuffle
     and the rank filter prunes per task, so a dominant category or term stays cheap.
+
+    With ``tracked``, only terms that can be among the ``k`` are counted. Summaries of so many
+    counters, one per task and category, tell how frequent terms are at most, and from that a
+    threshold that the ``k``-th term is not below. In categories where a term could reach the
+    threshold without being named, all terms are counted. The result is the same. It takes a second
+    reading of the texts and shuffles, in place of every different term of a task, a summary and
+    the candidates.
     """
-    words = df.select(category, F.explode(terms(F.col(text))).alias("term"))
-    counts = (
-        words.groupBy(category, F.lower("term").alias("term"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    words = df.select(category, F.explode(terms(F.col(text))).alias("term")).select(
+        category, F.lower("term").alias("term")
     )
     if stop_words is not None:
-        counts = counts.join(stop_words.select("term"), "term", "left_anti")
+        words = words.join(stop_words.select("term"), "term", "left_anti")
+    if tracked is not None:
+        words = _that_may_lead(words, k, category, tracked)
+    counts = words.groupBy(category, "term").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(category).orderBy(F.desc("n"), F.asc("term"))
     return (
         counts.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select(category, "term", "n", F.col("rank").cast("bigint").alias("rank"))
     )
+
+
+def _that_may_lead(words: DataFrame, k: int, category: str, tracked: int) -> DataFrame:
+    """The rows of terms that may be among the first ``k`` of their category."""
+    named = write_and_reread(frequent_items(words, "term", [category], tracked), "frequent-terms")
+    ranked = Window.partitionBy(category).orderBy(F.desc("at_most"), "term")
+    # the k-th term has at least what the k-th of these has at least
+    last = named.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") == k)
+    error = F.col("rows") * summary_error(tracked)
+    limits = last.select(category, (F.col("at_most") - error).alias("least"), error.alias("error"))
+    # a term above twice the error is named for certain; a null category can't be joined
+    sure = (F.col("least") > 2 * F.col("error")) & F.col(category).isNotNull()
+    limits = limits.filter(sure).select(category, "least")
+    leading = named.join(limits, category).filter("at_most >= least").select(category, "term")
+    stored = write_and_reread(leading, "leading-terms")
+    if stored.count() <= BROADCAST_TERMS:
+        stored = F.broadcast(stored)
+    some = words.join(stored, [category, "term"], "left_semi")
+    if limits.count() == named.select(category).distinct().filter(F.col(category).isNotNull()).count():
+        return some.unionAll(words.filter(F.col(category).isNull()))
+    # one row per category
+    rest = words.join(F.broadcast(limits.select(category)), category, "left_anti")
+    return some.unionAll(rest)
