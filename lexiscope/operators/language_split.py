@@ -4,24 +4,91 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexiscope.functions.text import pieces, strip_space, trigrams
+from lexiscope.functions.text import bound, pieces, strip_space, trigrams
 from lexiscope.operators.language import (
     LanguageProfile,
-    best_language,
+    out_of_lanes,
     score_languages,
-    sum_weights,
     text_rows,
+    weigh_each,
 )
 from lexiscope.sources.shared import write_and_reread
 
 WINDOW_CHARS = 25
 STEP_CHARS = 5
 OPENING_STEPS = 40
-PIECE_STEPS = 1_000
+PIECE_STEPS = 100
+
+
+def first_step_in_main(
+    profile: LanguageProfile, values: Column, first: Column, main: str, window: int, step: int
+) -> Column:
+    """The first step from ``first`` on at which a window is in the main language, or null.
+
+    ``values`` are the lanes of the trigrams of a piece. Windows begin and end at fixed distances
+    from the steps, so the values are summed up to each of these places, once. A window's sum is the
+    difference of two running sums, and the steps are tried in order until one fits.
+    """
+    blocks, head = divmod(window - 2, step)
+    # a block that a window may end in has two parts, its head and the rest
+    parts = 2 if head else 1
+    count = len(profile.languages) + 1
+    lanes = range((count + 1) // 2)
+    number = profile.languages.index(main)
+    nothing = F.array(*[F.lit(0).cast("bigint") for _ in lanes])
+
+    def position(place: Column) -> Column:
+        within = F.when(place % parts == 1, head).otherwise(0) if head else F.lit(0)
+        return (F.floor(place / parts) * step + within).cast("int")
+
+    def plus(a: Column, b: Column) -> Column:
+        return F.array(*[F.get(a, k) + F.get(b, k) for k in lanes])
+
+    def running_sums(values: Column) -> Column:
+        size = F.size(values)
+        last = F.floor(size / step).cast("int") * parts
+        if head:
+            last = last + F.when(size % step >= head, 1).otherwise(0)
+
+        def up_to(sums: Column, place: Column) -> Column:
+            begin = position(place - 1)
+            part = F.slice(values, begin + 1, position(place) - begin)
+            total = F.aggregate(part, F.element_at(sums, -1), plus)
+            return F.array_append(sums, F.when(place == 0, nothing).otherwise(total))
+
+        start = F.array().cast("array<array<bigint>>")
+        return F.aggregate(F.sequence(F.lit(0), last), start, up_to)
+
+    def in_main(sums: Column, at: Column) -> Column:
+        begin, end = at * parts, at * parts + parts * blocks + (1 if head else 0)
+        apart = F.array(*[F.get(F.get(sums, end), k) - F.get(F.get(sums, begin), k) for k in lanes])
+
+        def wins(apart: Column) -> Column:
+            known, *above = out_of_lanes(apart, count)
+            scores = [w + (window - 2) * floor for w, floor in zip(above, profile.floors)]
+            best = known > 0
+            for i, score in enumerate(scores):
+                if i != number:  # of equal scores the first language counts
+                    best = best & (scores[number] > score if i < number else scores[number] >= score)
+            return best
+
+        return bound(apart, wins)
+
+    def search(values: Column) -> Column:
+        last = F.floor((F.size(values) - (window - 2)) / step).cast("int")
+
+        def one_after_the_other(sums: Column) -> Column:
+            def or_this(found: Column, at: Column) -> Column:
+                return F.coalesce(found, F.when(in_main(sums, at), at))
+
+            return F.aggregate(F.sequence(first, last), F.lit(None).cast("int"), or_this)
+
+        return F.when(last >= first, bound(running_sums(values), one_after_the_other))
+
+    return bound(values, search)
 
 
 def first_main_window(
@@ -36,42 +103,33 @@ def first_main_window(
 ) -> DataFrame:
     """The keys and ``cut``, the start of the first later window in the main language, or null.
 
-    Windows of ``window`` characters start at every ``step``-th character of the whole text. A
-    window's score is a sum over its trigrams, so trigrams are summed once per block of ``step``
-    positions and a window adds up whole blocks and the head of the next one. Texts are handled in
-    overlapping pieces, which keeps every sort small however long a text is. The pieces are dealt
-    out as texts, which are smaller than their blocks; blocks and windows are then made where the
-    piece is, and one row per piece goes on.
+    Windows of ``window`` characters start at every ``step``-th character of the whole text. Texts
+    are handled in overlapping pieces, which are dealt out as texts, so a long one is searched by
+    many tasks. The values of a piece's trigrams are gathered where the piece is, one array of fixed
+    length, and what goes on is one row per piece.
     """
-    blocks_per_window, head = divmod(window - 2, step)
-    if blocks_per_window < 1:
+    if window - 2 < step:
         raise ValueError("the window must be at least two characters longer than the step")
     piece_chars = piece_steps * step
-
+    by = [*keys, "piece"]
+    # the work is in the characters, not in the bytes moved, so as many tasks as shuffles have
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut_up = df.select(
         *keys, F.posexplode(pieces(F.col(text), piece_chars, window - 1)).alias("piece", "part")
-    ).repartition(*keys, "piece")
-    # A block has two parts, the head that a window may end with and the rest, numbered in turn.
-    block = F.floor(F.col("position") / step) * 2
-    rest = (F.col("position") % step >= head).cast("int") if head else F.lit(0)
+    ).repartition(tasks, *by)
     rows = cut_up.select(
-        *keys, "piece", F.posexplode(trigrams(F.col("part"))).alias("position", "trigram")
-    ).select(*keys, "piece", (block + rest).alias("unit"), F.lower("trigram").alias("trigram"))
-    units = sum_weights(rows, profile, [*keys, "piece", "unit"])
-
-    in_piece = Window.partitionBy(*keys, "piece").orderBy("unit")
-    last = 2 * blocks_per_window - (0 if head else 1)
-    whole = in_piece.rangeBetween(0, last)
-    measures = ["n", "known", *profile.weight_columns]
-    windows = units.select(
-        *keys, "piece", "unit", *[F.sum(m).over(whole).alias(m) for m in measures]
-    ).filter(F.col("unit") % 2 == 0)
-    scores = [F.col(w) for w in profile.weight_columns]
-    in_main = best_language(profile, scores, F.col("known")) == main
-    start = F.col("piece") * piece_chars + F.col("unit") / 2 * step
-    found = (F.col("n") == window - 2) & (start > 0) & in_main
-    by_piece = windows.groupBy(*keys, "piece").agg(F.min(F.when(found, start)).alias("cut"))
-    return by_piece.groupBy(*keys).agg(F.min("cut").cast("int").alias("cut"))
+        *by, F.posexplode(trigrams(F.col("part"))).alias("position", "trigram")
+    ).withColumn("trigram", F.lower("trigram"))
+    weighed = weigh_each(rows, profile, [*by, "position"])
+    ordered = F.sort_array(F.collect_list(F.struct("position", "lanes"))).alias("ordered")
+    gathered = weighed.groupBy(*by).agg(ordered)
+    if main in profile.languages:
+        first = F.when(F.col("piece") == 0, 1).otherwise(0)
+        at = first_step_in_main(profile, F.col("ordered.lanes"), first, main, window, step)
+    else:
+        at = F.lit(None).cast("int")
+    found = gathered.select(*keys, (F.col("piece") * piece_chars + at * step).alias("cut"))
+    return found.groupBy(*keys).agg(F.min("cut").cast("int").alias("cut"))
 
 
 def language_cuts(
@@ -110,9 +168,7 @@ def language_cuts(
         .select(*keys, "opening")
     )
     near = write_and_reread(
-        first_main_window(
-            candidates, profile, "opening", [*keys, "opening"], main, window, step, opening_steps
-        ).select(*keys, "cut"),
+        first_main_window(candidates, profile, "opening", keys, main, window, step, opening_steps),
         "opening-cuts",
     )
     remaining = rows.filter(F.length("text") > opening_chars).join(
