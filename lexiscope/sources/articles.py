@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscope.functions.text import first_line
+from lexiscope.sources.shared import write_and_reread
 
 ARTICLE_COLUMNS = ("title", "summary", "body", "category")
 
@@ -65,11 +67,42 @@ def with_row_id(df: DataFrame, out: str = "doc_id") -> DataFrame:
     return df.withColumn(out, F.monotonically_increasing_id())
 
 
+def with_row_number(df: DataFrame, order: Sequence[str], out: str = "row_number") -> DataFrame:
+    """Number all rows from 0 on, without gaps, in the order of some columns.
+
+    The numbers depend on these columns alone, not on the partitions, so two tables with the same
+    values there are numbered alike and can be put side by side. Rows that are equal in all of them
+    are numbered in any order. No task sees more than a range: ranges are sorted on their own, and
+    each begins with the number of rows in those before it.
+    """
+    names = [c for c in ("__range", "__place", "__before") if c in df.columns]
+    if names:
+        raise ValueError(f"the table has columns named {names}")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = write_and_reread(
+        dealt.select("*", F.spark_partition_id().alias("__range"), place.alias("__place")), "ranges"
+    )
+    # one row per range
+    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()
+    before, total = [], 0
+    for row in sorted(sizes, key=lambda row: row["__range"]):
+        before.append((row["__range"], total))
+        total += row["n"]
+    starts = df.sparkSession.createDataFrame(before, "__range int, __before bigint")
+    numbered = placed.join(F.broadcast(starts), "__range")
+    return numbered.select(*df.columns, (F.col("__before") + F.col("__place")).alias(out))
+
+
 def save_table(
     df: DataFrame, name: str, bucket_key: str | None = None, buckets: int | None = None
 ) -> DataFrame:
     """Store a managed table, replacing an older one of the same name, and return it.
 
+    The rows are first stored under a fresh name and counted. Only then do the names change: the
+    older table steps aside, the new one takes its name, and the older one goes. So a write that
+    fails leaves the older table as it was, and ``df`` may read from it.
+
     With a ``bucket_key`` the rows are stored in buckets of that key, one file each. Joins and
     groupings on the key then move no articles, which pays off for a corpus that goes through
     several language operators. A bucket is read by one task, so ``buckets`` must be given and
@@ -77,9 +110,32 @@ def save_table(
     """
     if (bucket_key is None) != (buckets is None):
         raise ValueError("give a bucket key and the number of buckets together")
-    if bucket_key is None:
-        df.write.mode("overwrite").saveAsTable(name)
-    else:
-        placed = df.repartition(buckets, bucket_key)
-        placed.write.mode("overwrite").bucketBy(buckets, bucket_key).saveAsTable(name)
-    return df.sparkSession.table(name)
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    new, old = f"{name}__new_{mark}", f"{name}__old_{mark}"
+    written = Observation()
+    counted = df.observe(written, F.count(F.lit(1)).alias("rows"))
+    try:
+        if bucket_key is None:
+            counted.write.saveAsTable(new)
+        else:
+            placed = counted.repartition(buckets, bucket_key)
+            placed.write.bucketBy(buckets, bucket_key).saveAsTable(new)
+        stored = spark.table(new).count()
+        if stored != written.get["rows"]:
+            raise OSError(f"{stored} of {written.get['rows']} rows are in {new}")
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {new}")
+        raise
+    replaced = spark.catalog.tableExists(name)
+    if replaced:
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    try:
+        spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+    except BaseException:
+        if replaced:
+            spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+        spark.sql(f"DROP TABLE IF EXISTS {new}")
+        raise
+    if replaced:
+        spark.sql(f"DROP TABLE {old}")
+    return spark.table(name)

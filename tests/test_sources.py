@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from lexiscope.sources.articles import articles, read_articles_csv, read_table, save_table, with_row_id
+from lexiscope.sources.articles import articles, read_articles_csv, read_table, save_table, with_row_id, with_row_number
 from lexiscope.sources.shared import fresh_path, intermediate_files, shared_dir, write_and_reread
 
 
@@ -43,6 +43,62 @@ def test_save_table_replaces_the_old_one(spark):
     assert spark.table("replaced").count() == 3
 
 
+@pytest.mark.parametrize("buckets", [None, 4])
+def test_a_failed_write_leaves_the_old_table(spark, buckets):
+    name, key = f"kept_{buckets}", "id" if buckets else None
+    save_table(spark.range(5), name, key, buckets)
+    failing = spark.range(100, numPartitions=4).selectExpr(
+        "id", "IF(id = 99, raise_error('no more'), 1) AS x"
+    )
+    with pytest.raises(Exception, match="no more"):
+        save_table(failing, name, key, buckets)
+    assert sorted(r["id"] for r in spark.table(name).collect()) == list(range(5))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(f"{name}__")]
+
+
+def test_a_table_can_be_replaced_by_what_is_read_from_it(spark):
+    save_table(spark.range(10), "grown")
+    grown = save_table(spark.table("grown").selectExpr("id + 10 AS id").union(spark.table("grown")), "grown")
+    assert grown.count() == 20 == spark.table("grown").count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("grown__")]
+
+
+def test_a_failed_swap_puts_the_old_table_back(spark, monkeypatch):
+    save_table(spark.range(4), "swapped")
+    plain = type(spark).sql
+
+    def broken(self, text, *rest, **more):
+        if "__new_" in text and text.startswith("ALTER"):
+            raise RuntimeError("no rename")
+        return plain(self, text, *rest, **more)
+
+    monkeypatch.setattr(type(spark), "sql", broken)
+    with pytest.raises(RuntimeError):
+        save_table(spark.range(9), "swapped")
+    monkeypatch.undo()
+    assert spark.table("swapped").count() == 4
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("swapped__")]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 9])
+def test_row_numbers_are_dense_and_the_same_in_any_partitioning(spark, parts):
+    rows = spark.range(500).selectExpr("id * 7 % 501 AS key", "id % 3 AS side", "IF(id % 50 = 0, NULL, id) AS other")
+    found = with_row_number(rows.repartition(parts), ["side", "key"])
+    assert found.columns == ["key", "side", "other", "row_number"]
+    numbered = [(r["side"], r["key"]) for r in found.orderBy("row_number").collect()]
+    assert numbered == sorted(numbered)
+    assert sorted(r["row_number"] for r in found.collect()) == list(range(500))
+
+
+def test_row_numbers_of_equal_rows_nulls_and_empty_tables(spark):
+    rows = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "key string")
+    found = sorted((r["row_number"], r["key"]) for r in with_row_number(rows, ["key"]).collect())
+    assert found == [(0, None), (1, "a"), (2, "a"), (3, "b")]
+    assert with_row_number(rows.limit(0), ["key"]).collect() == []
+    with pytest.raises(ValueError):
+        with_row_number(rows.withColumnRenamed("key", "__place"), ["__place"])
+
+
 def test_bucketed_table_joins_without_shuffle(spark):
     rows = spark.range(100).selectExpr("id AS doc_id", "cast(id AS string) AS body")
     stored = save_table(rows, "bucketed", "doc_id", 4)
