@@ -76,6 +76,14 @@ def predict(
     return label_stage(corpus, category, "keep").transform(categorize(df, model))
 
 
+def predict_with_features(
+    df: DataFrame, model: PipelineModel, corpus: CorpusModel, category: str = "category"
+) -> DataFrame:
+    """``features``, ``probability`` and ``label`` of articles whose category is known."""
+    found = label_stage(corpus, category, "keep").transform(model.transform(df))
+    return found.select("features", "probability", "label")
+
+
 def naive_bayes_weights(
     train: DataFrame,
     corpus: CorpusModel,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexiscope.functions.text import first_line
 from lexiscope.operators import language, language_split, sampling
 from lexiscope.plans.query import ARTICLES_SQL, Query, part_sql
-from lexiscope.sources.articles import articles, read_table
+from lexiscope.sources.articles import articles, read_table, with_row_number
 from lexiscope.sources.shared import fresh_path
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -141,6 +141,23 @@ def keyed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", F.md5("combined_text").alias("text_md5"))
 
 
+def numbered_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two frames put side by side by row numbers that each of them was given on its own."""
+    rows = articles(spark, sf_dir)
+    left = with_row_number(rows.select("doc_id", "summary"), ["doc_id"])
+    right = with_row_number(rows.select("doc_id", "body"), ["doc_id"]).drop("doc_id")
+    both = language_split.join_tables_on_key(left, right, "row_number")
+    joined = language_split.join_texts(both, "summary", "body")
+    return joined.select("doc_id", "row_number", F.md5("combined_text").alias("text_md5"))
+
+
+NUMBERED_JOIN_SQL = f"""
+WITH {ARTICLES_SQL}
+SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_number,
+       md5(concat_ws(' ', summary, body)) AS text_md5
+FROM articles
+"""
+
 KEYED_JOIN_SQL = f"""
 WITH {ARTICLES_SQL}
 SELECT a.doc_id, md5(concat_ws(' ', a.summary, b.body)) AS text_md5
@@ -329,4 +346,5 @@ QUERIES = {
     "language_change_split_summary": Query(language_change_split_summary, _split_sql("summary")),
     "combined_bodies": Query(combined_bodies, COMBINED_SQL),
     "keyed_join": Query(keyed_join, KEYED_JOIN_SQL),
+    "numbered_join": Query(numbered_join, NUMBERED_JOIN_SQL),
 }

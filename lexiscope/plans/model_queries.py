@@ -6,16 +6,18 @@ classifiers from the training part.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscope.operators import classify, evaluate, features, sampling, stats
 from lexiscope.plans.query import ARTICLES_SQL, Query, part_sql
 from lexiscope.sources.articles import articles, read_table
-
+from lexiscope.sources.shared import fresh_path
 
 ALLOWED_GAP = 0.05  # by which the regression may be less accurate than naive Bayes
 FEW_ARTICLES = 100
+NEAR = 0.02  # share of the loss, or of its slope, without features that a fit may have left
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +55,10 @@ def combined_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the terms that summaries of frequent ones name are counted, however few articles."""
     rows = prepared(spark, sf_dir)
-    return _corpus(rows).vocabulary_rows(rows).withColumn("idf", F.round("idf", 9))
+    corpus = classify.fit_on_scope(rows, fit_scope="all", summary_from=0)
+    return corpus.vocabulary_rows(rows).withColumn("idf", F.round("idf", 9))
 
 
 def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,11 +140,15 @@ def nb_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lr_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many articles were tested, and whether the scores agree with the predictions.
+    """How many articles were tested, whether the scores agree with the predictions, and the fit.
 
     The recall is held against the accuracy counted row by row, not against the one beside it.
+    ``loss_below_null`` and ``gradient_small`` say that the loss on the training rows and its slope
+    are less than ``NEAR`` of what they are without features, as they are only near the optimum.
     """
-    regression = _predicted(spark, sf_dir, "logistic_regression").filter(F.col("part") == "test")
+    rows = prepared(spark, sf_dir)
+    corpus, model = _trained(rows, "logistic_regression")
+    regression = classify.predict(rows, model, corpus).filter(F.col("part") == "test")
     counts = evaluate.confusion(regression, ["part"])
     tested = counts.groupBy("part").agg(F.sum("n").alias("articles"))
     measures = ("accuracy", "f1", "weighted_precision", "weighted_recall")
@@ -150,7 +158,33 @@ def lr_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.abs(F.col("weighted_recall") - F.col("by_row")) < 1e-9).alias("recall_is_accuracy"),
         F.least(*[F.col(m).between(0, 1) for m in measures]).alias("within_bounds"),
     )
-    return tested.join(found, "part")
+    near = {name: F.lit(value) for name, value in _near_optimum(rows, corpus, model).items()}
+    return tested.join(found, "part").withColumns(near)
+
+
+def _near_optimum(
+    rows: DataFrame, corpus: features.CorpusModel, model: PipelineModel
+) -> dict[str, bool]:
+    train = classify.predict_with_features(rows.filter(F.col("part") == "train"), model, corpus)
+    found = evaluate.regression_certificate(train, len(corpus.labels)).first()
+    return {
+        "loss_below_null": found["loss"] < NEAR * found["null_loss"],
+        "gradient_small": found["slope"] < NEAR * found["null_slope"],
+    }
+
+
+def stored_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train naive Bayes, store the whole chain, and categorise with what is loaded again."""
+    rows = prepared(spark, sf_dir)
+    corpus, model = _trained(rows, "naive_bayes")
+    path = fresh_path(spark, "classifier")
+    model.save(path)
+    loaded = PipelineModel.load(path)
+    found = classify.with_top_probability(classify.predict(rows, loaded, corpus))
+    return found.select(
+        "doc_id", "part", "category", "label", "prediction", "predicted_category",
+        F.round("confidence", 6).alias("confidence"),
+    )
 
 
 def nb_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,7 +451,8 @@ WITH {PREPARED_SQL} SELECT part, count(*) AS articles, true AS accurate FROM pre
 
 LR_METRICS_SQL = f"""
 WITH {PREPARED_SQL}
-SELECT part, count(*) AS articles, true AS recall_is_accuracy, true AS within_bounds
+SELECT part, count(*) AS articles, true AS recall_is_accuracy, true AS within_bounds,
+       true AS loss_below_null, true AS gradient_small
 FROM prepared WHERE part = 'test' GROUP BY part
 """
 
@@ -441,6 +476,7 @@ QUERIES = {
     "nb_weights": Query(nb_weights, NB_WEIGHTS_SQL),
     "nb_weights_with_nulls": Query(nb_weights_with_nulls, NB_WEIGHTS_WITH_NULLS_SQL),
     "nb_predictions": Query(nb_predictions, NB_PREDICTIONS_SQL),
+    "stored_classifier": Query(stored_classifier, NB_PREDICTIONS_SQL),
     "nb_accuracy_by_part": Query(nb_accuracy_by_part, NB_ACCURACY_SQL),
     "nb_metrics": Query(nb_metrics, NB_METRICS_SQL),
     "nb_confusion": Query(nb_confusion, NB_CONFUSION_SQL),

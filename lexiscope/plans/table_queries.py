@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.functions.text import word_count
 from lexiscope.operators import inspect, profile, sampling, stats, terms
+from lexiscope.operators.frequent import TRACKED
 from lexiscope.plans.query import ARTICLES_SQL, Query, bucket_sql, part_sql
 from lexiscope.sources.articles import (
     articles,
@@ -380,13 +381,16 @@ def top_terms_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_terms_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten most frequent terms of the benchmark items serve as stop words."""
+    """The ten most frequent terms of the benchmark items serve as stop words.
+
+    Only the terms that may be among the first twenty of a source are counted.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         F.lit("b").alias("grp"), F.col("text").alias("body")
     )
     common = terms.top_terms(benchmark, 10, "grp").select("term")
     kept = stats.keep_long_articles(articles(spark, sf_dir))
-    return terms.top_terms(kept, 20, "grp", stop_words=common)
+    return terms.top_terms(kept, 20, "grp", stop_words=common, tracked=TRACKED)
 
 
 _TERMS = r"lower(unnest(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')))"

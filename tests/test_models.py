@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from lexiscope.operators import classify, evaluate, features
@@ -350,3 +351,46 @@ def test_a_wrong_diagonal_or_recall_is_seen(spark, small, monkeypatch):
     )
     monkeypatch.setattr(evaluate, "scores", halved)
     assert not model_queries.lr_metrics(spark, small).first()["recall_is_accuracy"]
+
+
+def scaled(predicted, factor):
+    """Predictions as from coefficients and intercepts times a factor."""
+    raised = F.transform(vector_to_array("probability"), lambda p: F.pow(p, F.lit(factor)))
+    total = F.aggregate("raised", F.lit(0.0), lambda a, x: a + x)
+    shares = F.transform("raised", lambda x: x / F.col("total"))
+    return predicted.withColumn("raised", raised).withColumn("total", total).select(
+        "features", array_to_vector(shares).alias("probability"), "label"
+    )
+
+
+def test_the_certificate_of_the_regression(rows, corpus, monkeypatch):
+    train = rows.filter("part = 'train'")
+    model = classify.train_classifier(train, corpus, "logistic_regression")
+    predicted = classify.predict_with_features(train, model, corpus)
+    found = predicted.collect()
+    labels = np.array([int(r["label"]) for r in found])
+    x = np.array([r["features"].toArray() for r in found])
+    p = np.array([r["probability"].toArray() for r in found])
+    true = np.eye(len(corpus.labels))[labels]
+    row = evaluate.regression_certificate(predicted, len(corpus.labels)).first()
+    share = true.mean(axis=0)
+    assert row["articles"] == len(found)
+    assert row["loss"] == pytest.approx(-np.log(p[np.arange(len(p)), labels]).mean())
+    assert row["null_loss"] == pytest.approx(-(share[share > 0] * np.log(share[share > 0])).sum())
+    assert row["slope"] == pytest.approx(np.abs(x.T @ (p - true)).max() / len(p), abs=1e-12)
+    assert row["null_slope"] == pytest.approx(np.abs(x.T @ (share - true)).max() / len(p))
+    near = model_queries._near_optimum(rows, corpus, model)
+    assert near["loss_below_null"] and near["gradient_small"]
+    plain = classify.predict_with_features
+    monkeypatch.setattr(classify, "predict_with_features", lambda *a: scaled(plain(*a), 0.5))
+    halved = model_queries._near_optimum(rows, corpus, model)
+    assert not halved["loss_below_null"] and not halved["gradient_small"]
+
+
+def test_the_certificate_leaves_out_unknown_classes(spark, rows, corpus):
+    train = rows.filter("part = 'train'").limit(40)
+    model = classify.train_classifier(train, corpus, "logistic_regression")
+    more = train.unionAll(train.limit(5).withColumn("category", F.lit("other")))
+    pairs = [classify.predict_with_features(t, model, corpus) for t in (train, more)]
+    one, two = [evaluate.regression_certificate(p, len(corpus.labels)).first() for p in pairs]
+    assert tuple(one) == pytest.approx(tuple(two))
