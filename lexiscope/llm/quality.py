@@ -39,6 +39,7 @@ SAMPLE = 4_000
 TRAINING_PASSAGES = 500  # of one text
 BLOCK = 8_192  # passages encoded at a time
 THRESHOLD = 0.7
+DIGITS = 9  # of a score
 
 
 def held_out(key: Column, parts: int = 4, part: int = 2) -> Column:
@@ -95,25 +96,26 @@ class AttentionModel:
     arrays: dict[str, np.ndarray]
     constant: float | None = None
 
-    def encode(self, features: np.ndarray) -> np.ndarray:
-        a = self.arrays
-        return np.tanh(((features - a["mean"]) / a["scale"]) @ a["w"] + a["b"])
-
     def score(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Probability of label 1 for each text."""
+        """Probability of label 1 for each text.
+
+        Computed with 53 bits and rounded to ``DIGITS``: the last bits of a matrix product depend on
+        how many rows it has, and equal texts must get equal scores in any batch.
+        """
         count = len(bounds) - 1
         if self.constant is not None or not count:
             return np.full(count, 0.5 if self.constant is None else self.constant)
+        a = {name: x.astype(np.float64) for name, x in self.arrays.items()}
         coded, owners = [], []
         for features, owner in passage_features(data, bounds):
-            coded.append(self.encode(features))
+            coded.append(np.tanh(((features - a["mean"]) / a["scale"]) @ a["w"] + a["b"]))
             owners.append(owner)
         hidden, owner = np.vstack(coded), np.concatenate(owners)
-        weights, _, _ = _attention(self.arrays, hidden, owner, count)
+        weights, _, _ = _attention(a, hidden, owner, count)
         bags = np.zeros((count, hidden.shape[1]))
         starts = np.searchsorted(owner, np.arange(count))
         bags[:] = np.add.reduceat(hidden * weights[:, None], starts, axis=0)
-        return _sigmoid(bags @ self.arrays["c"] + self.arrays["d"][0])
+        return np.round(_sigmoid(bags @ a["c"] + a["d"][0]), DIGITS)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

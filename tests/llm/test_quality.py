@@ -112,3 +112,35 @@ def test_long_texts_take_part_in_the_fit(spark, monkeypatch):
     drawn = whole[(2 * np.arange(500) + 1) * 1300 // 1000].astype(np.float16)
     assert np.array_equal(features[1], drawn.astype(np.float32))
     assert quality._evenly(np.array([0, 520_000, 520_000, 520_010]), 500).sum() == 502
+
+
+def test_equal_texts_get_equal_scores_and_one_is_recomputed(spark):
+    rng = np.random.default_rng(5)
+    width = quality.PAIRS + quality.SHARES
+    labels = np.arange(60) % 2
+    features = [rng.normal(size=(1 + i % 4, width)).astype(np.float32) + labels[i] for i in range(60)]
+    model = quality.fit(features, labels.astype(np.float32), epochs=3)
+    texts = [f"passage {i % 9} of some text. " * (1 + 7 * (i % 9)) for i in range(90)]
+    whole = model.score(*utf8_of(quality.pa.array(texts)))
+    assert len(set(whole)) == 9
+    for size in (1, 7, 40):
+        parts = [quality.pa.array(texts[i : i + size]) for i in range(0, 90, size)]
+        assert np.concatenate([model.score(*utf8_of(p)) for p in parts]).tolist() == whole.tolist()
+    a = model.arrays
+    for at in (0, 4, 8):
+        found = quality.passage_features(*utf8_of(quality.pa.array([texts[at]])))
+        hidden, logits = [], []
+        for passage in np.vstack([f for f, _ in found]):
+            code = [
+                np.tanh(sum((passage[i] - a["mean"][i]) / a["scale"][i] * a["w"][i, k] for i in range(width)) + a["b"][k])
+                for k in range(quality.HIDDEN)
+            ]
+            gated = [
+                np.tanh(np.dot(code, a["v"][:, k])) / (1 + np.exp(-np.dot(code, a["u"][:, k]))) * a["e"][k]
+                for k in range(quality.GATE)
+            ]
+            hidden.append(code)
+            logits.append(sum(gated))
+        weights = np.exp(logits) / np.exp(logits).sum()
+        bag = sum(w * np.array(h) for w, h in zip(weights, hidden))
+        assert abs(whole[at] - 1 / (1 + np.exp(-(bag @ a["c"] + a["d"][0])))) < 1e-5
