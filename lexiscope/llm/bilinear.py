@@ -40,6 +40,7 @@ BLOCK_BYTES = 4 << 20
 FREQUENT = 255  # words that are symbols of their own
 ENDINGS = 255  # symbols for the last letters of other words
 DIGITS = 9  # of a log probability
+CONTEXTS = 2_048  # scored at a time, for all symbols
 ENDING_LETTERS = 2
 WIDTH = 32
 NOISE = 64  # noise samples for each example, shared by a batch
@@ -76,7 +77,8 @@ class Block:
     )
 
     def row(self, number: int) -> pa.RecordBatch:
-        words = "\n".join(self.words.to_pylist()).encode()
+        whole = pa.ListArray.from_arrays([0, len(self.words)], self.words)
+        words = pc.binary_join(whole, "\n")[0].as_py().encode()
         parts = [
             _pack(self.keys), _pack(self.held), _pack(self.lengths), _pack(self.tokens),
             zstandard.compress(words, 1), _pack(self.counts),
@@ -88,7 +90,7 @@ class Block:
     @classmethod
     def of(cls, row: dict) -> Block:
         words = zstandard.decompress(row["words"]).decode()
-        listed = pa.array(words.split("\n") if words else [], pa.string())
+        listed = pc.split_pattern(pa.array([words]), "\n")[0].values if words else pa.array([], pa.string())
         return cls(
             _unpack(row["keys"], np.int64), _unpack(row["held"], bool),
             _unpack(row["lengths"], np.int64), _unpack(row["tokens"], np.int32), listed,
@@ -146,11 +148,18 @@ def make_blocks(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
     return write_and_reread(rows.mapInArrow(run, Block.SCHEMA), "text-blocks")
 
 
+def _cell(column: pa.Array, at: int):
+    """A value of a block; lists, which are as long as its vocabulary, as arrays and not as objects."""
+    if pa.types.is_list(column.type):
+        return column[at].values.to_numpy() if column[at].is_valid else np.zeros(0, np.int64)
+    return column[at].as_py()
+
+
 def _each_block(blocks: DataFrame, run, schema: str) -> DataFrame:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                yield from run({n: batch.column(n)[at].as_py() for n in batch.schema.names})
+                yield from run({n: _cell(batch.column(n), at) for n in batch.schema.names})
 
     return blocks.mapInArrow(over, schema)
 
@@ -438,18 +447,17 @@ def score_texts(
     def run(row: dict) -> Iterator[pa.RecordBatch]:
         block = Block.of(row)
         c = np.zeros(len(block.words) + 1)
-        if row["places"]:
-            c[np.array(row["places"], np.int64)] = np.array(row["known"], np.int64)
+        c[row["places"]] = row["known"]
         c[-1] = ends
         by_word = symbols.of(block.words)
         word, first, second = _pairs_before(block, by_word, start)
         different, where = np.unique(first * (start + 1) + second, return_inverse=True)
         ahead, further = np.divmod(different, start + 1)
         order = np.argsort(where, kind="stable")
-        cuts = np.searchsorted(where[order], np.arange(0, len(different) + 4096, 4096))
+        cuts = np.searchsorted(where[order], np.arange(0, len(different) + CONTEXTS, CONTEXTS))
         likely = np.zeros(len(word))
-        for at, low in enumerate(range(0, len(different), 4096)):
-            scores, norm = model.scores(ahead[low : low + 4096], further[low : low + 4096])
+        for at, low in enumerate(range(0, len(different), CONTEXTS)):
+            scores, norm = model.scores(ahead[low : low + CONTEXTS], further[low : low + CONTEXTS])
             some = order[cuts[at] : cuts[at + 1]]
             row = where[some] - low
             # the last bits of a matrix product depend on how many rows it has, and equal texts
