@@ -19,6 +19,17 @@ def keyed_text(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores behind it as make it none of the table's columns."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all strings of an Arrow array, and where each begins and ends in them."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiscope.llm.arrow import free_names
 from lexiscope.sources.shared import write_and_reread
 
 SIMILARITY = 75  # percent
@@ -204,37 +205,46 @@ def _verified(rows: DataFrame, likely: DataFrame, levels: bytes, similarity: int
     return _meet(postings, earlier, _may_match(similarity) & _matches(similarity))
 
 
+def count_columns(docs: DataFrame) -> list[str]:
+    """The names of the two columns that ``remove_repeated_lines`` adds to a table."""
+    return free_names(docs, "__lines", "__removed")
+
+
 def remove_repeated_lines(
     docs: DataFrame, similarity: int = SIMILARITY, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """The table with these lines taken out of ``text``, and two more columns about each row.
 
     ``__lines`` is how many lines a text had and ``__removed`` how many went; a null text has none.
+    Where the table has such columns, they stay and these have other names (``count_columns``).
     """
+    own = free_names(docs, "__doc", "__version", "__kept", "__all", "__stay")
+    doc, version, stays, every, left = own
     kept = (
         kept_lines(docs, similarity, key, text)
-        .groupBy(F.col("doc").alias("__doc"), F.col("version").alias("__version"))
-        .agg(F.collect_list("line").alias("__kept"))
+        .groupBy(F.col("doc").alias(doc), F.col("version").alias(version))
+        .agg(F.collect_list("line").alias(stays))
     )
     # the lines go through the join in place of the text, so they are cut once
     marked = docs.select(
-        *[F.split(text, "\n").alias("__all") if c == text else F.col(c) for c in docs.columns],
-        F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("__doc"),
-        F.xxhash64(text).alias("__version"),
+        *[F.split(text, "\n").alias(every) if c == text else F.col(c) for c in docs.columns],
+        F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias(doc),
+        F.xxhash64(text).alias(version),
     )
-    whole = marked.join(kept, ["__doc", "__version"], "left")
-    numbers = F.transform("__all", lambda x, i: F.when(F.trim(_plain(x)) == "", i))
+    whole = marked.join(kept, [doc, version], "left")
+    numbers = F.transform(every, lambda x, i: F.when(F.trim(_plain(x)) == "", i))
     blank = F.array_compact(numbers)
-    some = F.coalesce("__kept", F.array().cast("array<int>"))
-    placed = whole.withColumn("__stay", F.array_sort(F.array_union(some, blank)))
-    size = F.coalesce(F.size("__all"), F.lit(0))
+    some = F.coalesce(stays, F.array().cast("array<int>"))
+    placed = whole.withColumn(left, F.array_sort(F.array_union(some, blank)))
+    size = F.coalesce(F.size(every), F.lit(0))
+    lines, removed = count_columns(docs)
     return placed.select(
         *[
-            F.array_join(F.transform("__stay", lambda i: F.get("__all", i)), "\n").alias(text)
+            F.array_join(F.transform(left, lambda i: F.get(every, i)), "\n").alias(text)
             if c == text
             else F.col(c)
             for c in docs.columns
         ],
-        F.when(F.col("__all").isNull(), 0).otherwise(size).alias("__lines"),
-        F.when(F.col("__all").isNull(), 0).otherwise(size - F.size("__stay")).alias("__removed"),
+        F.when(F.col(every).isNull(), 0).otherwise(size).alias(lines),
+        F.when(F.col(every).isNull(), 0).otherwise(size - F.size(left)).alias(removed),
     )

@@ -65,11 +65,12 @@ def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_join.remove_repeated_lines(table(spark, sf_dir, "documents"))
-    return found.select(
+    docs = table(spark, sf_dir, "documents")
+    lines, removed = line_join.count_columns(docs)
+    return line_join.remove_repeated_lines(docs).select(
         "doc_id",
-        F.col("__lines").cast("bigint").alias("n_lines"),
-        F.col("__removed").cast("bigint").alias("n_removed"),
+        F.col(lines).cast("bigint").alias("n_lines"),
+        F.col(removed).cast("bigint").alias("n_removed"),
         F.md5("text").alias("kept_md5"),
     )
 

@@ -24,6 +24,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiscope.llm.arrow import free_names
 from lexiscope.sources.shared import write_and_reread
 
 WINDOW = 13
@@ -218,13 +219,11 @@ def find_leaks(
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
     """The documents that hold no passage of any item, with all their columns."""
     key, text = names.get("key", "doc_id"), names.get("text", "text")
+    row, version = free_names(docs, "__id", "__version")
     leaking = find_leaks(docs, benchmark, **names).select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("version").alias("__version")
+        F.coalesce("doc_id", F.lit(NO_ID)).alias(row), F.col("version").alias(version)
     )
     marked = docs.withColumns(
-        {
-            "__id": F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)),
-            "__version": F.xxhash64(text),
-        }
+        {row: F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)), version: F.xxhash64(text)}
     )
-    return marked.join(leaking.distinct(), ["__id", "__version"], "left_anti").select(*docs.columns)
+    return marked.join(leaking.distinct(), [row, version], "left_anti").select(*docs.columns)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiscope.llm.arrow import keyed_text, small_slices, utf8_of
+from lexiscope.llm.arrow import free_names, keyed_text, small_slices, utf8_of
 from lexiscope.llm.components import connected_components
 from lexiscope.llm.hashing import lower_ascii, mix, run_hashes, span_hashes, word_spans
 from lexiscope.sources.shared import write_and_reread
@@ -427,14 +427,15 @@ def one_of_each(
 
     Rows without words stay; so do rows without id that link with no row that has one.
     """
+    row, version = free_names(docs, "__id", "__version")
     found = near_duplicates(docs, similarity, key, text)
     stay = found.filter(F.coalesce("doc_id", F.lit(NO_ID)) == F.coalesce("component_id", F.lit(NO_ID)))
-    marks = stay.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("version").alias("__version"))
+    marks = stay.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(row), F.col("version").alias(version))
     marked = docs.withColumns(
         {
-            "__id": F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)),
-            "__version": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
+            row: F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)),
+            version: F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
         }
     )
-    kept = marked.join(marks.distinct(), ["__id", "__version"], "left_semi")
-    return kept.dropDuplicates(["__id", "__version"]).select(*docs.columns)
+    kept = marked.join(marks.distinct(), [row, version], "left_semi")
+    return kept.dropDuplicates([row, version]).select(*docs.columns)

@@ -7,10 +7,11 @@ import sentencepiece
 import test_line_join
 import test_seeds
 import test_shingle_join
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from lexiscope.llm import line_join, quality, seeds
+from lexiscope.llm import line_join, quality, seeds, shingle_join
 from lexiscope.llm.queries import PIECE_MODEL, QUERIES, table
 
 
@@ -104,6 +105,40 @@ def test_awkward_documents_pass_all_stages(spark, tmp_path):
         assert len(ids) == (6 if start is docs else 0)
 
 
+CLASHING = (
+    "__id", "__version", "__doc", "__removed", "__lines", "__all", "__kept", "__stay", "text_of", "key",
+    "places", "id", "version", "item", "set_id", "n", "line", "code", "label", "score", "n_shingles",
+)
+
+
+def test_columns_of_any_name_come_back_as_they_were(spark, tmp_path):
+    rows = [
+        (1, "one line of its own\nthe same line in two documents", 1),
+        (2, "another line here\nthe same line in two documents", 2),
+        (3, "words of a document that is copied once more below", 3),
+        (4, "words of a document that is copied once more below", 4),
+        (5, "a b c d e f g h", 5), (None, None, 6), (6, "", 7),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, value int")
+    docs = docs.select("doc_id", "text", *[F.concat_ws("-", F.lit(c), "value").alias(c) for c in CLASHING])
+    spark.createDataFrame([(4, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d e f g h")], "item_id bigint, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet"
+    )
+    expected = {r.doc_id: r[2:] for r in docs.collect()}
+    kept, left = docs, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        found = kept.collect()
+        left.append({r.doc_id for r in found})
+        assert all(r[2:] == expected[r.doc_id] for r in found), name
+    assert left == [{1, 2, 3, 4, 5, 6, None}, {1, 2, 3, 5, 6, None}, {1, 2, 3, 5, 6, None}, {1, 2, 3, 6, None}]
+    near = shingle_join.one_of_each(docs).collect()
+    assert {r.doc_id for r in near} == {1, 2, 3, 5, 6, None}
+    assert all(r[2:] == expected[r.doc_id] for r in near)
+
+
 def test_all_queries_are_registered():
     names = set(contract.queries())
     assert set(QUERIES) | {"pipeline"} <= names
