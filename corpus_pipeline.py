@@ -37,9 +37,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = line_join.remove_repeated_lines(docs)
-    lost = (F.col("__removed") > 0) & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")
+    removed = line_join.count_columns(docs)[1]
+    lost = (F.col(removed) > 0) & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")
     columns = [
-        F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema[c].dataType))
+        F.when(F.col(removed) > 0, F.length("text").cast(docs.schema[c].dataType))
         .otherwise(F.col(c))
         .alias(c)
         if c == "n_chars"
