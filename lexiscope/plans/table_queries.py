@@ -158,6 +158,8 @@ def _profile_sql(head: str, columns: dict[str, bool], part: str) -> str:
           {percent.format("d")} AS cardinality_pct, nulls, {percent.format("nulls")} AS null_pct,
           empties, {percent.format("empties")} AS empty_pct, {unsuitable} AS unsuitable,
           {percent.format(unsuitable)} AS unsuitable_pct FROM p""",
+        "slices": """SELECT column_name, total_rows AS "rows", nulls, empties, d AS distinct_values,
+          true AS in_bounds FROM p""",
         "cardinality": f"""SELECT column_name, d AS distinct_values,
           {percent.format("d")} AS cardinality_pct FROM p""",
         "missing": f"""SELECT column_name, nulls, {percent.format("nulls")} AS null_pct, empties,
@@ -213,6 +215,27 @@ def profile_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile_columns(read_table(spark, sf_dir, "customer"))
 
 
+def profile_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of four slices of the articles, each stored and then merged, beside the exact counts.
+
+    ``in_bounds`` says whether the number of different values lies within the stated bounds.
+    """
+    rows = articles(spark, sf_dir).select(*ARTICLE_TEXTS, F.pmod("doc_id", F.lit(4)).alias("slice"))
+    path = fresh_path(spark, "sketches")
+    for number in range(4):
+        one = rows.filter(F.col("slice") == number).drop("slice")
+        profile.sketch_profile(one).write.mode("append").parquet(path)
+    merged = profile.merge_profiles(spark.read.parquet(path))
+    exact = profile.profile_columns(rows.drop("slice")).select(
+        "column_name", F.col("distinct_values").alias("exact"), "total_rows"
+    )
+    return merged.join(exact, "column_name").select(
+        "column_name", "rows", "nulls", "empties", F.col("exact").alias("distinct_values"),
+        (F.col("exact").between(F.col("least_distinct"), F.col("most_distinct"))
+         & (F.col("rows") == F.col("total_rows"))).alias("in_bounds"),
+    )
+
+
 # --- statistics per category ---------------------------------------------------------------------
 
 
@@ -485,6 +508,9 @@ QUERIES = {
     "profile_documents": Query(
         profile_documents, _profile_sql(WITH_LABELS_SQL, ARTICLE_TEXTS, "report")
     ),
+    "profile_slices": Query(
+        profile_slices, _profile_sql(WITH_LABELS_SQL, ARTICLE_TEXTS, "slices")
+    ),
     "profile_with_nulls": Query(
         profile_with_nulls, _profile_sql(WITH_LABELS_SQL, WITH_LABELS_COLUMNS, "full")
     ),

@@ -255,3 +255,59 @@ def test_rows_without_key_are_sampled_and_split_like_others(spark):
     seeds = [sampling.split_rows(rows, "body", seed=s).collect() for s in range(12)]
     parts = [{r["part"] for r in found if r["body"] is None} for found in seeds]
     assert all(len(p) == 1 for p in parts) and len(set().union(*parts)) > 1
+
+
+# --- profiles of slices --------------------------------------------------------------------------
+
+
+def sliced(spark):
+    return spark.range(20_000).selectExpr(
+        "id AS number", "IF(id % 7 = 0, NULL, concat('v', id % 5000)) AS text",
+        "IF(id % 4 = 0, '', 'x') AS few", "cast(id % 3000 AS double) AS real", "id % 2 = 0 AS flag",
+        "cast(NULL AS string) AS none", "id % 8 AS slice",
+    )
+
+
+def test_merged_sketches_are_exact_where_they_must_be_and_near_elsewhere(spark):
+    rows = sliced(spark)
+    columns = [c for c in rows.columns if c != "slice"]
+    each = [
+        profile.sketch_profile(rows.filter(F.col("slice") == i).select(columns)) for i in range(8)
+    ]
+    stacked = each[0]
+    for one in each[1:]:
+        stacked = stacked.unionAll(one)
+    merged = {r["column_name"]: r for r in profile.merge_profiles(stacked).collect()}
+    exact = {r["column_name"]: r for r in profile.profile_columns(rows.select(columns)).collect()}
+    assert set(merged) == set(columns)
+    for name, row in merged.items():
+        true = exact[name]["distinct_values"]
+        assert (row["rows"], row["nulls"], row["empties"]) == (
+            20_000, exact[name]["nulls"], exact[name]["empties"]
+        )
+        assert row["least_distinct"] <= true <= row["most_distinct"]
+        assert true == row["distinct_values"] or true > 100
+
+
+def test_merged_sketches_can_be_merged_again_in_any_grouping(spark):
+    rows = sliced(spark).drop("slice")
+    slices = [rows.filter(F.col("number") % 4 == i) for i in range(4)]
+    one, two, three, four = [profile.sketch_profile(s) for s in slices]
+    kept = one.columns
+    left = profile.merge_profiles(one.unionAll(two)).select(kept)
+    right = profile.merge_profiles(three.unionAll(four)).select(kept)
+    columns = ["column_name", "rows", "nulls", "empties", "distinct_values"]
+    nested = profile.merge_profiles(left.unionAll(right)).select(columns).orderBy("column_name")
+    flat = profile.merge_profiles(one.unionAll(two).unionAll(three).unionAll(four)).select(columns)
+    for a, b in zip(nested.collect(), flat.orderBy("column_name").collect()):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) <= 0.05 * b[4]
+
+
+def test_sketches_of_empty_slices(spark):
+    rows = sliced(spark).drop("slice")
+    empty, full = profile.sketch_profile(rows.limit(0)), profile.sketch_profile(rows)
+    alone = profile.merge_profiles(empty).collect()
+    assert {(r["rows"], r["distinct_values"]) for r in alone} == {(0, 0)}
+    both = profile.merge_profiles(empty.unionAll(full)).select("column_name", "rows", "distinct_values")
+    plain = profile.merge_profiles(full).select("column_name", "rows", "distinct_values")
+    assert sorted(both.collect()) == sorted(plain.collect())
