@@ -21,7 +21,6 @@ from lexiscope.sources.shared import write_and_reread
 UNKNOWN = "unknown"
 WEIGHT_SCALE = 1000
 PIECE_CHARS = 8_000
-LANE_BITS = 32
 HEAD_CELLS = 1_000_000
 TAIL_SALTS = 16
 
@@ -199,48 +198,6 @@ def sum_weights(rows: DataFrame, profile: LanguageProfile, by: Sequence[str]) ->
     )
 
 
-def lanes_of(known: Column, above: Sequence[Column]) -> Column:
-    """Whether a trigram is known and what its weights are above the floors, two numbers in each of
-    an array of integers. None is negative, so such arrays can be added up lane by lane."""
-    numbers = [known, *above]
-    numbers += [F.lit(0).cast("bigint")] * (len(numbers) % 2)
-    pairs = zip(numbers[::2], numbers[1::2])
-    return F.array(*[low + F.shiftleft(high, LANE_BITS) for low, high in pairs])
-
-
-def out_of_lanes(lanes: Column, count: int) -> list[Column]:
-    """The first ``count`` numbers of such an array, or of a sum whose numbers fit into their lanes."""
-    last = F.lit((1 << LANE_BITS) - 1)
-    pairs = [F.get(lanes, i // 2) for i in range(count)]
-    return [
-        F.shiftright(pair, LANE_BITS) if i % 2 else pair.bitwiseAND(last)
-        for i, pair in enumerate(pairs)
-    ]
-
-
-def weigh_each(rows: DataFrame, profile: LanguageProfile, by: Sequence[str]) -> DataFrame:
-    """Trigram rows with the ``lanes`` of each, all zero where the profile doesn't know it.
-
-    Trigrams of the head meet a broadcast table. The others are joined to the tail, spread over
-    ``TAIL_SALTS`` copies of it.
-    """
-    columns = profile.weight_columns
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    above = [F.col(w) - floor for w, floor in zip(columns, profile.floors)]
-    unknown = lanes_of(zero, [zero] * len(columns))
-    head = profile.head.select("trigram", lanes_of(one, above).alias("lanes"))
-    # at most HEAD_CELLS weights
-    met = rows.join(F.broadcast(head), "trigram", "left")
-    if profile.tail is None:
-        return met.withColumn("lanes", F.coalesce("lanes", unknown))
-    salt = F.pmod(F.xxhash64(*by), F.lit(TAIL_SALTS)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(TAIL_SALTS - 1))).alias("salt")
-    tail = profile.tail.select(F.col("trigram").alias("rest"), copies, lanes_of(one, above).alias("more"))
-    rest = met.withColumn("rest", F.when(F.col("lanes").isNull(), F.col("trigram")))
-    found = rest.withColumn("salt", salt).join(tail.hint("merge"), ["rest", "salt"], "left")
-    return found.withColumn("lanes", F.coalesce("lanes", "more", unknown)).drop("rest", "salt", "more")
-
-
 def best_language(profile: LanguageProfile, scores: Sequence[Column], known: Column) -> Column:
     """The language with the greatest score, the alphabetically first of equals.
 
