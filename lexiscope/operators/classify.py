@@ -19,13 +19,13 @@ ITERATIONS = 10
 SMOOTHING = 1.0
 
 
-def _estimator(algorithm: str):
+def _estimator(algorithm: str, iterations: int):
     if algorithm == "naive_bayes":
         return NaiveBayes(
             featuresCol="features", labelCol="label", smoothing=SMOOTHING, modelType="multinomial"
         )
     if algorithm == "logistic_regression":
-        return LogisticRegression(featuresCol="features", labelCol="label", maxIter=ITERATIONS)
+        return LogisticRegression(featuresCol="features", labelCol="label", maxIter=iterations)
     raise ValueError(f"unknown algorithm {algorithm!r}, expected one of {ALGORITHMS}")
 
 
@@ -45,11 +45,15 @@ def train_classifier(
     algorithm: str = "naive_bayes",
     text: str = "combined_text",
     category: str = "category",
+    iterations: int = ITERATIONS,
 ) -> PipelineModel:
-    """A fitted chain from text to ``predicted_category``, usable on any table with that text."""
+    """A fitted chain from text to ``predicted_category``, usable on any table with that text.
+
+    A regression takes at most ``iterations`` steps.
+    """
     features = feature_stages(corpus, text)
     labelled = label_stage(corpus, category).transform(features.transform(train))
-    classifier = _estimator(algorithm).fit(labelled.select("features", "label"))
+    classifier = _estimator(algorithm, iterations).fit(labelled.select("features", "label"))
     name = IndexToString(
         inputCol="prediction", outputCol="predicted_category", labels=list(corpus.labels)
     )

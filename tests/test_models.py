@@ -394,3 +394,21 @@ def test_the_certificate_leaves_out_unknown_classes(spark, rows, corpus):
     pairs = [classify.predict_with_features(t, model, corpus) for t in (train, more)]
     one, two = [evaluate.regression_certificate(p, len(corpus.labels)).first() for p in pairs]
     assert tuple(one) == pytest.approx(tuple(two))
+
+
+def test_a_fit_that_ends_too_early_goes_on(spark, small, monkeypatch):
+    rows = prepared(spark, small)
+    monkeypatch.setattr(classify, "ITERATIONS", 2)
+    whole, taken = classify.train_classifier, []
+
+    def train(rows, corpus, algorithm, iterations=2):
+        taken.append(iterations)
+        return whole(rows, corpus, algorithm, iterations=iterations)
+
+    monkeypatch.setattr(classify, "train_classifier", train)
+    corpus, model = model_queries._trained(rows, "logistic_regression")
+    assert not all(model_queries._near_optimum(rows, corpus, model).values())
+    taken.clear()
+    found = model_queries.lr_metrics(spark, small).first()
+    assert found["loss_below_null"] and found["gradient_small"]
+    assert taken[:2] == [2, 8] and len(taken) <= 3
