@@ -46,6 +46,16 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)(?=(...))."), F.lit(1))
 
 
+def characters(text: Column) -> Column:
+    """Array of the characters of a text that isn't empty; a pair of surrogates is one."""
+    return F.split(text, "")
+
+
+def trigram_at(chars: Column, position: Column) -> Column:
+    """The trigram that starts at a position of an array of characters, lower-cased, or null."""
+    return F.lower(F.concat(*[F.get(chars, position + i) for i in range(3)]))
+
+
 def pieces(text: Column, size: int, overlap: int) -> Column:
     """Cut a text into pieces starting at multiples of ``size`` characters.
 
@@ -53,7 +63,8 @@ def pieces(text: Column, size: int, overlap: int) -> Column:
     ``overlap + 1`` characters is lost at a boundary.
     """
     pattern = f"(?s)(?=(.{{1,{size + overlap}}}+)).{{1,{size}}}+"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    whole = F.length(text) <= size  # one piece; this pattern is several times faster
+    return F.regexp_extract_all(text, F.when(whole, F.lit("(?s)(.+)")).otherwise(F.lit(pattern)), F.lit(1))
 
 
 def strip_space(text: Column) -> Column:

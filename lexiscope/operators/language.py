@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiscope.functions.text import pieces, trigrams
+from lexiscope.functions.text import characters, pieces, trigram_at
 from lexiscope.operators.frequent import most_frequent
 from lexiscope.operators.sampling import pick_per_group
 from lexiscope.sources.shared import write_and_reread
@@ -41,6 +42,13 @@ class LanguageProfile:
     head: DataFrame
     tail: DataFrame | None
 
+    @cached_property
+    def hashes_differ(self) -> bool:
+        """Whether no two trigrams of the head have the same 64-bit hash."""
+        hashes = self.head.select(F.xxhash64("trigram").alias("h"))
+        seen = hashes.agg(F.count("h").alias("all"), F.count_distinct("h").alias("different")).first()
+        return seen["all"] == seen["different"]
+
     @property
     def weight_columns(self) -> tuple[str, ...]:
         return tuple(f"w{i}" for i in range(len(self.languages)))
@@ -149,8 +157,11 @@ def explode_trigrams(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame
     Long texts go through in pieces, so that a task never holds all trigrams of one text.
     """
     cut = df.select(*keys, F.explode_outer(pieces(F.col(text), PIECE_CHARS, 2)).alias("piece"))
-    rows = cut.select(*keys, F.explode_outer(trigrams(F.col("piece"))).alias("trigram"))
-    return rows.withColumn("trigram", F.lower("trigram"))
+    chars = cut.select(*keys, characters(F.col("piece")).alias("__chars"))
+    last = F.size("__chars") - 3
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last))
+    rows = chars.select(*keys, "__chars", F.explode_outer(starts).alias("__position"))
+    return rows.select(*keys, trigram_at(F.col("__chars"), F.col("__position")).alias("trigram"))
 
 
 def sum_weights(rows: DataFrame, profile: LanguageProfile, by: Sequence[str]) -> DataFrame:
@@ -169,8 +180,7 @@ def sum_weights(rows: DataFrame, profile: LanguageProfile, by: Sequence[str]) ->
         return table.select("trigram", known, *[(F.col(w) - floors[w]).alias(w) for w in columns])
 
     total = [F.sum(m).alias(m) for m in ("known", *columns)]
-    # at most HEAD_CELLS weights
-    met = rows.join(F.broadcast(differences(profile.head)), "trigram", "left")
+    met = meet_head(rows, profile)
     if profile.tail is None:
         sums = met.groupBy(*by).agg(F.count("trigram").alias("n"), *total)
     else:
@@ -198,6 +208,29 @@ def sum_weights(rows: DataFrame, profile: LanguageProfile, by: Sequence[str]) ->
     )
 
 
+def meet_head(rows: DataFrame, profile: LanguageProfile, trigram: str = "trigram") -> DataFrame:
+    """The rows with ``known`` and how the weights of their trigram differ from the floors.
+
+    These are null where the head has no such trigram. Rows meet the head by a hash, as a table
+    keyed by one number is read several times faster than one keyed by strings; the trigrams are
+    compared after that. A head in which two hashes agree is met by its trigrams.
+    """
+    measures = ("known", *profile.weight_columns)
+    # at most HEAD_CELLS weights
+    head = F.broadcast(
+        profile.head.select(
+            F.xxhash64("trigram").alias("__hash") if profile.hashes_differ else F.col("trigram").alias("__hash"),
+            F.col("trigram").alias("__trigram"),
+            F.lit(1).cast("bigint").alias("__known"),
+            *[(F.col(w) - floor).alias(f"__{w}") for w, floor in zip(profile.weight_columns, profile.floors)],
+        )
+    )
+    key = F.xxhash64(trigram) if profile.hashes_differ else F.col(trigram)
+    same = F.col("__trigram") == F.col(trigram)
+    met = rows.join(head, key == F.col("__hash"), "left")
+    return met.select(*rows.columns, *[F.when(same, F.col(f"__{m}")).alias(m) for m in measures])
+
+
 def best_language(profile: LanguageProfile, scores: Sequence[Column], known: Column) -> Column:
     """The language with the greatest score, the alphabetically first of equals.
 

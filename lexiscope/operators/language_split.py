@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiscope.functions.text import pieces, strip_space, trigrams
+from lexiscope.functions.text import characters, pieces, strip_space, trigram_at, trigrams
 from lexiscope.operators.language import (
     LanguageProfile,
     best_language,
+    meet_head,
     score_languages,
     sum_weights,
     text_rows,
@@ -22,6 +24,8 @@ WINDOW_CHARS = 25
 STEP_CHARS = 5
 OPENING_STEPS = 40
 PIECE_STEPS = 1_000
+PARTITION_CHARS = 4_000_000
+BLOCK_SUMS = 80  # sums that a row of a block may hold while it meets the head
 
 
 def first_main_window(
@@ -33,6 +37,7 @@ def first_main_window(
     window: int,
     step: int,
     piece_steps: int = PIECE_STEPS,
+    chars: int | None = None,
 ) -> DataFrame:
     """The keys and ``cut``, the start of the first later window in the main language, or null.
 
@@ -42,36 +47,100 @@ def first_main_window(
     overlapping pieces, which keeps every sort small however long a text is. The pieces are dealt
     out as texts, which are smaller than their blocks; blocks and windows are then made where the
     piece is, and one row per piece goes on.
+
+    Blocks take many times the room of their text. So the pieces are dealt to as many partitions as
+    ``PARTITION_CHARS`` asks for: one task holds the blocks of so many characters, whatever the size
+    of the table. ``chars`` is how many characters ``df`` has at most; without it they are counted.
     """
-    blocks_per_window, head = divmod(window - 2, step)
-    if blocks_per_window < 1:
+    if (window - 2) // step < 1:
         raise ValueError("the window must be at least two characters longer than the step")
-    piece_chars = piece_steps * step
-
+    if chars is None:
+        chars = df.agg(F.sum(F.length(text))).first()[0]
+    least = df.sparkSession.sparkContext.defaultParallelism
+    partitions = max(least, math.ceil((chars or 0) / PARTITION_CHARS))
     cut_up = df.select(
-        *keys, F.posexplode(pieces(F.col(text), piece_chars, window - 1)).alias("piece", "part")
-    ).repartition(*keys, "piece")
+        *keys, F.posexplode(pieces(F.col(text), piece_steps * step, window - 1)).alias("piece", "part")
+    ).repartition(partitions, *keys, "piece")
+    in_rows = profile.tail is None and step * (len(profile.languages) + 1) <= BLOCK_SUMS
+    windows = _windows_of_blocks if in_rows else _windows_of_units
+    found = windows(cut_up, profile, [*keys, "piece"], window, step)
+    scores = [F.col(w) for w in profile.weight_columns]
+    in_main = best_language(profile, scores, F.col("known")) == main
+    start = F.col("piece") * (piece_steps * step) + F.col("block") * step
+    cut = F.when((start > 0) & in_main, start)
+    by_piece = found.groupBy(*keys, "piece").agg(F.min(cut).alias("cut"))
+    return by_piece.groupBy(*keys).agg(F.min("cut").cast("int").alias("cut"))
+
+
+def _windows_of_blocks(
+    cut_up: DataFrame, profile: LanguageProfile, keys: Sequence[str], window: int, step: int
+) -> DataFrame:
+    """``block``, ``known`` and the weights of every whole window, for a profile that is all head.
+
+    A block is one row from the start: each of its trigrams meets the head on its own, so nothing is
+    grouped. Texts shorter than a window have no window.
+    """
+    blocks_per_window, head = divmod(window - 2, step)
+    measures = ["known", *profile.weight_columns]
+    last = F.floor((F.size("__chars") - 1) / step).cast("int")
+    rows = (
+        cut_up.select(*keys, characters(F.col("part")).alias("__chars"))
+        .select(*keys, "__chars", F.explode(F.sequence(F.lit(0), last)).alias("block"))
+        .select(
+            *keys,
+            "block",
+            (F.col("block") * step + window <= F.size("__chars")).alias("whole"),
+            *[trigram_at(F.col("__chars"), F.col("block") * step + i).alias(f"t{i}") for i in range(step)],
+        )
+    )
+    zero = F.lit(0).cast("bigint")
+    sums = {m: zero for m in measures}
+    for i in range(step):
+        left = [f"t{j}" for j in range(i + 1, step)]
+        met = meet_head(rows, profile, f"t{i}")
+        sums = {m: sums[m] + F.coalesce(F.col(m), zero) for m in measures}
+        heads = [f"head_{m}" for m in measures if i >= head > 0]
+        if i + 1 == head:
+            heads = [sums[m].alias(f"head_{m}") for m in measures]
+        rows = met.select(
+            *keys, "block", "whole", *left, *heads, *[sums[m].alias(f"sum_{m}") for m in measures]
+        )
+        sums = {m: F.col(f"sum_{m}") for m in measures}
+
+    in_order = Window.partitionBy(*keys).orderBy("block")
+    blocks = in_order.rowsBetween(0, blocks_per_window - 1)
+    added = {m: F.sum(f"sum_{m}").over(blocks) for m in measures}
+    if head:
+        added = {m: c + F.lead(f"head_{m}", blocks_per_window).over(in_order) for m, c in added.items()}
+    floors = dict(zip(profile.weight_columns, profile.floors))
+    return rows.select(
+        *keys,
+        "block",
+        "whole",
+        *[(c + floors.get(m, 0) * (window - 2)).alias(m) for m, c in added.items()],
+    ).filter("whole")
+
+
+def _windows_of_units(
+    cut_up: DataFrame, profile: LanguageProfile, keys: Sequence[str], window: int, step: int
+) -> DataFrame:
+    """The same for any profile, from a row per trigram that is grouped by its unit of a block."""
+    blocks_per_window, head = divmod(window - 2, step)
     # A block has two parts, the head that a window may end with and the rest, numbered in turn.
     block = F.floor(F.col("position") / step) * 2
     rest = (F.col("position") % step >= head).cast("int") if head else F.lit(0)
-    rows = cut_up.select(
-        *keys, "piece", F.posexplode(trigrams(F.col("part"))).alias("position", "trigram")
-    ).select(*keys, "piece", (block + rest).alias("unit"), F.lower("trigram").alias("trigram"))
-    units = sum_weights(rows, profile, [*keys, "piece", "unit"])
-
-    in_piece = Window.partitionBy(*keys, "piece").orderBy("unit")
+    rows = cut_up.select(*keys, F.posexplode(trigrams(F.col("part"))).alias("position", "trigram")).select(
+        *keys, (block + rest).alias("unit"), F.lower("trigram").alias("trigram")
+    )
+    units = sum_weights(rows, profile, [*keys, "unit"])
     last = 2 * blocks_per_window - (0 if head else 1)
-    whole = in_piece.rangeBetween(0, last)
+    in_window = Window.partitionBy(*keys).orderBy("unit").rangeBetween(0, last)
     measures = ["n", "known", *profile.weight_columns]
-    windows = units.select(
-        *keys, "piece", "unit", *[F.sum(m).over(whole).alias(m) for m in measures]
-    ).filter(F.col("unit") % 2 == 0)
-    scores = [F.col(w) for w in profile.weight_columns]
-    in_main = best_language(profile, scores, F.col("known")) == main
-    start = F.col("piece") * piece_chars + F.col("unit") / 2 * step
-    found = (F.col("n") == window - 2) & (start > 0) & in_main
-    by_piece = windows.groupBy(*keys, "piece").agg(F.min(F.when(found, start)).alias("cut"))
-    return by_piece.groupBy(*keys).agg(F.min("cut").cast("int").alias("cut"))
+    return (
+        units.select(*keys, "unit", *[F.sum(m).over(in_window).alias(m) for m in measures])
+        .filter((F.col("unit") % 2 == 0) & (F.col("n") == window - 2))
+        .withColumn("block", (F.col("unit") / 2).cast("bigint"))
+    )
 
 
 def language_cuts(
@@ -102,23 +171,31 @@ def language_cuts(
         *keys,
         F.substring("text", 1, opening_chars).alias("opening"),
         F.substring("text", 1, window).alias("first"),
+        F.length("text").alias("length"),
     )
     # The opening is part of the grouping, so that it needs no join to come back to its key.
-    candidates = (
-        score_languages(openings, profile, "first", [*keys, "opening"])
+    candidates = write_and_reread(
+        score_languages(openings, profile, "first", [*keys, "opening", "length"])
         .filter(F.col("detected") != main)
-        .select(*keys, "opening")
+        .select(*keys, "opening", "length"),
+        "openings",
     )
+    size = candidates.agg(
+        F.sum(F.length("opening")).alias("near"),
+        F.sum(F.when(F.col("length") > opening_chars, F.col("length"))).alias("far"),
+    ).first()
     near = write_and_reread(
         first_main_window(
-            candidates, profile, "opening", [*keys, "opening"], main, window, step, opening_steps
-        ).select(*keys, "cut"),
+            candidates, profile, "opening", keys, main, window, step, opening_steps, size["near"] or 0
+        ),
         "opening-cuts",
     )
     remaining = rows.filter(F.length("text") > opening_chars).join(
         near.filter(F.col("cut").isNull()), keys, "left_semi"
     )
-    far = first_main_window(remaining, profile, "text", keys, main, window, step, piece_steps)
+    far = first_main_window(
+        remaining, profile, "text", keys, main, window, step, piece_steps, size["far"] or 0
+    )
     found = near.unionByName(far).filter(F.col("cut").isNotNull())
     return write_and_reread(found, "language-cuts")
 

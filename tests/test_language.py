@@ -337,3 +337,25 @@ def test_texts_are_joined_by_a_space(spark):
     assert [r["combined_text"] for r in joined.collect()] == ["b", " b", "a b"]
     both = language_split.join_tables_on_key(rows.select("doc_id", "s"), rows.select("doc_id", "b"))
     assert sorted(tuple(r) for r in both.filter("doc_id = 3").collect()) == [(3, "a", "b")]
+
+
+def test_units_and_blocks_give_the_same_windows(spark, small, profile, monkeypatch):
+    rows = bilingual_articles(spark, small).filter("length(body) < 1500")
+    blocks = sorted(language_split.language_cuts(rows, profile).collect())
+    monkeypatch.setattr(language_split, "BLOCK_SUMS", 0)
+    assert sorted(language_split.language_cuts(rows, profile).collect()) == blocks
+
+
+def test_equal_hashes_of_trigrams_change_no_result(spark, small, monkeypatch):
+    learnt = language.learn_profile(articles(spark, small))
+    rows = articles(spark, small).limit(40)
+    assert learnt.hashes_differ
+    found = sorted(language.score_languages(rows, learnt, "body", ["doc_id"]).collect())
+    learnt.__dict__["hashes_differ"] = False
+    assert sorted(language.score_languages(rows, learnt, "body", ["doc_id"]).collect()) == found
+
+
+def test_the_caller_may_use_the_names_of_inner_columns(spark, profile):
+    rows = spark.createDataFrame([(1, FRENCH), (2, ENGLISH)], "chars int, position string")
+    found = language.score_languages(rows, profile, "position", ["chars"])
+    assert {r["chars"]: r["detected"] for r in found.collect()} == {1: "fr", 2: "en"}

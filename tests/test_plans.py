@@ -78,3 +78,32 @@ def test_several_columns_are_scored_in_one_pass(spark, small, profile):
     plan = plan_of(language.detect_languages(rows, profile, ("summary", "body")))
     assert plan.count("regexp_extract_all(piece") + plan.count("Generate explode(regexp") >= 1
     assert plan.count("BroadcastExchange") <= 3 and plan.count("Generate inline") == 1
+
+
+def test_a_task_of_the_search_holds_the_blocks_of_so_many_characters(spark, small, profile, monkeypatch):
+    """However large the table is; and nothing is grouped before the windows."""
+    monkeypatch.setattr(language_split, "PARTITION_CHARS", 10_000)
+    rows = spark.read.parquet(f"{small}/documents.parquet")
+    total = sum(len(r["text"]) for r in rows.collect())
+    found = language_split.first_main_window(rows, profile, "text", ["doc_id"], "en", 25, 5)
+    plan = plan_of(found)
+    assert f"{-(-total // 10_000)}), REPARTITION_BY_NUM" in plan
+    assert plan[plan.index("Window") :].count("Aggregate") == 0
+    cuts = sorted(found.collect())
+    monkeypatch.undo()
+    again = language_split.first_main_window(rows, profile, "text", ["doc_id"], "en", 25, 5)
+    assert sorted(again.collect()) == cuts
+
+
+def test_openings_are_no_part_of_the_grouping_of_windows(spark, small, profile, monkeypatch):
+    """A row of the search for windows holds numbers and keys, and no text."""
+    grouped, whole = [], language_split.first_main_window
+
+    def search(df, profile, text, keys, *more):
+        grouped.append(list(keys))
+        return whole(df, profile, text, keys, *more)
+
+    monkeypatch.setattr(language_split, "first_main_window", search)
+    rows = articles(spark, small).select("doc_id", "summary")
+    language_split.split_on_language_change(rows, profile, ("summary",))
+    assert grouped == [["doc_id", "column"]] * 2
