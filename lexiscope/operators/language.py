@@ -6,7 +6,7 @@ of a text is the sum of the weights of its trigrams; integer sums are the same i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -23,6 +23,7 @@ UNKNOWN = "unknown"
 WEIGHT_SCALE = 1000
 PIECE_CHARS = 8_000
 HEAD_CELLS = 1_000_000
+COUNTED_CHARS = 2_000_000
 TAIL_SALTS = 16
 
 
@@ -97,7 +98,8 @@ def learn_profile(
 
     The weight of a trigram is ``round(1000 * ln((n + 1) / (T + V)))`` with ``n`` its count and
     ``T`` all counts in that language, and ``V`` the number of different trigrams. All trigrams
-    are kept; ``head_cells`` says how many weights may be broadcast, and changes no result.
+    are kept. They are counted as numbers inside the tasks, and few rows per task are shuffled;
+    ``head_cells`` says how many weights may be broadcast, and changes no result.
     """
     found = labelled.select(label).filter(F.col(label).isNotNull()).distinct().orderBy(label)
     languages = tuple(row[0] for row in found.collect())
@@ -105,15 +107,18 @@ def learn_profile(
         raise ValueError("no labelled rows to learn from")
 
     counted = [f"n{i}" for i in range(len(languages))]
+    number = F.array_position(F.array(*[F.lit(language) for language in languages]), F.col(label))
+    parts = labelled.filter(F.col(label).isNotNull()).select(
+        (number - 1).cast("int").alias("number"),
+        F.explode(pieces(F.col(text), PIECE_CHARS, 2).cast("array<binary>")).alias("piece"),
+    )
+    some = parts.mapInArrow(trigram_counter(), "number int, trigram string, n bigint")
     counts = write_and_reread(
-        explode_trigrams(labelled.filter(F.col(label).isNotNull()), text, [label])
-        .filter(F.col("trigram").isNotNull())
-        .groupBy("trigram")
-        .agg(
-            F.count(F.lit(1)).alias("total"),
+        some.groupBy(F.lower("trigram").alias("trigram")).agg(
+            F.sum("n").alias("total"),
             *[
-                F.count_if(F.col(label) == language).alias(n)
-                for n, language in zip(counted, languages)
+                F.sum(F.when(F.col("number") == i, F.col("n")).otherwise(0)).alias(n)
+                for i, n in enumerate(counted)
             ],
         ),
         "trigram-counts",
@@ -151,6 +156,69 @@ def _weight(n: Column, size: int) -> Column:
     return F.round(F.ln((n + 1) / F.lit(float(size))) * WEIGHT_SCALE).cast("bigint")
 
 
+def trigram_counter(chars: int = COUNTED_CHARS) -> Callable:
+    """For ``mapInArrow``: pieces of text as UTF-8, by their number, to the counts of their trigrams.
+
+    About ``chars`` bytes are counted at a time, so one trigram may have several counts. Characters are
+    numbered, and the trigrams of all pieces are counted as numbers made of those.
+    The pieces are held apart by a character that no UTF-8 text has.
+    """
+
+    def count(batches):  # pickled whole, so that executors need no copy of this package
+        import numpy as np
+        import pyarrow as pa
+
+        apart = 0xD800
+
+        def counted(number, pieces):
+            text = (2 * chr(apart)).join(p.decode("utf-8", "replace") for p in pieces)
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            if len(codes) < 3:
+                return
+            often = np.bincount(codes)
+            alphabet = np.flatnonzero(often)
+            # frequent characters first: what they make is counted in few places of memory
+            alphabet = alphabet[np.argsort(-often[alphabet], kind="stable")]
+            numbers = np.zeros(len(often), np.int32)
+            size = len(alphabet)
+            numbers[alphabet] = np.arange(size)
+            ids = numbers[codes].astype(np.int64)
+            keys = (ids[:-2] * size + ids[1:-1]) * size + ids[2:]
+            if size**3 <= 8 * len(keys):
+                n = np.bincount(keys, minlength=size**3)
+                keys = np.flatnonzero(n)
+                n = n[keys]
+            else:
+                keys, n = np.unique(keys, return_counts=True)
+            places = np.stack([keys // size**2, keys // size % size, keys % size], axis=1)
+            found = alphabet[places]
+            inside = (found != apart).all(axis=1)
+            rows = [f"{chr(a)}{chr(b)}{chr(c)}" for a, b, c in found[inside].tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(rows), number, np.int32)),
+                    pa.array(rows, pa.string()),
+                    pa.array(n[inside].astype(np.int64)),
+                ],
+                names=["number", "trigram", "n"],
+            )
+
+        waiting, sizes = {}, {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                for number, piece in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    waiting.setdefault(number, []).append(piece)
+                    sizes[number] = sizes.get(number, 0) + len(piece)
+                    if sizes[number] >= chars:
+                        yield from counted(number, waiting.pop(number))
+                        del sizes[number]
+        for number, left in waiting.items():
+            yield from counted(number, left)
+
+    return count
+
+
 def explode_trigrams(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """One row per trigram of the whole text, lower-cased; a null one for a text without any.
 

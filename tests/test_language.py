@@ -359,3 +359,28 @@ def test_the_caller_may_use_the_names_of_inner_columns(spark, profile):
     rows = spark.createDataFrame([(1, FRENCH), (2, ENGLISH)], "chars int, position string")
     found = language.score_languages(rows, profile, "position", ["chars"])
     assert {r["chars"]: r["detected"] for r in found.collect()} == {1: "fr", 2: "en"}
+
+
+def test_trigrams_are_counted_as_numbers(spark):
+    """Alike in few and in many counts, with many characters, and never across pieces."""
+    odd = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 300))
+    texts = [t for t in ODD_TEXTS if t] + ["a\0b\0\0c", odd, odd[::-1], "x" * 30_000]
+    rows = [(i % 2, text.encode()) for i, text in enumerate(texts)]
+    expected = Counter()
+    for i, text in enumerate(texts):
+        expected.update((i % 2, text[j : j + 3]) for j in range(len(text) - 2))
+    given_ = spark.createDataFrame(rows, "number int, piece binary")
+    for chars in (1, 500, 10_000_000):
+        found = Counter()
+        for r in given_.mapInArrow(language.trigram_counter(chars), "number int, trigram string, n bigint").collect():
+            found[r["number"], r["trigram"]] += r["n"]
+        assert found == expected
+
+
+def test_learning_shuffles_few_rows_and_groups_no_row_per_trigram(spark, small, monkeypatch):
+    stored = []
+    keep = language.write_and_reread
+    monkeypatch.setattr(language, "write_and_reread", lambda df, label: stored.append(df) or keep(df, label))
+    language.learn_profile(articles(spark, small))
+    plan = stored[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "trigram" not in plan[plan.index("Generate") :]
