@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,9 @@ PIECE_CHARS = 8_000
 HEAD_CELLS = 1_000_000
 COUNTED_CHARS = 2_000_000
 TAIL_SALTS = 16
+BROADCAST_ROWS = 200_000  # of a key and a language each
+WEIGHED_CELLS = 2_500_000  # weights that a task looks up at a time
+FINAL_SIGMA = 0x3A3  # the one letter whose lower case depends on what stands around it
 
 
 @dataclass(frozen=True)
@@ -50,6 +54,42 @@ class LanguageProfile:
         seen = hashes.agg(F.count("h").alias("all"), F.count_distinct("h").alias("different")).first()
         return seen["all"] == seen["different"]
 
+    @cached_property
+    def packed(self) -> dict:
+        """The head as arrays, for tasks that look trigrams up as numbers.
+
+        ``letters`` are the head's trigrams of three characters, ``weights`` the number 1 and their
+        weights; the last two rows are those of an unknown trigram and of none. ``upper`` and
+        ``lower`` are the letters that Spark lowers to one other letter wherever they stand, and
+        ``odd`` all others that it changes.
+        """
+        rows = self.head.select("trigram", *self.weight_columns).toArrow()
+        trigrams = rows.column("trigram").to_pylist()
+        plain = np.array([len(t) == 3 for t in trigrams], bool)
+        letters = np.array([[ord(c) for c in t] for t in trigrams if len(t) == 3], np.int64)
+        weights = [rows.column(w).to_numpy() for w in self.weight_columns]
+        table = np.stack([np.ones(len(trigrams), np.int64), *weights], axis=1)[plain]
+        ends = np.zeros((2, table.shape[1]), np.int64)
+        ends[0, 1:] = self.floors
+        spark = self.head.sparkSession
+        numbers = spark.range(0x110000).filter("id < 55296 OR id > 57343")
+        letter = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+        changed = (
+            numbers.select("id", letter.alias("letter"))
+            .select("id", "letter", F.lower("letter").alias("lowered"))
+            .filter("letter <> lowered")
+            .collect()
+        )
+        alone = [len(r["lowered"]) == 1 and r["id"] != FINAL_SIGMA for r in changed]
+        pairs = [(r["id"], ord(r["lowered"])) for r, one in zip(changed, alone) if one]
+        return {
+            "letters": letters.reshape(-1, 3),
+            "weights": np.concatenate([table, ends]),
+            "upper": np.array([a for a, _ in pairs], np.int64),
+            "lower": np.array([b for _, b in pairs], np.int64),
+            "odd": np.array([r["id"] for r, one in zip(changed, alone) if not one], np.int64),
+        }
+
     @property
     def weight_columns(self) -> tuple[str, ...]:
         return tuple(f"w{i}" for i in range(len(self.languages)))
@@ -242,32 +282,14 @@ def sum_weights(rows: DataFrame, profile: LanguageProfile, by: Sequence[str]) ->
     """
     columns = profile.weight_columns
     floors = dict(zip(columns, profile.floors))
-
-    def differences(table: DataFrame) -> DataFrame:
-        known = F.lit(1).cast("bigint").alias("known")
-        return table.select("trigram", known, *[(F.col(w) - floors[w]).alias(w) for w in columns])
-
     total = [F.sum(m).alias(m) for m in ("known", *columns)]
     met = meet_head(rows, profile)
     if profile.tail is None:
         sums = met.groupBy(*by).agg(F.count("trigram").alias("n"), *total)
     else:
-        rest = F.when(F.col("known").isNull(), F.col("trigram")).alias("rest")
-        counted = met.groupBy(*by, rest).agg(F.count("trigram").alias("n"), *total)
-        salt = F.pmod(F.xxhash64(*by), F.lit(TAIL_SALTS)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(TAIL_SALTS - 1))).alias("salt")
-        tail = differences(profile.tail).select(
-            F.col("trigram").alias("rest"), copies, *[F.col(m).alias(f"t_{m}") for m in ("known", *columns)]
-        )
-        looked_up = counted.withColumn("salt", salt).join(tail.hint("merge"), ["rest", "salt"], "left")
-        zero = F.lit(0).cast("bigint")
-        sums = looked_up.groupBy(*by).agg(
-            F.sum("n").alias("n"),
-            *[
-                F.sum(F.coalesce(m, zero) + F.coalesce(F.col("n") * F.col(f"t_{m}"), zero)).alias(m)
-                for m in ("known", *columns)
-            ],
-        )
+        rest = F.when(F.col("known").isNull(), F.col("trigram")).alias("trigram")
+        counted = met.groupBy(*by, rest).agg(F.count(met["trigram"]).alias("n"), *total)
+        sums = _with_tail(counted, profile, by)
     return sums.select(
         *by,
         "n",
@@ -276,6 +298,30 @@ def sum_weights(rows: DataFrame, profile: LanguageProfile, by: Sequence[str]) ->
     )
 
 
+def _with_tail(counted: DataFrame, profile: LanguageProfile, by: Sequence[str]) -> DataFrame:
+    """Sums per group of what its rows have, and of the weights of the tail for ``n`` times ``trigram``."""
+    columns = profile.weight_columns
+    measures = ("known", *columns)
+    floors = dict(zip(columns, profile.floors))
+    salt = F.pmod(F.xxhash64(*by), F.lit(TAIL_SALTS)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(TAIL_SALTS - 1))).alias("__salt")
+    tail = profile.tail.select(
+        "trigram",
+        copies,
+        F.lit(1).cast("bigint").alias("t_known"),
+        *[(F.col(w) - floors[w]).alias(f"t_{w}") for w in columns],
+    )
+    looked_up = counted.withColumn("__salt", salt).join(tail.hint("merge"), ["trigram", "__salt"], "left")
+    zero = F.lit(0).cast("bigint")
+    return looked_up.groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        *[
+            F.sum(F.coalesce(m, zero) + F.coalesce(F.col("n") * F.col(f"t_{m}"), zero)).alias(m)
+            for m in measures
+        ],
+    )
+
+
 def meet_head(rows: DataFrame, profile: LanguageProfile, trigram: str = "trigram") -> DataFrame:
     """The rows with ``known`` and how the weights of their trigram differ from the floors.
 
@@ -311,15 +357,158 @@ def best_language(profile: LanguageProfile, scores: Sequence[Column], known: Col
     return F.when(known > 0, choice).otherwise(F.lit(UNKNOWN))
 
 
+def trigram_finder(packed: dict) -> Callable:
+    """For tasks: a function that makes a function of texts, which finds all their trigrams.
+
+    That gives, for every character and two that part each text from the next, the row of ``weights``
+    of the trigram that begins there, and whether the trigram holds an odd letter and is not in the
+    head; then the lowered characters, and where each text begins and how long it is.
+    """
+
+    def make():  # pickled whole, so that executors need no copy of this package
+        import numpy as np
+
+        apart, letters = 0xD800, packed["letters"]
+        unknown = len(letters)
+        none = unknown + 1
+        lower = np.arange(0x110000, dtype=np.int32)
+        lower[packed["upper"]] = packed["lower"]
+        odd = np.zeros(0x110000, bool)
+        odd[packed["odd"]] = True
+        alphabet, often = np.unique(letters, return_counts=True)
+        # frequent letters first: what they make is found in few places of memory
+        alphabet = alphabet[np.argsort(-often, kind="stable")]
+        numbers = np.zeros(0x110000, np.int32)
+        numbers[alphabet] = np.arange(1, len(alphabet) + 1)
+        size = len(alphabet) + 1
+        keys = numbers[letters].astype(np.int64) @ np.array([size * size, size, 1])
+        dense = size**3 <= max(1 << 21, 8 * len(letters))
+        if dense:
+            places = np.full(size**3, unknown, np.int32)
+            places[keys] = np.arange(len(letters))
+        else:
+            order = np.argsort(keys)
+            keys = keys[order]
+
+        def find(texts):
+            text = "".join(t + 2 * chr(apart) for t in texts)
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            lengths = np.array([len(t) for t in texts], np.int64)
+            starts = np.cumsum(lengths + 2) - lengths - 2
+            lowered = lower[codes]
+            small = numbers[lowered].astype(np.int64)
+            wanted = (small[:-2] * size + small[1:-1]) * size + small[2:]
+            found = np.full(len(codes), none, np.int32)
+            if dense:
+                found[:-2] = places[wanted]
+            elif len(keys):
+                near = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                found[:-2] = np.where(keys[near] == wanted, order[near], unknown)
+            else:
+                found[:-2] = unknown
+            ends = np.append(starts[1:], len(codes))
+            for back in (1, 2, 3, 4):
+                at = ends - back
+                found[at[at >= starts]] = none
+            marked = np.append(odd[codes], [False, False])
+            strange = (marked[:-2] | marked[1:-1] | marked[2:]) & (found == unknown)
+            return found, strange, lowered, starts, lengths
+
+        return find
+
+    return make
+
+
+def text_slices(cells: int) -> Callable:
+    """For tasks: a function that gives the rows of a batch, and the texts in them, in small runs."""
+
+    def slices(batch, column):
+        texts, first, held = [], 0, 0
+        for row, value in enumerate(batch.column(column)):
+            texts.append((value.as_py() or b"").decode("utf-8", "replace"))
+            held += len(texts[-1]) + 2
+            if held >= cells:
+                yield batch.slice(first, row + 1 - first), texts
+                texts, first, held = [], row + 1, 0
+        if texts:
+            yield batch.slice(first), texts
+
+    return slices
+
+
+def _piece_weigher(profile: LanguageProfile, n_keys: int, names: list[str]) -> Callable:
+    """For ``mapInArrow``: keys and pieces of text to the sums of the weights of all trigrams.
+
+    A row for each piece, and rows for the trigrams that must still be looked for as strings: those
+    that are not in the head and may be in the tail, or hold an odd letter. In the sums they count
+    as unknown.
+    """
+    packed, has_tail = profile.packed, profile.tail is not None
+    finder = trigram_finder(packed)
+    slices = text_slices(max(1, WEIGHED_CELLS // packed["weights"].shape[1]))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        find, weights = finder(), packed["weights"]
+        unknown = len(weights) - 2
+        for batch in batches:
+            for part, texts in slices(batch, n_keys):
+                found, strange, lowered, starts, _ = find(texts)
+                sums = np.add.reduceat(weights[found], starts, axis=0)
+                at = np.flatnonzero(found == unknown if has_tail else strange)
+                owner = np.searchsorted(starts, at, side="right") - 1
+                rest = np.stack([owner, lowered[at], lowered[at + 1], lowered[at + 2]], axis=1)
+                rest, times = np.unique(rest, axis=0, return_counts=True)
+                rows = np.concatenate([np.arange(len(texts)), rest[:, 0]])
+                words = [chr(a) + chr(b) + chr(c) for a, b, c in rest[:, 1:].tolist()]
+                sums = np.concatenate([sums, np.zeros((len(rest), sums.shape[1]), np.int64)])
+                times = np.concatenate([np.zeros(len(texts), np.int64), times])
+                taken = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[taken.column(i) for i in range(n_keys)],
+                        pa.array([None] * len(texts) + words, pa.string()),
+                        pa.array(times),
+                        *[pa.array(np.ascontiguousarray(c)) for c in sums.T],
+                    ],
+                    names=names,
+                )
+
+    return run
+
+
 def score_languages(
     df: DataFrame, profile: LanguageProfile, text: str, keys: Sequence[str], out: str = "detected"
 ) -> DataFrame:
     """The keys and the language of each text; ``keys`` identify a row.
 
-    The trigrams of a text are summed inside its task, so one row per text is shuffled, and a row
-    for each of its trigrams that are in the profile's tail.
+    The trigrams of a piece of text are looked up as numbers and summed inside its task, so one row
+    per text is shuffled. Only trigrams that the head lacks and that may be in the tail, or whose
+    lower case depends on their surroundings, become rows that meet the tables as strings. Long
+    texts go through in pieces, so that a task never holds all trigrams of one text.
     """
-    sums = sum_weights(explode_trigrams(df, text, keys), profile, keys)
+    measures = ["known", *profile.weight_columns]
+    added = {m: f"__sum_{m}" for m in measures}
+    cut = df.select(*keys, F.explode_outer(pieces(F.col(text), PIECE_CHARS, 2)).alias("__piece"))
+    cut = cut.withColumn("__piece", F.col("__piece").cast("binary"))
+    bigint = T.LongType()
+    fields = [T.StructField(c, bigint) for c in ("__times", *added.values())]
+    schema = T.StructType([*cut.schema.fields[:-1], T.StructField("__rest", T.StringType()), *fields])
+    found = cut.mapInArrow(_piece_weigher(profile, len(keys), schema.names), schema)
+    rows = found.withColumn("__rest", F.lower("__rest"))
+    met = meet_head(rows, profile, "__rest")
+    zero = F.lit(0).cast("bigint")
+    total = {m: F.col(a) + F.coalesce(F.col("__times") * F.col(m), zero) for m, a in added.items()}
+    if profile.tail is None:
+        sums = met.groupBy(*keys).agg(*[F.sum(c).alias(m) for m, c in total.items()])
+    else:
+        rest = F.when(F.col("known").isNull(), F.col("__rest")).alias("trigram")
+        counted = met.groupBy(*keys, rest).agg(
+            F.sum("__times").alias("n"), *[F.sum(c).alias(m) for m, c in total.items()]
+        )
+        sums = _with_tail(counted, profile, keys)
     scores = [F.col(w) for w in profile.weight_columns]
     return sums.select(*keys, best_language(profile, scores, F.col("known")).alias(out))
 
@@ -358,9 +547,13 @@ def detect_language(
 ) -> DataFrame:
     """The table with the language of one of its columns; ``key`` must be unique.
 
-    The join carries only the columns that are used later on: a count per language moves no text.
+    The languages are stored by their keys first, so Spark knows how many there are, and a table in
+    buckets of the key stays where it is. The join carries only the columns that are used later on:
+    a count per language moves no text.
     """
-    return df.join(score_languages(df, profile, text, [key], out), key)
+    scored = write_and_reread(score_languages(df, profile, text, [key], out), "languages-by-key")
+    few = scored.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(scored) if few else scored, key)
 
 
 def flatten_languages(df: DataFrame, languages: str = "detected", out: str = "lang") -> DataFrame:
