@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexiscope.functions.text import characters, pieces, strip_space, trigram_at, trigrams
 from lexiscope.operators.language import (
+    WEIGHED_CELLS,
     LanguageProfile,
     best_language,
     meet_head,
     score_languages,
     sum_weights,
     text_rows,
+    text_slices,
+    trigram_finder,
 )
 from lexiscope.sources.shared import write_and_reread
 
@@ -41,12 +45,14 @@ def first_main_window(
 ) -> DataFrame:
     """The keys and ``cut``, the start of the first later window in the main language, or null.
 
-    Windows of ``window`` characters start at every ``step``-th character of the whole text. A
+    Windows of ``window`` characters start at every ``step``-th character of the whole text. Texts
+    are handled in overlapping pieces, however long a text is. For a profile that is all head, the
+    trigrams of a piece are looked up as numbers where it is, and running sums give its windows, so
+    nothing is sorted and one row without text goes on. Pieces with a letter whose lower case
+    depends on what stands around it, and all pieces for a profile with a tail, go on as texts: a
     window's score is a sum over its trigrams, so trigrams are summed once per block of ``step``
-    positions and a window adds up whole blocks and the head of the next one. Texts are handled in
-    overlapping pieces, which keeps every sort small however long a text is. The pieces are dealt
-    out as texts, which are smaller than their blocks; blocks and windows are then made where the
-    piece is, and one row per piece goes on.
+    positions and a window adds up whole blocks and the head of the next one. Pieces are dealt out
+    before that, as they are smaller than their blocks.
 
     Blocks take many times the room of their text. So the pieces are dealt to as many partitions as
     ``PARTITION_CHARS`` asks for: one task holds the blocks of so many characters, whatever the size
@@ -60,32 +66,102 @@ def first_main_window(
     partitions = max(least, math.ceil((chars or 0) / PARTITION_CHARS))
     cut_up = df.select(
         *keys, F.posexplode(pieces(F.col(text), piece_steps * step, window - 1)).alias("piece", "part")
-    ).repartition(partitions, *keys, "piece")
+    )
+    if profile.tail is None and main in profile.languages:
+        cut_up = cut_up.withColumn("part", F.col("part").cast("binary"))
+        schema = T.StructType(
+            [
+                *cut_up.schema.fields[:-1],
+                T.StructField("part", T.StringType()),
+                T.StructField("settled", T.LongType()),
+            ]
+        )
+        search = _piece_searcher(profile, schema.names, main, window, step)
+        cut_up = cut_up.mapInArrow(search, schema)
+    else:
+        cut_up = cut_up.withColumn("settled", F.lit(None).cast("bigint"))
+    cut_up = cut_up.repartition(partitions, *keys, "piece")
     in_rows = profile.tail is None and step * (len(profile.languages) + 1) <= BLOCK_SUMS
     windows = _windows_of_blocks if in_rows else _windows_of_units
-    found = windows(cut_up, profile, [*keys, "piece"], window, step)
+    found = windows(cut_up, profile, [*keys, "piece", "settled"], window, step)
     scores = [F.col(w) for w in profile.weight_columns]
     in_main = best_language(profile, scores, F.col("known")) == main
-    start = F.col("piece") * (piece_steps * step) + F.col("block") * step
-    cut = F.when((start > 0) & in_main, start)
+    place = F.coalesce("settled", F.when(in_main, F.col("block") * step))
+    start = F.col("piece") * (piece_steps * step) + place
+    cut = F.when(start > 0, start)
     by_piece = found.groupBy(*keys, "piece").agg(F.min(cut).alias("cut"))
     return by_piece.groupBy(*keys).agg(F.min("cut").cast("int").alias("cut"))
 
 
+def _piece_searcher(
+    profile: LanguageProfile, names: list[str], main: str, window: int, step: int
+) -> Callable:
+    """For ``mapInArrow``: keys, numbered pieces and their texts to the places of main windows.
+
+    ``settled`` is where the first window in ``main`` begins in its piece, the window at the
+    beginning of the whole text left out, or null. The text goes on only where a trigram must be
+    looked for as a string.
+    """
+    finder = trigram_finder(profile.packed)
+    weights, wanted = profile.packed["weights"], profile.languages.index(main)
+    slices = text_slices(max(1, WEIGHED_CELLS // weights.shape[1]))
+    n_keys = len(names) - 2
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        find = finder()
+        for batch in batches:
+            for part, texts in slices(batch, n_keys):
+                found, strange, _, starts, lengths = find(texts)
+                sums = np.zeros((len(found) + 1, weights.shape[1]), np.int64)
+                np.cumsum(weights[found], axis=0, out=sums[1:])
+                counts = np.maximum(0, (lengths - window) // step + 1)
+                owner = np.repeat(np.arange(len(texts)), counts)
+                first = np.cumsum(counts) - counts
+                inside = (np.arange(len(owner)) - first[owner]) * step
+                begins = starts[owner] + inside
+                scores = sums[begins + window - 2] - sums[begins]
+                # argmax gives the first of equal languages, as they are in order
+                hit = (scores[:, 0] > 0) & (scores[:, 1:].argmax(axis=1) == wanted)
+                pieces = part.column(n_keys - 1).to_numpy()
+                hit &= (inside > 0) | (pieces[owner] > 0)
+                hit = np.flatnonzero(hit)
+                hits, at = np.unique(owner[hit], return_index=True)
+                place = np.zeros(len(texts), np.int64)
+                place[hits] = inside[hit[at]]
+                missing = np.ones(len(texts), bool)
+                missing[hits] = False
+                owners = np.searchsorted(starts, np.flatnonzero(strange), side="right") - 1
+                open_ = np.zeros(len(texts), bool)
+                open_[owners] = True
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[part.column(i) for i in range(n_keys)],
+                        pa.array([t if o else None for t, o in zip(texts, open_.tolist())], pa.string()),
+                        pa.array(place, mask=missing | open_),
+                    ],
+                    names=names,
+                )
+
+    return run
+
+
 def _windows_of_blocks(
     cut_up: DataFrame, profile: LanguageProfile, keys: Sequence[str], window: int, step: int
 ) -> DataFrame:
     """``block``, ``known`` and the weights of every whole window, for a profile that is all head.
 
     A block is one row from the start: each of its trigrams meets the head on its own, so nothing is
-    grouped. Texts shorter than a window have no window.
+    grouped. Texts shorter than a window have no window. A null text has one row without a block.
     """
     blocks_per_window, head = divmod(window - 2, step)
     measures = ["known", *profile.weight_columns]
     last = F.floor((F.size("__chars") - 1) / step).cast("int")
     rows = (
         cut_up.select(*keys, characters(F.col("part")).alias("__chars"))
-        .select(*keys, "__chars", F.explode(F.sequence(F.lit(0), last)).alias("block"))
+        .select(*keys, "__chars", F.explode_outer(F.sequence(F.lit(0), last)).alias("block"))
         .select(
             *keys,
             "block",
@@ -118,7 +194,7 @@ def _windows_of_blocks(
         "block",
         "whole",
         *[(c + floors.get(m, 0) * (window - 2)).alias(m) for m, c in added.items()],
-    ).filter("whole")
+    ).filter("whole OR block IS NULL")
 
 
 def _windows_of_units(
@@ -129,7 +205,7 @@ def _windows_of_units(
     # A block has two parts, the head that a window may end with and the rest, numbered in turn.
     block = F.floor(F.col("position") / step) * 2
     rest = (F.col("position") % step >= head).cast("int") if head else F.lit(0)
-    rows = cut_up.select(*keys, F.posexplode(trigrams(F.col("part"))).alias("position", "trigram")).select(
+    rows = cut_up.select(*keys, F.posexplode_outer(trigrams(F.col("part"))).alias("position", "trigram")).select(
         *keys, (block + rest).alias("unit"), F.lower("trigram").alias("trigram")
     )
     units = sum_weights(rows, profile, [*keys, "unit"])
@@ -138,7 +214,7 @@ def _windows_of_units(
     measures = ["n", "known", *profile.weight_columns]
     return (
         units.select(*keys, "unit", *[F.sum(m).over(in_window).alias(m) for m in measures])
-        .filter((F.col("unit") % 2 == 0) & (F.col("n") == window - 2))
+        .filter((F.col("unit") % 2 == 0) & (F.col("n") == window - 2) | F.col("unit").isNull())
         .withColumn("block", (F.col("unit") / 2).cast("bigint"))
     )
 
