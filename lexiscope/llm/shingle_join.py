@@ -43,7 +43,8 @@ from lexiscope.sources.shared import write_and_reread
 SIZE = 5
 SIMILARITY = 75  # percent
 RANGE_BYTES = 64 << 20  # of text, for each range of hash values counted together
-PACK_SHINGLES = 2_000_000
+PACK_SHINGLES = 250_000  # held by a task until they are dealt to their ranges
+TEXT_BYTES = 1 << 20  # of text whose shingles a task makes at a time
 BROADCAST_ROWS = 500_000  # of 8 bytes each
 PIVOT_ROUNDS = 2
 PARITY_WORDS = 16
@@ -116,7 +117,7 @@ def _pack(docs: DataFrame, buckets: int, similarity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners, prefixes, held = [], [], 0
         for batch in batches:
-            for some in small_slices(batch, "text"):
+            for some in small_slices(batch, "text", TEXT_BYTES):
                 sizes, ids = [], []
                 for key, values in zip(
                     some.column("key").to_pylist(), shingle_sets(some.column("text"))
@@ -182,7 +183,7 @@ def _parity(values: np.ndarray) -> np.ndarray:
 def _whole_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in small_slices(batch, "text"):
+            for some in small_slices(batch, "text", TEXT_BYTES):
                 sets = list(shingle_sets(some.column("text")))
                 yield pa.RecordBatch.from_arrays(
                     [
