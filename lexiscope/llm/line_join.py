@@ -77,8 +77,11 @@ def frequency_levels(docs: DataFrame, text: str = "text", counters: int = COUNTE
     return "".join(levels for _, levels in rows).encode()
 
 
-def line_sets(rows: DataFrame, levels: bytes) -> DataFrame:
-    """Every line with words: where it is, and its set as codes with the rarest word first."""
+def line_sets(rows: DataFrame, levels: bytes, marked: DataFrame | None = None) -> DataFrame:
+    """Every line with words: where it is, and its set as codes with the rarest word first.
+
+    Of the lines in ``marked`` only, where given; no codes are made for others.
+    """
     table, last = F.lit(levels), F.lit(len(levels) - 1)
 
     def code(hashed: Column) -> Column:
@@ -91,6 +94,8 @@ def line_sets(rows: DataFrame, levels: bytes) -> DataFrame:
     lines = rows.select(
         "doc", "version", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "words")
     ).filter(F.trim("words") != "")
+    if marked is not None:
+        lines = lines.join(marked, [*PLACE], "left_semi")
     hashes = F.array_distinct(F.transform(F.split("words", " "), lambda word: F.xxhash64(word)))
     no_word = F.xxhash64(F.lit(""))
     coded = F.transform(F.array_remove(hashes, no_word), code)
@@ -142,7 +147,9 @@ def _matches(similarity: int) -> Column:
 
 def _postings(lines: DataFrame, *more: str) -> DataFrame:
     """A row for each word of a prefix, but for words that occur only once: none can share them."""
-    rows = lines.select(*PLACE, "n", "bits", *more, F.posexplode("prefix").alias("pos", "code"))
+    # in the order of the table, so that both sides of a join with itself are one shuffle
+    wanted = [c for c in lines.columns if c in (*PLACE, "n", "bits", *more)]
+    rows = lines.select(*wanted, F.posexplode("prefix").alias("pos", "code"))
     return rows.filter(F.shiftrightunsigned("code", CODE_BITS) > ONCE)
 
 
@@ -175,7 +182,8 @@ def kept_lines(
     # a set can match another one only if it could lose a word and still match what it was
     joined = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * similarity)
     likely = write_and_reread(_meeting(joined, similarity), "likely-lines")
-    matched = _verified(rows, likely, levels, similarity)
+    # stored, or what the last join infers for one side would part the shuffles of this one
+    matched = write_and_reread(_verified(rows, likely, levels, similarity), "matched-lines")
     return classes.select(*PLACE).join(matched, [*PLACE], "left_anti")
 
 
@@ -191,7 +199,8 @@ def _verified(rows: DataFrame, likely: DataFrame, levels: bytes, similarity: int
     marked = F.broadcast(likely) if small else likely
     owners = likely.select("doc", "version").distinct()
     texts = rows.join(F.broadcast(owners) if small else owners, ["doc", "version"], "left_semi")
-    lines = line_sets(texts.distinct(), levels).join(marked, [*PLACE], "left_semi")
+    # rows of one id and text give the same lines twice, which do not order each other
+    lines = line_sets(texts, levels, marked)
     size = F.size("codes")
     full = lines.select(
         *PLACE,

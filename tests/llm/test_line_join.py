@@ -108,3 +108,30 @@ def test_two_changed_words_in_a_line_of_25_are_found_by_default(spark):
     found = {r.doc_id: r.text for r in line_join.remove_repeated_lines(frame).collect()}
     # 23 of 27 and 3 of 4 words are shared, but 20 of 30 and 3 of 6 are too few
     assert found == dict(rows) | {2: "", 4: ""}
+
+
+def test_both_sides_of_a_join_of_lines_are_one_shuffle(spark, monkeypatch):
+    """And codes are made after the lines that may match have been picked, without moving texts."""
+    stored, keep = {}, line_join.write_and_reread
+
+    def spy(df, label):
+        stored[label] = df
+        return keep(df, label)
+
+    monkeypatch.setattr(line_join, "write_and_reread", spy)
+    words = [[f"own{i}" if j == i % 10 else f"w{i // 10}x{j}" for j in range(20)] for i in range(300)]
+    rows = [(i, " ".join(line)) for i, line in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        line_join.kept_lines(docs)
+        for table in (stored["likely-lines"], stored["matched-lines"]):
+            assert table.count() > 0 and table.collect()
+            plan = table._jdf.queryExecution().executedPlan().toString()
+            assert "ReusedExchange" in plan[: plan.index("Initial Plan")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    plan = stored["likely-sets"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("xxhash64(lambda") < plan.index("LeftSemi")
+    assert not any("Aggregate(" in line and "text#" in line for line in plan.splitlines())
