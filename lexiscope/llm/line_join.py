@@ -19,11 +19,11 @@ id comes first; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscope.llm.arrow import free_names
-from lexiscope.sources.shared import write_and_reread
+from lexiscope.sources.shared import finished_shuffles_removed, write_and_reread
 
 SIMILARITY = 75  # percent
 COUNTERS = 1 << 20  # of the table of word counts, a byte each in the plan
@@ -80,40 +80,45 @@ def frequency_levels(docs: DataFrame, text: str = "text", counters: int = COUNTE
 def line_sets(rows: DataFrame, levels: bytes, marked: DataFrame | None = None) -> DataFrame:
     """Every line with words: where it is, and its set as codes with the rarest word first.
 
-    Of the lines in ``marked`` only, where given; no codes are made for others.
+    Of the lines in ``marked`` only, where given, with its columns; no codes are made for others.
     """
-    table, last = F.lit(levels), F.lit(len(levels) - 1)
+    # eight levels a number: folded into one array, where a level is found without a string a word
+    cells = [int.from_bytes(levels[i : i + 8]) for i in range(0, len(levels), 8)]
+    table = F.split(F.lit(",".join(map(str, cells))), ",").cast("array<bigint>")
 
     def code(hashed: Column) -> Column:
-        place = (hashed.bitwiseAND(last) + 1).cast("int")  # a binary begins at 1
-        level = F.ascii(F.substring(table, place, F.lit(1)).cast("string")).cast("bigint")
-        return F.shiftleft(level, CODE_BITS).bitwiseOR(
-            F.shiftrightunsigned(hashed, 64 - CODE_BITS)
-        )
+        cell = F.get(table, F.shiftright(hashed.bitwiseAND(len(levels) - 1), 3).cast("int"))
+        place = F.shiftleft(hashed.bitwiseAND(7).cast("int"), 3)
+        level = F.call_function("shiftleft", cell, place).bitwiseAND(127 << CODE_BITS)
+        return level.bitwiseOR(F.shiftrightunsigned(hashed, 64 - CODE_BITS))
 
     lines = rows.select(
         "doc", "version", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "words")
     ).filter(F.trim("words") != "")
     if marked is not None:
-        lines = lines.join(marked, [*PLACE], "left_semi")
+        lines = lines.join(marked, [*PLACE])
     hashes = F.array_distinct(F.transform(F.split("words", " "), lambda word: F.xxhash64(word)))
     no_word = F.xxhash64(F.lit(""))
     coded = F.transform(F.array_remove(hashes, no_word), code)
-    return lines.select("doc", "version", "line", F.sort_array(coded).alias("codes"))
+    given = [c for c in lines.columns if c != "words"]
+    return lines.select(*given, F.sort_array(coded).alias("codes"))
 
 
 PLACE = ("doc", "version", "line")
+SKETCH = ("bits", "odd_bits")
 
 
-def _parity(codes: Column) -> Column:
+def _parity(codes: Column, odd: bool = False) -> Column:
     """64 bits of a set: whether an odd number of its words hash to each.
 
-    Sets with different bits in ``k`` places differ in at least ``k`` words.
+    Sets with different bits in ``k`` places differ in at least ``k`` words. ``odd``: of the half of
+    the words with a certain bit; with the bits of the other half, which the two tell, they are 128.
     """
 
     def turned(bits: Column, code: Column) -> Column:
         place = code.bitwiseAND(F.lit(63)).cast("int")
-        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), place))
+        one = F.shiftright(code, 6).bitwiseAND(F.lit(1)) if odd else F.lit(1)
+        return bits.bitwiseXOR(F.call_function("shiftleft", one.cast("bigint"), place))
 
     return F.aggregate(codes, F.lit(0).cast("bigint"), turned)
 
@@ -122,8 +127,16 @@ def _prefix_size(n: Column, similarity: int) -> Column:
     return n - F.ceil(n * similarity / 100) + 1
 
 
-def _place(side: str) -> Column:
-    return F.struct(*[f"{side}.{c}" for c in PLACE])
+def _described(lines: DataFrame, similarity: int, *more: str) -> DataFrame:
+    """Size, sketch and prefix of each line, and its columns ``more``."""
+    size = F.size("codes")
+    return lines.select(
+        *more,
+        size.alias("n"),
+        _parity(F.col("codes")).alias("bits"),
+        _parity(F.col("codes"), odd=True).alias("odd_bits"),
+        F.slice("codes", F.lit(1), _prefix_size(size, similarity).cast("int")).alias("prefix"),
+    )
 
 
 def _may_match(similarity: int) -> Column:
@@ -131,87 +144,100 @@ def _may_match(similarity: int) -> Column:
     n, m = F.col("a.n"), F.col("b.n")
     both = n + m
     shared = 1 + F.least(n - F.col("a.pos") - 1, m - F.col("b.pos") - 1)
-    unlike = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
+    turned, odd = (F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in SKETCH)
+    unlike = F.bit_count(odd) + F.bit_count(turned.bitwiseXOR(odd))
     return (
-        (F.greatest(n, m) * similarity <= F.least(n, m) * 100)
-        & (shared * (100 + similarity) >= both * similarity)
         # the words in one set alone are at most both less twice the words they must share
-        & (unlike * (100 + similarity) <= both * (100 - similarity))
+        (unlike * (100 + similarity) <= both * (100 - similarity))
+        & (F.greatest(n, m) * similarity <= F.least(n, m) * 100)
+        & (shared * (100 + similarity) >= both * similarity)
     )
 
 
-def _matches(similarity: int) -> Column:
-    same = F.size(F.array_intersect("a.codes", "b.codes"))
-    return same * (100 + similarity) >= (F.col("a.n") + F.col("b.n")) * similarity
-
-
-def _postings(lines: DataFrame, *more: str) -> DataFrame:
+def _postings(lines: DataFrame, key: str) -> DataFrame:
     """A row for each word of a prefix, but for words that occur only once: none can share them."""
     # in the order of the table, so that both sides of a join with itself are one shuffle
-    wanted = [c for c in lines.columns if c in (*PLACE, "n", "bits", *more)]
+    wanted = [c for c in lines.columns if c in (key, "n", *SKETCH)]
     rows = lines.select(*wanted, F.posexplode("prefix").alias("pos", "code"))
     return rows.filter(F.shiftrightunsigned("code", CODE_BITS) > ONCE)
 
 
-def _meet(postings: DataFrame, order: Column, condition: Column) -> DataFrame:
-    """Places of the lines ``a`` for which there is a line ``b``, in this order, with a condition."""
-    met = postings.alias("a").join(
-        postings.alias("b"), (F.col("a.code") == F.col("b.code")) & order & condition, "left_semi"
-    )
-    return met.select(*PLACE).distinct()
-
-
 def kept_lines(
     docs: DataFrame, similarity: int = SIMILARITY, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Places (``doc``, ``version``, ``line``) of the lines with words that match no earlier one."""
     rows = _rows(docs, key, text)
-    levels = frequency_levels(rows)
-    size = F.size("codes")
-    described = line_sets(rows, levels).select(
-        *PLACE,
-        size.alias("n"),
-        F.xxhash64("codes").alias("set0"),
-        F.hash("codes").alias("set1"),
-        _parity(F.col("codes")).alias("bits"),
-        F.slice("codes", F.lit(1), _prefix_size(size, similarity).cast("int")).alias("prefix"),
-    )
-    first = F.min(F.struct(*PLACE, "bits", "prefix")).alias("first")
-    grouped = described.groupBy("set0", "set1", "n").agg(first)
-    classes = write_and_reread(grouped.select("first.*", "n"), "line-classes")
-    # a set can match another one only if it could lose a word and still match what it was
-    joined = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * similarity)
-    likely = write_and_reread(_meeting(joined, similarity), "likely-lines")
-    # stored, or what the last join infers for one side would part the shuffles of this one
-    matched = write_and_reread(_verified(rows, likely, levels, similarity), "matched-lines")
+    with finished_shuffles_removed(docs.sparkSession):
+        levels = frequency_levels(rows)
+        own = (F.xxhash64("codes").alias("set0"), F.hash("codes").alias("set1"))
+        described = _described(
+            line_sets(rows, levels).select(*PLACE, "codes", *own), similarity, *PLACE, "set0", "set1"
+        )
+        first = F.min(F.struct(*PLACE, *SKETCH, "prefix")).alias("first")
+        grouped = described.groupBy("set0", "set1", "n").agg(first)
+        numbered = grouped.select("first.*", "n", F.monotonically_increasing_id().alias("id"))
+        classes = write_and_reread(numbered, "line-classes")
+        # a set can match another one only if it could lose a word and still match what it was
+        joined = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * similarity)
+        likely = write_and_reread(_meeting(joined, similarity), "likely-lines")
+        sets = write_and_reread(_likely_sets(rows, likely, levels, similarity), "likely-sets")
+        spots = _postings(sets, "at")
+        found = write_and_reread(_verified(_pivots(spots, similarity), sets, similarity), "matched-lines")
+        others = _verified(_pairs(spots, found, similarity), sets, similarity)
+        later = write_and_reread(others, "matched-later")
+    matched = likely.join(found.unionAll(later), ["at"], "left_semi").select(*PLACE)
     return classes.select(*PLACE).join(matched, [*PLACE], "left_anti")
 
 
 def _meeting(classes: DataFrame, similarity: int) -> DataFrame:
-    """Lines that may match another one, by the filters of the prefix join."""
+    """Lines that may match another one, by the filters of the prefix join, numbered by place."""
+    spots = _postings(classes, "id")
     # the filters are the same for both lines of a pair; which is first counts when verifying
-    return _meet(_postings(classes), _place("a") != _place("b"), _may_match(similarity))
+    condition = (F.col("a.code") == F.col("b.code")) & (F.col("a.id") != F.col("b.id"))
+    met = spots.alias("a").join(spots.alias("b"), condition & _may_match(similarity), "left_semi")
+    places = classes.select("id", *PLACE).join(met.select("id").distinct(), ["id"], "left_semi")
+    return places.orderBy(*PLACE).select(*PLACE, F.monotonically_increasing_id().alias("at"))
 
 
-def _verified(rows: DataFrame, likely: DataFrame, levels: bytes, similarity: int) -> DataFrame:
-    """Those of the likely lines that match an earlier one, by the words themselves."""
+def _likely_sets(rows: DataFrame, likely: DataFrame, levels: bytes, similarity: int) -> DataFrame:
+    """The words themselves of the likely lines."""
     small = likely.count() <= BROADCAST_ROWS
     marked = F.broadcast(likely) if small else likely
     owners = likely.select("doc", "version").distinct()
     texts = rows.join(F.broadcast(owners) if small else owners, ["doc", "version"], "left_semi")
-    # rows of one id and text give the same lines twice, which do not order each other
-    lines = line_sets(texts, levels, marked)
-    size = F.size("codes")
-    full = lines.select(
-        *PLACE,
-        size.alias("n"),
-        _parity(F.col("codes")).alias("bits"),
-        F.slice("codes", F.lit(1), _prefix_size(size, similarity).cast("int")).alias("prefix"),
-        "codes",
-    )
-    postings = _postings(write_and_reread(full, "likely-sets"), "codes")
-    earlier = _place("b") < _place("a")
-    return _meet(postings, earlier, _may_match(similarity) & _matches(similarity))
+    # rows of one id and text give the same lines twice, which have one number
+    return _described(line_sets(texts, levels, marked), similarity, "at", "codes")
+
+
+def _pivots(spots: DataFrame, similarity: int) -> DataFrame:
+    """Each line ``a`` with the first line ``b`` that has the same word, where they may match.
+
+    One pair a word, so that a group of many near copies is settled without all of its pairs.
+    """
+    by_word = Window.partitionBy("code").orderBy("at")
+    own = F.struct(*spots.columns)
+    pairs = spots.select(own.alias("a"), F.first(own).over(by_word).alias("b"))
+    later = F.col("b.at") < F.col("a.at")
+    return pairs.filter(later & _may_match(similarity)).select(F.col("a.at").alias("a"), F.col("b.at").alias("b")).distinct()
+
+
+def _pairs(spots: DataFrame, found: DataFrame, similarity: int) -> DataFrame:
+    """Lines ``a`` that are not found yet, with every earlier line ``b`` that they may match."""
+    rest = spots.join(found, ["at"], "left_anti")
+    condition = (F.col("a.code") == F.col("b.code")) & (F.col("b.at") < F.col("a.at"))
+    met = rest.alias("a").join(spots.alias("b"), condition & _may_match(similarity))
+    return met.select(F.col("a.at").alias("a"), F.col("b.at").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Numbers of the lines ``a`` that match a line ``b`` of their pairs, by the words themselves."""
+    words = sets.select("at", "codes")
+    both = F.size("x.codes") + F.size("y.codes")
+    same = F.size(F.array_intersect("x.codes", "y.codes"))
+    first = pairs.join(words.alias("x"), F.col("a") == F.col("x.at"))
+    matches = same * (100 + similarity) >= both * similarity
+    met = first.join(words.alias("y"), (F.col("b") == F.col("y.at")) & matches, "left_semi")
+    return met.select(F.col("a").alias("at")).distinct()
 
 
 def count_columns(docs: DataFrame) -> list[str]:

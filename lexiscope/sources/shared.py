@@ -32,6 +32,26 @@ def write_and_reread(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def finished_shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Let Spark remove the shuffle files of each query that ends inside, not at its next collection.
+
+    For tables that are stored and read again: one that runs a second time is shuffled anew.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 _OPEN: list[list[str]] = []
 
 

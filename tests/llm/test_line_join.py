@@ -135,3 +135,45 @@ def test_both_sides_of_a_join_of_lines_are_one_shuffle(spark, monkeypatch):
     plan = stored["likely-sets"]._jdf.queryExecution().executedPlan().toString()
     assert plan.index("xxhash64(lambda") < plan.index("LeftSemi")
     assert not any("Aggregate(" in line and "text#" in line for line in plan.splitlines())
+
+
+def shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = manager.getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def test_words_of_a_line_go_with_pairs_and_not_with_each_posting(spark, monkeypatch):
+    """And the shuffles of the tables that are stored do not stay on the disk."""
+    stored, left, keep = {}, {}, line_join.write_and_reread
+
+    def spy(df, label):
+        before = shuffle_files(spark)
+        table = keep(df, label)
+        left[label] = shuffle_files(spark) - before
+        stored[label] = df
+        return table
+
+    monkeypatch.setattr(line_join, "write_and_reread", spy)
+    words = [[f"own{i}" if j == i % 10 else f"w{i // 10}x{j}" for j in range(20)] for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(words)], "doc_id bigint, text string")
+    line_join.kept_lines(docs)
+    assert "matched-lines" in stored and not any(left.values())
+    for table in stored.values():
+        plan = table._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        # a row for each word of a prefix: made from a table that has no codes of whole lines
+        spots = [at for at, line in enumerate(plan) if "Generate posexplode(prefix" in line]
+        assert not any("codes#" in plan[at] or "codes#" in plan[at + 1] for at in spots)
+
+
+def test_a_match_that_is_not_the_first_line_with_any_of_its_rare_words(spark):
+    common = [f"c{i}" for i in range(6)] + [f"u{i}" for i in range(7)]
+    rows = [(i, f"{common[i % 13]} {common[(i + 1) % 13]} z{i}") for i in range(300)]
+    rows += [(500 + i, f"r{i} " + " ".join(common[6:])) for i in range(4)]
+    line = "r0 r1 r2 r3 c0 c1 c2 c3 c4"
+    rows += [(600, line), (601, f"{line} c5")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.text for r in line_join.remove_repeated_lines(frame).collect()}
+    expected = brute(rows, line_join.SIMILARITY)
+    assert found == expected and found[600] == line and found[601] == ""
