@@ -9,8 +9,9 @@ Lines with the same set are one class, which its first line stands for, so copie
 aggregate and never a join. The words of a class are ordered by rarity, which a table of counts
 over all documents gives, and only a prefix of the rarest is joined on: sets that match share a
 word of their prefixes. Length, the position of the shared word, and parity bits of the sets
-discard most meetings inside the join; what is left is verified word by word, inside a semi join
-that ends at the first match. So a line is emitted once, however many others it matches.
+discard most meetings inside a semi join that ends at the first one left. Lines that may match are
+numbered by place and verified word by word in pairs: each with the first line of each of its rare
+words, and what that does not settle with every earlier line that it may match.
 
 All is built-in expressions. Defined results: a null text has no lines and stays null; rows of one
 id and text are the same lines; rows of one id and different texts do not order each other; a null

@@ -157,8 +157,8 @@ def test_words_of_a_line_go_with_pairs_and_not_with_each_posting(spark, monkeypa
 
     monkeypatch.setattr(line_join, "write_and_reread", spy)
     words = [[f"own{i}" if j == i % 10 else f"w{i // 10}x{j}" for j in range(20)] for i in range(100)]
-    docs = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(words)], "doc_id bigint, text string")
-    line_join.kept_lines(docs)
+    rows = [(i, " ".join(line)) for i, line in enumerate(words)]
+    line_join.kept_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert "matched-lines" in stored and not any(left.values())
     for table in stored.values():
         plan = table._jdf.queryExecution().optimizedPlan().toString().splitlines()
