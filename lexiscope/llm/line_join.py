@@ -27,7 +27,7 @@ from lexiscope.llm.arrow import free_names
 from lexiscope.sources.shared import finished_shuffles_removed, write_and_reread
 
 SIMILARITY = 75  # percent
-COUNTERS = 1 << 20  # of the table of word counts, a byte each in the plan
+COUNTERS = 1 << 17  # of the table of word counts, a byte each in the plan and its descriptions
 CODE_BITS = 56
 LOWEST = 33  # first printable character; levels of frequency are printable characters
 ONCE = LOWEST + 3  # level of a counter that has counted one word
@@ -47,6 +47,10 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def _counter(hashed: Column, counters: int) -> Column:
+    return F.shiftright(hashed, 3).bitwiseAND(F.lit(counters - 1))
+
+
 def frequency_levels(docs: DataFrame, text: str = "text", counters: int = COUNTERS) -> bytes:
     """How frequent words are, over all documents: a level for each hash value of a word.
 
@@ -59,7 +63,7 @@ def frequency_levels(docs: DataFrame, text: str = "text", counters: int = COUNTE
         F.explode(F.split(F.replace(_plain(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("word")
     )
     counted = (
-        words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(counters - 1)).alias("counter"))
+        words.groupBy(_counter(F.xxhash64("word"), counters).alias("counter"))
         .count()
         .unionAll(spark.range(counters).select("id", F.lit(0).cast("bigint")))
         .groupBy("counter")
@@ -88,8 +92,11 @@ def line_sets(rows: DataFrame, levels: bytes, marked: DataFrame | None = None) -
     table = F.split(F.lit(",".join(map(str, cells))), ",").cast("array<bigint>")
 
     def code(hashed: Column) -> Column:
-        cell = F.get(table, F.shiftright(hashed.bitwiseAND(len(levels) - 1), 3).cast("int"))
-        place = F.shiftleft(hashed.bitwiseAND(7).cast("int"), 3)
+        # a cell is always there; arrays that can't hold nulls are sorted as plain numbers
+        at = F.shiftright(_counter(hashed, len(levels)), 3).cast("int")
+        cell = F.coalesce(F.get(table, at), F.lit(0).cast("bigint"))
+        # eight times the place in the cell, which are the last three bits of the counter
+        place = hashed.bitwiseAND(F.lit(56)).cast("int")
         level = F.call_function("shiftleft", cell, place).bitwiseAND(127 << CODE_BITS)
         return level.bitwiseOR(F.shiftrightunsigned(hashed, 64 - CODE_BITS))
 
@@ -268,7 +275,8 @@ def remove_repeated_lines(
         F.xxhash64(text).alias(version),
     )
     whole = marked.join(kept, [doc, version], "left")
-    numbers = F.transform(every, lambda x, i: F.when(F.trim(_plain(x)) == "", i))
+    # only the blanks in front are looked at: a line of words is not gone through again
+    numbers = F.transform(every, lambda x, i: F.when(F.ltrim(x, F.lit(" \t\r")) == "", i))
     blank = F.array_compact(numbers)
     some = F.coalesce(stays, F.array().cast("array<int>"))
     placed = whole.withColumn(left, F.array_sort(F.array_union(some, blank)))

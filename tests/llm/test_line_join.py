@@ -177,3 +177,28 @@ def test_a_match_that_is_not_the_first_line_with_any_of_its_rare_words(spark):
     found = {r.doc_id: r.text for r in line_join.remove_repeated_lines(frame).collect()}
     expected = brute(rows, line_join.SIMILARITY)
     assert found == expected and found[600] == line and found[601] == ""
+
+
+def test_the_table_of_levels_stays_small_in_plans_and_codes_sort_as_numbers(spark, monkeypatch):
+    """Each change of a plan is told to the driver's listeners with its whole description."""
+    stored, keep = {}, line_join.write_and_reread
+
+    def spy(df, label):
+        stored[label] = df
+        return keep(df, label)
+
+    monkeypatch.setattr(line_join, "write_and_reread", spy)
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d f")], "doc_id bigint, text string")
+    line_join.kept_lines(docs)
+    for table in stored.values():
+        assert len(table._jdf.queryExecution().toString()) < 2_000_000
+    rows = line_join._rows(docs, "doc_id", "text")
+    sets = line_join.line_sets(rows, line_join.frequency_levels(rows))
+    assert not sets.schema["codes"].dataType.containsNull
+
+
+def test_lines_of_blanks_stay_where_they_are(spark):
+    text = "a b c\n \t\r\n\n\r\na b c\n \n \t."
+    frame = spark.createDataFrame([(1, text), (2, "a b c\n\t")], "doc_id bigint, text string")
+    found = {r.doc_id: r.text for r in line_join.remove_repeated_lines(frame).collect()}
+    assert found == brute([(1, text), (2, "a b c\n\t")], line_join.SIMILARITY)
