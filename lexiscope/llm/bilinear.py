@@ -286,24 +286,31 @@ class LogBilinear:
         order = rng.permutation(len(examples))
         for low in range(0, len(order), BATCH):
             some = order[low : low + BATCH]
-            word, first, second = examples[some].T
+            word, first, second = np.ascontiguousarray(examples[some].T)
             weight = (weights[some] / weights[some].sum()).astype(np.float32)
             drawn = rng.choice(len(noise), NOISE, p=noise)
-            r1, r2 = a["before"][first], a["before"][second]
-            query = r1 @ a["one"] + r2 @ a["two"]
-            real = (query * a["after"][word]).sum(axis=1) + a["bias"][word] - expected[word]
-            false = query @ a["after"][drawn].T + a["bias"][drawn] - expected[drawn]
+            # what depends on a context symbol alone is multiplied once a symbol, not once an example
+            query = np.take(a["before"] @ a["one"], first, axis=0)
+            query += np.take(a["before"] @ a["two"], second, axis=0)
+            after, others = np.take(a["after"], word, axis=0), a["after"][drawn]
+            real = np.einsum("ij,ij->i", query, after) + a["bias"][word] - expected[word]
+            false = query @ others.T
+            false += a["bias"][drawn] - expected[drawn]
             to_real = weight * (_sigmoid(real) - 1)
-            to_false = weight[:, None] * _sigmoid(false)
-            to_query = to_real[:, None] * a["after"][word] + to_false @ a["after"][drawn]
+            to_false = _sigmoid(false)
+            to_false *= weight[:, None]
+            to_query = to_false @ others
+            after *= to_real[:, None]
+            to_query += after
             size = len(a["before"])
+            to_nearest, to_further = (_sum_rows(x, to_query, size) for x in (first, second))
+            to_drawn = to_false.T @ query
+            query *= to_real[:, None]
             found = {
-                "one": r1.T @ to_query,
-                "two": r2.T @ to_query,
-                "before": _sum_rows(first, to_query @ a["one"].T, size)
-                + _sum_rows(second, to_query @ a["two"].T, size),
-                "after": _sum_rows(word, to_real[:, None] * query, size - 1)
-                + _sum_rows(drawn, to_false.T @ query, size - 1),
+                "one": a["before"].T @ to_nearest,
+                "two": a["before"].T @ to_further,
+                "before": to_nearest @ a["one"].T + to_further @ a["two"].T,
+                "after": _sum_rows(word, query, size - 1) + _sum_rows(drawn, to_drawn, size - 1),
                 "bias": np.bincount(word, to_real, size - 1)
                 + np.bincount(drawn, to_false.sum(axis=0), size - 1),
             }
@@ -313,14 +320,21 @@ class LogBilinear:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place of the given values."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _sum_rows(places: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros((size, rows.shape[1]), np.float32)
-    order = np.argsort(places, kind="stable")
-    starts = np.flatnonzero(np.append(True, np.diff(places[order]) != 0))
-    out[places[order][starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    # numbers of 16 bits are ordered by counting
+    order = np.argsort(places.astype(np.uint16) if size <= 1 << 16 else places, kind="stable")
+    sorted_places = places[order]
+    starts = np.flatnonzero(np.append(True, np.diff(sorted_places) != 0))
+    out[sorted_places[starts]] = np.add.reduceat(np.take(rows, order, axis=0), starts, axis=0)
     return out
 
 

@@ -114,6 +114,44 @@ def test_training_learns_what_follows_what():
     assert after[1].argmax() == 2 and after[1, 2] > 0.8
 
 
+def test_a_training_step_multiplies_by_context_once_a_symbol(monkeypatch):
+    """And gives what the formulas for single examples give."""
+    rng = np.random.default_rng(3)
+    totals = np.array([9, 5, 4, 6, 3, 2.0])
+    noise = totals / totals.sum()
+    examples = rng.integers(0, 6, (500, 3))
+    examples[:20, 1:] = 6
+    weights = rng.integers(1, 9, 500)
+    model = bilinear.LogBilinear.start(totals)
+    a = {n: v.astype(np.float64) for n, v in model.arrays.items()}
+    again = np.random.default_rng(5)
+    word, first, second = examples[again.permutation(500)].T
+    weight = weights[np.random.default_rng(5).permutation(500)] / weights.sum()
+    drawn = again.choice(6, bilinear.NOISE, p=noise)
+    gradient = {n: np.zeros(v.shape) for n, v in a.items()}
+    for w, f, s, share in zip(word, first, second, weight):
+        query = a["before"][f] @ a["one"] + a["before"][s] @ a["two"]
+        for symbol, real in [(w, 1), *[(d, 0) for d in drawn]]:
+            score = query @ a["after"][symbol] + a["bias"][symbol] - np.log(bilinear.NOISE * noise[symbol])
+            to_score = share * (1 / (1 + np.exp(-score)) - real)
+            to_query = to_score * a["after"][symbol]
+            gradient["after"][symbol] += to_score * query
+            gradient["bias"][symbol] += to_score
+            for name, place in (("one", f), ("two", s)):
+                gradient[name] += np.outer(a["before"][place], to_query)
+                gradient["before"][place] += to_query @ a[name].T
+    summed, whole = [], bilinear._sum_rows
+    monkeypatch.setattr(bilinear, "_sum_rows", lambda p, r, n: summed.append(len(r)) or whole(p, r, n))
+    history = {n: np.zeros(v.shape, np.float32) for n, v in a.items()}
+    model.train(examples, weights, noise, history, np.random.default_rng(5))
+    for name, expected in gradient.items():
+        assert np.allclose(np.sqrt(history[name]), abs(expected), rtol=1e-3, atol=1e-6), name
+    # rows of examples are summed before they meet a matrix, and values change in their place
+    assert sorted(summed) == [bilinear.NOISE, 500, 500, 500]
+    values = np.array([-40.0, 0.0, 40.0])
+    assert bilinear._sigmoid(values) is values and values[1] == 0.5
+
+
 def test_contexts_end_where_a_text_begins():
     block = bilinear.Block(
         np.arange(3), np.zeros(3, bool), np.array([3, 1, 2]), np.array([0, 1, 2, 2, 0, 2], np.int32),
